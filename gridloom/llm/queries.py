@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import simhash
+from . import chat, langid, media, simhash
 from .common import table
 
 
@@ -14,8 +15,43 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    return chat.conversation_digests(chat.format_conversations(rows.unionByName(more)))
+
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_digests(media.media_columns(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op8_language": op8_language,
+    "op9_chat": op9_chat,
+    "op10_media": op10_media,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: A control string's first character with its backslashes, and the rest of it.
+_CONTROL = r"([<\[]\\*)(\||/?s>|/?INST\])"
+
+ORACLE_SQL: dict[str, str] = {
+    "op9_chat": rf"""
+WITH c AS (
+  SELECT CAST(conv_id AS BIGINT) AS conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role AS kind FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]', 'user'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]', 'assistant'),
+s AS (
+  SELECT *, '<|turn|>' || regexp_replace(role, '{_CONTROL}', '\1\\\2', 'g') || '<|body|>' || regexp_replace(text, '{_CONTROL}', '\1\\\2', 'g') || '<|end|>' || chr(10) AS segment FROM c)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, segment)) AS turns_sha256,
+  CAST(coalesce(sum(CASE WHEN kind = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN kind = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, segment), '')) AS loss_sha256,
+  CAST(sum(length(segment)) AS BIGINT) AS formatted_chars
+FROM s GROUP BY conv_id""",
+}
