@@ -7,14 +7,39 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, media, simhash
-from .common import table
+import public_tokenizers
+
+from . import bpe, chat, langid, media, simhash, token_files, topk, url_rules
+from .common import new_path, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_files.write_shards(table(spark, sf_dir, "documents"), new_path(spark, "tokens"), public_tokenizers.path("word_bpe_49k.json"), 2)
+    return token_files.read_shards(spark, manifest)
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return bpe.decoded_digests(encoded, path, public_tokenizers.PATTERN)
+
+
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
+#: The curated list of op7: verdict, host, path.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES)
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -32,6 +57,10 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_token_files": op2_token_files,
+    "op5_bpe": op5_bpe,
+    "op6_topk": op6_topk,
+    "op7_urls": op7_urls,
     "op8_language": op8_language,
     "op9_chat": op9_chat,
     "op10_media": op10_media,
@@ -54,4 +83,41 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(CASE WHEN kind = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, segment), '')) AS loss_sha256,
   CAST(sum(length(segment)) AS BIGINT) AS formatted_chars
 FROM s GROUP BY conv_id""",
+    "op6_topk": """
+WITH v AS (
+  SELECT DISTINCT ON (vec_id) CAST(vec_id AS BIGINT) AS vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_sum(list_transform(list_zip(q.e, d.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.vec_id % 100 = 0 AND d.vec_id <> q.vec_id AND len(q.e) = len(d.e)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op7_urls": """
+WITH u AS (
+  SELECT CAST(page_id AS BIGINT) AS page_id, CASE WHEN instr(url, '://') > 0 THEN split_part(split_part(substr(url, instr(url, '://') + 3), '#', 1), '?', 1) ELSE '' END AS bare FROM pages),
+p AS (SELECT page_id, translate(split_part(bare, '/', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, substr(bare, length(split_part(bare, '/', 1)) + 1) AS path FROM u),
+n AS (SELECT host, string_split(host, '.') AS l, len(string_split(host, '.')) AS c FROM (SELECT DISTINCT host FROM p)),
+hosts AS (SELECT host, l[c] AS suffix, CASE WHEN c > 1 THEN l[c - 1] || '.' || l[c] ELSE host END AS domain FROM n),
+k AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+hn AS (SELECT suffix, domain, host, CAST(count(*) AS DOUBLE) AS n, CAST(sum(bad) AS DOUBLE) AS k FROM p JOIN k ON k.doc_id = p.page_id JOIN hosts USING (host) WHERE host <> '' GROUP BY ALL),
+dn AS (SELECT suffix, domain, sum(n) AS n, sum(k) AS k FROM hn GROUP BY ALL),
+sn AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM dn GROUP BY ALL),
+w AS (SELECT (coalesce(sum(k), 0) + 1) / (coalesce(sum(n), 0) + 2) AS m FROM sn),
+s1 AS (SELECT sn.*, m FROM sn, w),
+s2 AS (SELECT 1 / least(0.5, greatest(0.01, coalesce(sum((k - n * m) ** 2 - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0.5))) - 1 AS a FROM s1),
+s3 AS (SELECT suffix, (a * m + k) / (a + n) AS mean, a + n AS t FROM s1, s2),
+d1 AS (SELECT dn.*, mean AS m FROM dn JOIN s3 USING (suffix)),
+d2 AS (SELECT 1 / least(0.5, greatest(0.01, coalesce(sum((k - n * m) ** 2 - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0.5))) - 1 AS a FROM d1),
+d3 AS (SELECT suffix, domain, (a * m + k) / (a + n) AS mean, a + n AS t FROM d1, d2),
+h1 AS (SELECT hn.*, mean AS m FROM hn JOIN d3 USING (suffix, domain)),
+h2 AS (SELECT 1 / least(0.5, greatest(0.01, coalesce(sum((k - n * m) ** 2 - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0.5))) - 1 AS a FROM h1),
+h3 AS (SELECT host, (a * m + k) / (a + n) AS mean, a + n AS t FROM h1, h2),
+b AS (
+  SELECT hosts.host, coalesce(h3.mean - 1.645 * sqrt(h3.mean * (1 - h3.mean) / (h3.t + 1)), d3.mean - 1.645 * sqrt(d3.mean * (1 - d3.mean) / (d3.t + 1)), s3.mean - 1.645 * sqrt(s3.mean * (1 - s3.mean) / (s3.t + 1)), 0) > 0.5 AS blocked
+  FROM hosts LEFT JOIN h3 USING (host) LEFT JOIN d3 USING (suffix, domain) LEFT JOIN s3 USING (suffix)),
+r(rule, h, pre, verdict) AS (VALUES ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'), ('example.org/en/1', 'example.org', '/en/1', 'block'), ('com/fr/', 'com', '/fr/', 'allow'), ('com/de/', 'com', '/de/', 'block')),
+f AS (SELECT p.*, list(struct_pack(n := length(rule), rule := rule, verdict := r.verdict) ORDER BY length(rule) DESC) FILTER (rule IS NOT NULL) AS l
+  FROM (SELECT row_number() OVER () AS i, * FROM p) p LEFT JOIN r ON (p.host = h OR p.host LIKE '%.' || h) AND starts_with(p.path, pre) GROUP BY ALL)
+SELECT page_id, host, path, l[1].rule AS rule, coalesce(l[1].verdict, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict FROM f JOIN b USING (host)""",
 }
