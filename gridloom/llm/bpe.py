@@ -11,7 +11,7 @@ from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -209,22 +209,24 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     Null text is empty. Rows are independent: repeated rows repeat, null ids stay, an empty table gives no rows.
     """
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, pattern)
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "ids": [b"".join(e.encode(t or "")) for t in b["text"]]})
+            ids = pa.array([b"".join(e.encode(t or "")) for t in b.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
 
 
 def decoded_digests(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of rows of encode_documents; the ids are decoded to bytes."""
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, pattern)
         for b in batches:
-            rows = [(len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(e.decode(x)).hexdigest()) for x in b["ids"]]
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            yield pd.concat([b[["doc_id"]].reset_index(drop=True), out], axis=1)
+            ids = b.column("ids").to_pylist()
+            made = [[len(x) // 4 for x in ids], [hashlib.sha256(x).hexdigest() for x in ids], [hashlib.sha256(e.decode(x)).hexdigest() for x in ids]]
+            kinds = pa.int64(), pa.string(), pa.string()
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, made, kinds)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return encoded.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -8,7 +8,7 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,19 +82,21 @@ def format_conversations(rows: DataFrame, loss_roles: tuple[str, ...] = ("assist
     typed = "parts" in rows.columns
     source = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text", *(["parts"] if typed else []))
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kind = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("ref", pa.string()), ("tokens", pa.int32())])
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.list_(kind), pa.int64()]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for at, (role, text) in enumerate(zip(b["role"], b["text"], strict=True)):
-                given = b["parts"].iloc[at] if typed else None
+            parts = b.column("parts").to_pylist() if typed else [None] * b.num_rows
+            for role, text, given in zip(b.column("role").to_pylist(), b.column("text").to_pylist(), parts, strict=True):
                 segment, start, end, found = format_turn(role, json.loads(given) if given else [{"type": "text", "text": text}])
                 learn = role in loss_roles
                 out.append((segment, start if learn else None, end if learn else None, [{"position": p, "kind": k, "ref": r, "tokens": n} for p, k, r, n in found], sum(n for *_, n in found)))
-            made = pd.DataFrame(out, columns=["segment", "loss_start", "loss_end", "attachments", "expanded_tokens"])
-            made = made.astype({"loss_start": "Int64", "loss_end": "Int64"})
-            yield pd.concat([b[["conv_id", "turn"]].reset_index(drop=True), made], axis=1)
+            made = [pa.array([r[i] for r in out], of) for i, of in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("turn"), *made], ["conv_id", "turn", "segment", "loss_start", "loss_end", "attachments", "expanded_tokens"])
 
-    return source.mapInPandas(run, "conv_id long, turn long, segment string, loss_start long, loss_end long, attachments array<struct<position:int,kind:string,ref:string,tokens:int>>, expanded_tokens long")
+    return source.mapInArrow(run, "conv_id long, turn long, segment string, loss_start long, loss_end long, attachments array<struct<position:int,kind:string,ref:string,tokens:int>>, expanded_tokens long")
 
 
 def conversation_digests(formatted: DataFrame) -> DataFrame:
@@ -105,7 +107,7 @@ def conversation_digests(formatted: DataFrame) -> DataFrame:
     memory of a batch. A null conv_id is a conversation of its own.
     """
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, key, state = [], None, None
 
         def close() -> None:
@@ -113,16 +115,15 @@ def conversation_digests(formatted: DataFrame) -> DataFrame:
                 out.append((key, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
 
         for b in batches:
-            for conv, segment, start, end in zip(b["conv_id"], b["segment"], b["loss_start"], b["loss_end"], strict=True):
-                conv = None if pd.isna(conv) else int(conv)
+            for conv, segment, start, end in zip(*(b.column(c).to_pylist() for c in ("conv_id", "segment", "loss_start", "loss_end")), strict=True):
                 if state is None or conv != key:
                     close()
                     key, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
                 role, body = read_turn(segment)
                 state[0] += 1
                 state[1].update(f"{role}\n{unescape(body)}\n".encode("utf-8", "surrogatepass"))
-                if not pd.isna(start):
-                    masked = unescape(segment[int(start) : int(end)])
+                if start is not None:
+                    masked = unescape(segment[start:end])
                     state[2] += len(masked)
                     state[3].update(masked.encode("utf-8", "surrogatepass"))
                 state[4] += len(segment)
@@ -133,8 +134,10 @@ def conversation_digests(formatted: DataFrame) -> DataFrame:
 
     kept = formatted.select("conv_id", "turn", "segment", "loss_start", "loss_end")
     ordered = kept.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "segment")
-    return ordered.mapInPandas(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return ordered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
-def _digests(rows: list) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]).astype({"conv_id": "Int64"})
+def _digests(rows: list) -> pa.RecordBatch:
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    kinds = [pa.string() if "sha" in n else pa.int64() for n in names]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names)

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -237,10 +238,10 @@ def score(docs: DataFrame, entries: DataFrame, single: np.ndarray) -> DataFrame:
             known[[x for p in passes for x in p]] = True
             own |= ~known
 
-        def run(batches: Iterable[pd.DataFrame], sent=sent, own=own) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterable[pa.RecordBatch], sent=sent, own=own) -> Iterator[pa.RecordBatch]:
             model, alone = sent.value
             for b in batches:
-                texts = [t or "" for t in b["text"]]
+                texts = [t or "" for t in b.column("text").to_pylist()]
                 chars, total = np.zeros(len(texts), np.int64), np.zeros(len(texts))
                 for g, of in grams(texts):
                     if not own.all():
@@ -248,9 +249,9 @@ def score(docs: DataFrame, entries: DataFrame, single: np.ndarray) -> DataFrame:
                         g, of = g[here], of[here]
                     chars += np.bincount(of, minlength=len(texts))
                     total += np.bincount(of, weights=log_probabilities(g, model, alone), minlength=len(texts))
-                yield pd.DataFrame({"doc_id": b["doc_id"], "lang": b["lang"], "n_chars": chars, "logp": total})
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array(chars), pa.array(total)], ["doc_id", "lang", "n_chars", "logp"])
 
-        part = source.mapInPandas(run, "doc_id long, lang string, n_chars long, logp double")
+        part = source.mapInArrow(run, "doc_id long, lang string, n_chars long, logp double")
         done = part if done is None else done.union(part)
     if len(passes) > 1:
         done = done.groupBy("doc_id", "lang").agg(F.sum("n_chars").alias("n_chars"), F.sum("logp").alias("logp"))
@@ -291,3 +292,13 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: flo
     judged = shrunk(scores).join(limits, "lkey", "left").withColumn("threshold", F.coalesce("limit", F.lit(everywhere).cast("double")))
     keep = F.col("surprise").isNotNull() & (F.col("threshold").isNull() | (F.exp("surprise") <= F.col("threshold")))
     return judged.select("doc_id", "lang", "n_chars", F.exp("surprise").alias("perplexity"), "threshold", keep.alias("keep"))
+
+
+def accepted(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    """The rows of docs but those whose doc_id judged rejects; an id of which any row is kept stays. Rows with a null
+    doc_id stay if they hold text. Texts are shuffled only for rows that a bounded filter can't clear."""
+    columns = [f"`{c}`" for c in docs.columns]
+    gone = materialize(judged.where("doc_id is not null").groupBy(F.col("doc_id").alias("__gone")).agg(F.max("keep").alias("__keep")).where("not __keep").select("__gone"), "rejected")
+    flagged = maybe_in(docs.where("doc_id is not null or length(text) > 0"), "doc_id", gone)
+    sure = flagged.where("__maybe").join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    return flagged.where("not __maybe").select(*columns).unionByName(sure.select(*columns))

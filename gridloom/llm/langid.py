@@ -7,8 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize
 
@@ -105,19 +107,18 @@ def train(docs: DataFrame, label: str = "lang") -> Model:
 def predictions(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns keep of docs with lang_pred and score, from the whole text alone. The matrix is broadcast once."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    kinds = {c: t for c, t in docs.dtypes}
     names = [f"__k{i}" for i in range(len(keep))]
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for b in batches:
-            got = [m.predict(t) for t in b["__text"]]
-            b["lang_pred"], b["score"] = [x for x, _ in got], [y for _, y in got]
-            yield b.drop(columns="__text")
+            got = [m.predict(t) for t in b.column("__text").to_pylist()]
+            made = pa.array([x for x, _ in got], pa.string()), pa.array([y for _, y in got], pa.float64())
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *made], [*names, "lang_pred", "score"])
 
-    source = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)), F.col("text").alias("__text"))
-    schema = ", ".join([*(f"{n} {kinds[c]}" for c, n in zip(keep, names, strict=True)), "lang_pred string", "score double"])
-    out = source.mapInPandas(run, schema)
+    source = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)), F.col("text").alias("__text"))
+    schema = T.StructType([*source.drop("__text").schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    out = source.mapInArrow(run, schema)
     return out.select(*(F.col(n).alias(c) for c, n in zip(keep, names, strict=True)), "lang_pred", "score")
 
 
@@ -135,3 +136,13 @@ def identify(docs: DataFrame) -> DataFrame:
     flagged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").withColumn("held_out", held_out())
     model = train(flagged.where(~F.col("held_out")))
     return predictions(flagged, model, ["doc_id", "held_out"])
+
+
+def accepted(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows of docs whose language a model of the rows not held out names with at least the given probability; texts
+    without a letter go. Columns are those of docs."""
+    model = train(docs.where(~held_out()).select("text", "lang"))
+    judged = predictions(docs, model, docs.columns)
+    rename = [f"__c{i}" for i in range(len(docs.columns))] + ["__pred", "__score"]
+    named = judged.toDF(*rename).where(F.col("__pred") != "und").where(F.col("__score") >= least)
+    return named.select(*(F.col(r).alias(c) for r, c in zip(rename, docs.columns, strict=False)))

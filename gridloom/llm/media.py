@@ -8,7 +8,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +17,7 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH = 64
 #: Side of the reduced image and of the corner of its transform that is kept.
 SIDE, CORNER = 32, 8
+DIGESTS = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
 _K = np.arange(SIDE)
 #: Rows of the type II cosine transform.
 _DCT = np.cos(np.pi / SIDE * np.outer(_K, _K + 0.5))
@@ -119,12 +120,13 @@ def payload(text: str | None, width: int = WIDTH) -> tuple[bytes, int]:
 def media_columns(docs: DataFrame, level: int = 1) -> DataFrame:
     """(doc_id, n_bytes, media binary) of every row: its whole text as a PNG. Null text: empty, one row of zeros."""
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [payload(t) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_bytes": [n for _, n in made], "media": [encode_png(p, level=level) for p, _ in made]})
+            made = [payload(t) for t in b.column("text").to_pylist()]
+            images = pa.array([encode_png(p, level=level) for p, _ in made], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([n for _, n in made], pa.int64()), images], ["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
 def media_digests(media: DataFrame) -> DataFrame:
@@ -133,14 +135,15 @@ def media_digests(media: DataFrame) -> DataFrame:
     Rows are independent, so repeated rows repeat, null ids stay null and an empty table gives no rows.
     """
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for png in b["media"]:
+            for png in b.column("media").to_pylist():
                 samples = decode_png(png)
                 data = samples.tobytes()
                 rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(png), hashlib.sha256(png).hexdigest(), feature(samples)))
-            out = pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-            yield pd.concat([b[["doc_id", "n_bytes"]].reset_index(drop=True), out], axis=1)
+            names, kinds = zip(*DIGESTS, strict=True)
+            made = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *made], ["doc_id", "n_bytes", *names])
 
-    return media.mapInPandas(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -18,6 +18,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs as files
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Row
@@ -164,12 +165,12 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> l
     that runs again writes a file of another name, and the manifest names one file for each part.
     """
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, shard = word_encoder(tokenizer), None
         end = np.array([end_id], f"<u{e.width}").tobytes()
         part = TaskContext.get().partitionId()
         for b in batches:
-            keys, texts = b["doc_id"].tolist(), [t or "" for t in b["text"]]
+            keys, texts = b.column("doc_id").to_pylist(), [t or "" for t in b.column("text").to_pylist()]
             at = 0
             while at < len(texts):
                 to, held = at, 0
@@ -178,15 +179,15 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> l
                     to += 1
                 shard = shard or ShardWriter(folder, part, e.width)
                 for key, ids in zip(keys[at:to], e.encode(texts[at:to]), strict=True):
-                    shard.add(None if pd.isna(key) else int(key), ids + end)
+                    shard.add(key, ids + end)
                 at = to
         if shard:
             rows, tokens = shard.close()
-            yield pd.DataFrame({"part": [part], "uri": [shard.uri], "rows": [rows], "tokens": [tokens]})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "uri": [shard.uri], "rows": [rows], "tokens": [tokens]})
 
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first())
     ordered = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return sorted(ordered.mapInPandas(run, "part int, uri string, rows long, tokens long").collect(), key=lambda r: r["part"])
+    return sorted(ordered.mapInArrow(run, "part int, uri string, rows long, tokens long").collect(), key=lambda r: r["part"])
 
 
 def read_shards(spark, manifest: list[Row]) -> DataFrame:
