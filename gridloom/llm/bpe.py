@@ -147,23 +147,31 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 
 
 class _Words(dict):
-    """What words become; frequent ones are kept, up to a bound."""
+    """What words become; up to a bound, words and their pieces are kept."""
 
     def __init__(self, pairs: BytePairs, split: regex.Pattern):
         super().__init__()
         self.pairs, self.split = pairs, split
+        self.pieces: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = [i for piece in self.split.findall(word) for i in self._piece(piece)]
-        found = struct.pack(f"<{len(ids)}I", *ids)
+        found = b"".join(map(self._piece, self.split.findall(word)))
         if len(word) <= CACHED_CHARS:
             if len(self) >= CACHE:
                 self.clear()
             self[word] = found
         return found
 
-    def _piece(self, piece: str) -> list[int]:
-        return self.pairs.encode(piece.encode("utf-8", "surrogatepass"))
+    def _piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            ids = self.pairs.encode(piece.encode("utf-8", "surrogatepass"))
+            found = struct.pack(f"<{len(ids)}I", *ids)
+            if len(piece) <= CACHED_CHARS:
+                if len(self.pieces) >= CACHE:
+                    self.pieces.clear()
+                self.pieces[piece] = found
+        return found
 
 
 class Encoder:
