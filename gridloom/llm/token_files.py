@@ -10,8 +10,8 @@ place of each array, its length in the last 8 bytes, and the magic again. Rows w
 from __future__ import annotations
 
 import json
-import os
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -19,51 +19,88 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyarrow import fs as files
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from .bpe import SPACES
 from .perfect_hash import PerfectHash, fingerprint
 
 MAGIC = b"TOKSHRD1"
-#: Words that a worker's cache holds before it starts anew, the longest of them, and characters encoded at once.
-CACHE, CACHED_BYTES, BLOCK_CHARS = 400_000, 64, 1 << 20
+#: Words that a worker's cache holds before it starts anew (twice as many pieces), and the longest of either.
+CACHE, CACHED_BYTES = 400_000, 64
 
 
 def _open_fs(uri: str) -> tuple[files.FileSystem, str]:
     return files.FileSystem.from_uri(uri)
 
 
+class _Pieces(dict):
+    """Ids of the tokenizer's pieces. Lower-case ASCII letters are the same in its byte alphabet, so the model itself
+    can be asked for them; anything else goes through the whole tokenizer."""
+
+    def __init__(self, tokenizer, kind: str):
+        super().__init__()
+        self.tokenizer, self.model, self.kind = tokenizer, tokenizer.model, kind
+
+    def __missing__(self, piece: str) -> bytes:
+        if piece.isascii() and piece.isalpha() and piece.islower():
+            ids = [t.id for t in self.model.tokenize(piece)]
+        else:
+            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        found = struct.pack(f"<{len(ids)}{self.kind}", *ids)
+        if len(piece) <= CACHED_BYTES:
+            if len(self) >= 2 * CACHE:
+                self.clear()
+            self[piece] = found
+        return found
+
+
+class _Words(dict):
+    """Ids of words, by the pieces into which the tokenizer's own pattern cuts them. Words that composing or
+    lower-casing could change across a cut stay whole."""
+
+    def __init__(self, pieces: _Pieces):
+        super().__init__()
+        self.pieces = pieces
+        self.split = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACES}\p{{L}}\p{{N}}]+").findall
+
+    def _cut(self, word: bytes) -> list[str]:
+        text = word.decode()
+        if not text.isascii() and (not unicodedata.is_normalized("NFC", text) or "\u0130" in text or "\u03a3" in text):
+            return [text]
+        text = text.lower()
+        if text.isalpha():
+            return [text]
+        if text[-1] in ".,:;!?" and text[:-1].isalpha():
+            return [text[:-1], text[-1]]
+        return self.split(text)
+
+    def __missing__(self, word: bytes) -> bytes:
+        found = b"".join(map(self.pieces.__getitem__, self._cut(word)))
+        if len(word) <= CACHED_BYTES:
+            if len(self) >= CACHE:
+                self.clear()
+            self[word] = found
+        return found
+
+
 class WordEncoder:
-    """Encodes texts with a tokenizer whose pieces never cross white space: words are encoded once and remembered."""
+    """Encodes texts with a tokenizer whose pieces never cross white space; words and pieces are remembered."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.cache: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids, as raw bytes of the encoder's width."""
-        split = [t.encode("utf-8", "replace").split() for t in texts]
-        missing = list(set().union(*split) - self.cache.keys()) if split else []
-        if len(self.cache) + len(missing) > CACHE:
-            self.cache.clear()
-            missing = list(set().union(*split))
-        known, kind = self.cache, f"<u{self.width}"
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[word] = np.array(found.ids, kind).tobytes()
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
-        for word in missing:
-            if len(word) > CACHED_BYTES:
-                del known[word]
-        return out
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+        self.width = 2 if tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.words = _Words(_Pieces(tokenizer, "H" if self.width == 2 else "I"))
+
+    def encode(self, text: str) -> bytes:
+        """The text's ids, as raw bytes of the encoder's width."""
+        return b"".join(map(self.words.__getitem__, text.encode("utf-8", "replace").split()))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -170,17 +207,9 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> l
         end = np.array([end_id], f"<u{e.width}").tobytes()
         part = TaskContext.get().partitionId()
         for b in batches:
-            keys, texts = b.column("doc_id").to_pylist(), [t or "" for t in b.column("text").to_pylist()]
-            at = 0
-            while at < len(texts):
-                to, held = at, 0
-                while to < len(texts) and (to == at or held + len(texts[to]) <= BLOCK_CHARS):
-                    held += len(texts[to])
-                    to += 1
+            for key, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                 shard = shard or ShardWriter(folder, part, e.width)
-                for key, ids in zip(keys[at:to], e.encode(texts[at:to]), strict=True):
-                    shard.add(key, ids + end)
-                at = to
+                shard.add(key, e.encode(text.as_py() or "") + end)
         if shard:
             rows, tokens = shard.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "uri": [shard.uri], "rows": [rows], "tokens": [tokens]})
