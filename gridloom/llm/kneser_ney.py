@@ -163,7 +163,7 @@ def train(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
         tables[k] = materialize(tables[k + 1].groupBy(ending.alias("g")).agg(F.count("*").alias("c")), "grams")
 
     d = _discounts(tables[1])
-    single = tables[1].toPandas()  # at most CLASSES rows
+    single = tables[1].toArrow().to_pandas()  # at most CLASSES rows
     prob = np.full(CLASSES, 1 / CLASSES)
     if len(single):
         c = single["c"].to_numpy(np.float64)
@@ -229,8 +229,9 @@ def score(docs: DataFrame, entries: DataFrame, single: np.ndarray) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
     done = None
     for at, share in enumerate(passes):
-        got = entries.where(F.col("d").isin(share)).select("key", "value").toPandas()
-        sent = spark.sparkContext.broadcast((Entries(got["key"].to_numpy(np.int64), got["value"].to_numpy(np.float32)), single))
+        got = entries.where(F.col("d").isin(share)).select("key", "value").toArrow()
+        sent = spark.sparkContext.broadcast((Entries(got["key"].to_numpy(), got["value"].to_numpy()), single))
+        del got
         own = np.zeros(CLASSES, bool)
         own[share] = True
         if at == 0:  # characters before the last that the model has never seen
