@@ -95,7 +95,7 @@ def train(docs: DataFrame, label: str = "lang") -> Model:
     summed = materialize(rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "counts")
     if summed.select("lang").distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
         raise ValueError(f"over {LANGUAGES} languages, the most that the model holds")
-    got = summed.toPandas()
+    got = summed.toArrow().to_pandas()
     languages = sorted(got["lang"].unique())
     counts = np.zeros((BUCKETS + 1, len(languages)))
     counts[got["bucket"], got["lang"].map({x: k for k, x in enumerate(languages)}).to_numpy(np.int64)] = got["n"]

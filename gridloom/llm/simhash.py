@@ -74,8 +74,8 @@ def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
 
 def _sample(fps: DataFrame, n: int) -> np.ndarray:
     every = max(4, math.ceil(n / SAMPLE))
-    rows = fps.where(F.pmod(F.xxhash64("fp", F.lit(7)), F.lit(every)) == 0).select("fp").toPandas()
-    return np.sort(rows["fp"].to_numpy(np.int64).view(np.uint64))
+    rows = fps.where(F.pmod(F.xxhash64("fp", F.lit(7)), F.lit(every)) == 0).select("fp").toArrow()
+    return np.sort(rows["fp"].to_numpy().view(np.uint64))
 
 
 def _split_large(routed: DataFrame, keys: list[str], most: int) -> DataFrame:
@@ -202,7 +202,7 @@ def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8, tabl
     trees = [Tree(radius)] * tables
     if per_table > 1:
         every = max(4, math.ceil(n / SAMPLE))
-        rows = classes.where(F.pmod(F.xxhash64("fp", F.lit(7)), F.lit(every)) == 0).select("wide").toPandas()["wide"]
+        rows = classes.where(F.pmod(F.xxhash64("fp", F.lit(7)), F.lit(every)) == 0).select("wide").toArrow()["wide"].to_pylist()
         sample = np.frombuffer(b"".join(rows), np.uint64).reshape(-1, PARTS)
         trees = [Tree.build(np.sort(_gathered(sample, m, bits)), per_table, radius) for m in masks]
 
