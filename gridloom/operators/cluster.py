@@ -13,7 +13,7 @@ def gap_clusters(df: DataFrame, keys: Sequence[str], coord: str, tolerance: int
     truncated means, pos counts from 0."""
     w = Window.partitionBy(*keys).orderBy(coord)
     starts = F.when(F.col(coord) - F.lag(coord).over(w) > tolerance, 1).otherwise(0)
-    runs = df.select(*keys, coord).withColumn("__new", starts).withColumn("pos", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = df.select(*keys, coord).withColumn("__new", starts).withColumn("pos", F.sum("__new").over(Window.partitionBy(*keys).orderBy(coord, F.desc("__new")).rowsBetween(Window.unboundedPreceding, 0)))
     return runs.groupBy(*keys, "pos").agg(F.avg(coord).cast("long").alias("center"), F.count("*").alias("n"))
 
 

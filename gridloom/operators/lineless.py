@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,20 +56,30 @@ def adjacency(blocks: DataFrame, distance: float = 50.0) -> DataFrame:
 
 
 def page_components(edges: DataFrame) -> DataFrame:
-    """(page_id, block_id, component): the smallest block that each linked block reaches. Links never cross pages, so a
-    page's labels are folded in one row: each edge merges two labels. Pages are bounded by what fits on a sheet."""
-    per = edges.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("src", "dst"))).alias("e"))
-    nodes = F.array_sort(F.array_union(F.transform("e", lambda x: x["src"]), F.transform("e", lambda x: x["dst"])))
-    start = F.transform(nodes, lambda n: F.struct(n.alias("n"), n.alias("c")))
-    label = lambda acc, n: F.filter(acc, lambda p: p["n"] == n)[0]["c"]
-
-    def merge(acc, e):
-        a, b = label(acc, e["src"]), label(acc, e["dst"])
-        low, high = F.least(a, b), F.greatest(a, b)
-        return F.when(low == high, acc).otherwise(F.transform(acc, lambda p: F.struct(p["n"].alias("n"), F.when(p["c"] == high, low).otherwise(p["c"]).alias("c"))))
-
-    done = per.select("page_id", F.explode(F.aggregate("e", start, merge)).alias("p"))
-    return done.select("page_id", F.col("p.n").alias("block_id"), F.col("p.c").alias("component"))
+    """(page_id, block_id, component): the smallest block that each linked block reaches. Links never cross pages, so the
+    edges of a page meet in one row, bounded by what fits on a sheet, and one pass of union-find labels its blocks."""
+    per = edges.groupBy("page_id").agg(F.collect_list("src").alias("a"), F.collect_list("dst").alias("b"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pages, blocks, roots = [], [], []
+            for page, a, b in zip(*(batch.column(c).to_pylist() for c in ("page_id", "a", "b")), strict=True):
+                parent = {n: n for n in (*a, *b)}
+
+                def find(n: int, parent: dict[int, int] = parent) -> int:
+                    while parent[n] != n:
+                        parent[n] = n = parent[parent[n]]
+                    return n
+
+                for x, y in zip(a, b, strict=True):
+                    x, y = find(x), find(y)
+                    parent[max(x, y)] = min(x, y)
+                pages += [page] * len(parent)
+                blocks += parent
+                roots += map(find, parent)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (pages, blocks, roots)], ["page_id", "block_id", "component"])
+
+    return per.mapInArrow(run, "page_id long, block_id long, component long")
 
 
 def graph_tables(blocks: DataFrame, distance: float = 50.0, tolerance: int = 20, least_blocks: int = 4, most: float = 0.5) -> DataFrame:

@@ -37,7 +37,7 @@ def _rounded(df: DataFrame, *names: str) -> DataFrame:
 def _clusters(axis: str, source: str = "ctr", key: str = "page_id", name: str = "c") -> str:
     """SQL of gap clusters of an axis: views name_r (runs) and name (key, pos, center, n)."""
     return f"""{name}_g AS (SELECT {key}, c{axis} AS v, CASE WHEN c{axis} - lag(c{axis}) OVER (PARTITION BY {key} ORDER BY c{axis}) > 20 THEN 1 ELSE 0 END AS s FROM {source}),
-{name}_r AS (SELECT {key}, v, sum(s) OVER (PARTITION BY {key} ORDER BY v ROWS UNBOUNDED PRECEDING) AS pos FROM {name}_g),
+{name}_r AS (SELECT {key}, v, sum(s) OVER (PARTITION BY {key} ORDER BY v, s DESC ROWS UNBOUNDED PRECEDING) AS pos FROM {name}_g),
 {name} AS (SELECT {key}, CAST(pos AS BIGINT) AS pos, CAST(trunc(avg(v)) AS BIGINT) AS center, count(*) AS n FROM {name}_r GROUP BY {key}, pos)"""
 
 
