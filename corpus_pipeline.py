@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import bpe, kneser_ney, langid, mixing, simhash
-from gridloom.llm.common import new_path, table
+from gridloom.llm.common import new_path, small_batches, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,11 +18,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a language that the classifier knows."""
+    small_batches(spark)
     return langid.accepted(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose sets of five-word shingles have similarity 0.8 or more."""
+    small_batches(spark)
     return simhash.deduplicate(docs, k=5, similarity=0.8)
 
 
@@ -33,8 +35,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of each document's ids and of what they decode to."""
+    small_batches(spark)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe.decoded_digests(bpe.encode_documents(docs, path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN)
+    return bpe.round_trip_digests(docs, path, public_tokenizers.PATTERN)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 SPACES = "\t-\r \x85\xa0  -     　"
 #: Characters of a text whose words are listed at once.
 BLOCK = 1 << 20
-#: Entries that a worker's cache of words holds before it starts anew, and the longest word that it holds.
-CACHE, CACHED_CHARS = 400_000, 64
+#: Words that a worker's cache holds before it starts anew (twice as many pieces), and the longest that it holds.
+CACHE, CACHED_CHARS = 100_000, 64
 
 
 class BytePairs:
@@ -45,7 +45,7 @@ class BytePairs:
         self.longest.make_automaton()
         self.parts = self._parts()
         self.shorter: dict[int, int] = {}
-        self.compatible: dict[tuple[int, int], bool] = {}
+        self.compatible: dict[int, bool] = {}
 
     def _parts(self) -> dict[int, tuple[int, int]]:
         """The two tokens whose merge makes each token: the last two left when its bytes are merged by lower ranks."""
@@ -69,10 +69,10 @@ class BytePairs:
 
     def fits(self, left: int, right: int) -> bool:
         """Whether left and right, side by side, are what the merges leave of their joined bytes (memoised)."""
-        key = left, right
+        key = left << 32 | right
         found = self.compatible.get(key)
         if found is None:
-            if len(self.compatible) > 1 << 20:
+            if len(self.compatible) > 2 * CACHE:
                 self.compatible.clear()
             found = self.compatible[key] = self._fits(left, right)
         return found
@@ -168,7 +168,7 @@ class _Words(dict):
             ids = self.pairs.encode(piece.encode("utf-8", "surrogatepass"))
             found = struct.pack(f"<{len(ids)}I", *ids)
             if len(piece) <= CACHED_CHARS:
-                if len(self.pieces) >= CACHE:
+                if len(self.pieces) >= 2 * CACHE:
                     self.pieces.clear()
                 self.pieces[piece] = found
         return found
@@ -196,6 +196,11 @@ class Encoder:
         while block := b"".join(map(get, itertools.islice(words, 1 << 16))):
             yield block
 
+    def forget(self) -> None:
+        """Empties what a task has gathered, as workers live on after it."""
+        for known in (self.cache, self.cache.pieces, self.pairs.compatible):
+            known.clear()
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
@@ -222,19 +227,30 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         for b in batches:
             ids = pa.array([b"".join(e.encode(t or "")) for t in b.column("text").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids], ["doc_id", "ids"])
+        e.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
 
 
-def decoded_digests(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of rows of encode_documents; the ids are decoded to bytes."""
+def round_trip_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row of docs: its whole text is encoded, the ids are
+    digested and decoded, and the bytes digested, in one Python pass."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, pattern)
         for b in batches:
-            ids = b.column("ids").to_pylist()
-            made = [[len(x) // 4 for x in ids], [hashlib.sha256(x).hexdigest() for x in ids], [hashlib.sha256(e.decode(x)).hexdigest() for x in ids]]
+            made = []
+            for text in b.column("text"):
+                n, ids, decoded = 0, hashlib.sha256(), hashlib.sha256()
+                for block in e.encode(text.as_py() or ""):
+                    n += len(block) // 4
+                    ids.update(block)
+                    decoded.update(e.decode(block))
+                made.append((n, ids.hexdigest(), decoded.hexdigest()))
             kinds = pa.int64(), pa.string(), pa.string()
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, made, kinds)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            columns = [pa.array([m[i] for m in made], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        e.forget()
 
-    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return source.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

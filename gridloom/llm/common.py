@@ -8,11 +8,23 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import prepare
+
 #: Bits of a membership filter; its bitmaps take FILTER_BITS / 8 bytes however many keys it holds.
 FILTER_BITS = 1 << 23
+#: Rows of an Arrow batch, in place of Spark's 10,000: at some kilobytes a text a batch stays within a few megabytes.
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python in small batches; a session that sets its own size keeps it."""
+    prepare(spark)
+    if spark.conf.get(BATCH_SETTING, "10000") == "10000":
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -20,7 +20,7 @@ CLASSES = 1 << BITS
 #: Entries of the model that are broadcast at once (12 bytes each); a larger model is scored in several passes.
 MODEL_ROWS = 1 << 22
 #: Characters handled at once, and distinct n-grams that a task holds before it hands them on.
-CHUNK, HELD = 1 << 20, 1 << 21
+CHUNK, HELD = 1 << 18, 1 << 20
 #: Of trusted documents, one in so many sets the thresholds and teaches nothing.
 HELD_OUT = 5
 
