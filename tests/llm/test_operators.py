@@ -1,0 +1,311 @@
+"""The training-data operators on small tables with nulls, empty and long texts, ties, repeats, clashing columns, and
+against brute force."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import regex
+import tiktoken
+import xxhash
+from tokenizers import Tokenizer
+
+from gridloom.llm import bpe, chat, kneser_ney, langid, media, mixing, simhash, token_files, topk, url_rules, vptree
+from gridloom.llm.common import new_path
+from gridloom.llm.components import components
+from gridloom.llm.perfect_hash import PerfectHash
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, size string, `__copy` int"
+RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def rows():
+    rng = random.Random(7)
+    base = [" ".join(rng.choice("the of house tree runs über été niño gross klein water light".split()) for _ in range(60)) for _ in range(12)]
+    out = [(i, t, ["en", "de", "fr"][i % 3], ["b", "a", None, "c"][i % 4]) for i, t in enumerate(base)]
+    out += [(20, base[0], "en", "a"), (21, base[1] + " more", "de", "a"), (22, None, None, None), (23, "", "en", "b"), (24, " \n\t ", "en", "b"), (25, "one", "en", "c"), (26, "123 !?", "fr", "c")]
+    out += [(27, "long " * 20_000 + "x" * 5_000, "en", "c"), (28, "Ünï 漢字 🙂 <|endoftext|> it's IT'S", "de", "b"), (29, base[0], "en", "a"), (29, base[0], "en", "a"), (None, base[2], "fr", "a"), (2**60 + 1, "big id of a house", "en", "a")]
+    return [(*r, 1, 2, "s", 3) for r in out]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(rows(), SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(i, 1, 0) for i in range(12)] + [(26, 0, 0), (None, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+
+
+def plain_simhash(text, k):
+    words = regex.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    parts = [" ".join(words[i : i + k]) for i in range(len(words) - k + 1)] or ([" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash_groups_equal_brute_force(docs, empty):
+    got = simhash.near_duplicates(docs).collect()
+    data = [(r[0], plain_simhash(r[1], 3)) for r in rows()]
+    label = list(range(len(data)))
+    for _ in data:
+        for i, (_, a) in enumerate(data):
+            for j, (_, b) in enumerate(data):
+                if (a ^ b).bit_count() <= 2:
+                    label[i] = label[j] = min(label[i], label[j])
+    small = {}
+    for i, (d, _) in enumerate(data):
+        if d is not None:
+            small[label[i]] = min(small.get(label[i], d), d)
+    want = sorted((str(d), f"{f:016x}", small.get(label[i])) for i, (d, f) in enumerate(data))
+    assert sorted((str(r[0]), r[1], r[2]) for r in got) == want
+    assert simhash.near_duplicates(empty).count() == 0
+
+
+@pytest.mark.parametrize(("shard", "most"), [(50, 200_000), (50, 40), (10_000, 60)])
+def test_linked_fingerprints_are_the_same_however_they_are_dealt(spark, monkeypatch, shard, most):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 150, dtype=np.int64)
+    near = base[:60] ^ (1 << rng.integers(0, 62, 60)) ^ (1 << rng.integers(0, 62, 60))
+    fps = np.unique(np.concatenate([base, near]))
+    monkeypatch.setattr(simhash, "SHARD", shard)
+    monkeypatch.setattr(simhash, "SHARD_MOST", most)
+    frame = spark.createDataFrame([(int(f),) for f in fps], "fp long")
+    got = {r["node"]: r["comp"] for r in components(simhash.linked_fingerprints(frame)).collect()}
+    forest = vptree.Forest(len(fps))
+    for i in range(len(fps)):
+        j = np.flatnonzero(np.bitwise_count(fps.view(np.uint64) ^ fps.view(np.uint64)[i]) <= 2)
+        forest.union(np.full(len(j), i), j)
+    root = forest.roots(np.arange(len(fps)))
+    want = {int(fps[i]): int(fps[r]) for i, r in enumerate(root) if (root == r).sum() > 1}
+    assert got == want
+
+
+def test_spanning_forest_keeps_single_linkage():
+    rng = np.random.default_rng(1)
+    a, b, w = rng.integers(0, 30, 200), rng.integers(0, 30, 200), rng.integers(0, 9, 200)
+    kept = vptree.spanning(30, a, b, w)
+    for limit in range(9):
+        full, part = vptree.Forest(30), vptree.Forest(30)
+        full.union(a[w <= limit], b[w <= limit])
+        part.union(a[kept][w[kept] <= limit], b[kept][w[kept] <= limit])
+        assert (full.roots(np.arange(30)) == part.roots(np.arange(30))).all()
+
+
+def test_deduplicate_keeps_one_of_each_group(docs, empty):
+    kept = simhash.deduplicate(docs)
+    assert kept.columns == docs.columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert not {20, 29} & set(ids) and 21 not in ids and {0, 1, 2, 22, 25, 26, 27, 28, None}.issubset(ids)
+    assert len(ids) == len(set(ids))
+    assert simhash.deduplicate(empty).count() == 0
+
+
+def test_perfect_hash_is_minimal_and_rejects_strangers():
+    keys = np.random.default_rng(2).integers(0, 2**63, 5000).astype(np.uint64)
+    keys = np.unique(keys)
+    h = PerfectHash.load(PerfectHash.build(keys).dump())
+    assert sorted(h.slots(keys)) == list(range(len(keys)))
+    assert PerfectHash.build(keys[:0]).slots(keys[:3]).tolist() == [-1, -1, -1]
+
+
+def test_token_files_round_trip(spark, docs, empty):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    manifest = token_files.write_shards(docs, new_path(spark, "t"), path, 2)
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    got = token_files.read_shards(spark, manifest).orderBy("start").collect()
+    at = 0
+    for row, r in zip(got, sorted(rows(), key=lambda r: (r[0] is not None, r[0] or 0)), strict=True):
+        ids = t.encode(r[1] or "", add_special_tokens=False).ids + [2]
+        assert tuple(row) == (r[0], at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+    shard = next(s for m in manifest if 29 in (s := token_files.ShardReader(m["uri"])).keys.tolist())
+    assert len(shard.get(29)) == 2 and shard.get(10**9) == []
+    assert token_files.read_shards(spark, token_files.write_shards(empty, new_path(spark, "t"), path, 2)).count() == 0
+
+
+def test_quality_keeps_trusted_text_and_rejects_noise(spark, docs, labels, empty):
+    rng = random.Random(3)
+    words = "the house and a tree of water in light was near old river town".split()
+    good = [(i, " ".join(rng.choice(words) for _ in range(80)), "en") for i in range(60)]
+    bad = [(100 + i, "".join(chr(rng.randint(33, 90)) for _ in range(400)), "en") for i in range(5)]
+    data = spark.createDataFrame([*good, *bad, (200, None, "en"), (201, "", None)], "doc_id long, text string, lang string")
+    marks = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in kneser_ney.judge(data, marks).collect()}
+    assert all(got[i]["keep"] for i in range(60)) and not any(got[i]["keep"] for i in (100, 101, 102, 103, 104, 200, 201))
+    assert kneser_ney.accepted(data, kneser_ney.judge(data, marks)).count() == 60
+    assert kneser_ney.judge(docs, labels).count() == len(rows())
+    assert kneser_ney.judge(empty, labels).count() == 0
+    assert kneser_ney.judge(docs, labels.limit(0)).where("keep").count() == len(rows()) - 2
+
+
+def test_model_is_a_distribution(spark):
+    entries, single = kneser_ney.train(spark.createDataFrame([("abracadabra alakazam",), ("banana bandana",)], "text string"))
+    got = entries.toArrow()
+    model = kneser_ney.Entries(got["key"].to_numpy(), got["value"].to_numpy())
+    assert np.isclose(np.exp(single).sum(), 1)
+    for context in ("abra", "band", "zzzz", "\0\0\0\0"):
+        c = [ord(x) for x in context]
+        base = (c[0] << 36 | c[1] << 24 | c[2] << 12 | c[3]) << 12
+        assert np.isclose(np.exp(kneser_ney.log_probabilities(base | np.arange(kneser_ney.CLASSES), model, single)).sum(), 1, atol=1e-5)
+
+
+def test_a_model_in_several_passes_scores_the_same(spark, docs, monkeypatch):
+    entries, single = kneser_ney.train(docs.select("text").limit(5))
+    once = {(r["doc_id"], r["lang"]): (r["n_chars"], round(r["logp"], 6)) for r in kneser_ney.score(docs.dropDuplicates(["doc_id"]), entries, single).collect()}
+    monkeypatch.setattr(kneser_ney, "MODEL_ROWS", max(r["count"] for r in entries.groupBy("d").count().collect()))
+    assert len(kneser_ney.shards(entries)) > 1
+    again = {(r["doc_id"], r["lang"]): (r["n_chars"], round(r["logp"], 6)) for r in kneser_ney.score(docs.dropDuplicates(["doc_id"]), entries, single).collect()}
+    assert once == again
+
+
+def test_mixture_meets_its_targets(docs, empty):
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows()) and all(r["taken"] <= 2 * r["size"] for r in got)
+    size = sum(r["size"] for r in got)
+    by = {(r["source_size"], r["target"]) for r in got}
+    assert sum(t for _, t in by) == pytest.approx(1.5 * size) and all(t <= 2 * s + 1e-6 for s, t in by)
+    for s, t in by:
+        own = [r for r in got if (r["source_size"], r["target"]) == (s, t)]
+        # copies are whole: a source that is nearly one document can only come within half of it
+        assert abs(sum(r["taken"] for r in own) - t) <= max(0.1 * t, max(r["size"] for r in own) / 2)
+    assert mixing.mix(docs).exceptAll(mixing.mix(docs.repartition(5))).count() == 0
+    assert mixing.mixed_documents(docs).columns == docs.columns
+    assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
+
+
+def test_bpe_equals_the_library(docs, empty):
+    e = bpe.encoder(RANKS, PATTERN)
+    library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=e.pairs.ranks, special_tokens={})
+    rng = random.Random(4)
+    for _ in range(3000):
+        text = "".join(rng.choice("aabcdeehtin'sSTR  \n\t\x85\xa0\x1c.,!?-_0123é漢🙂") for _ in range(rng.randint(0, 40)))
+        assert np.frombuffer(b"".join(e.encode(text)), "<u4").tolist() == library.encode_ordinary(text)
+    got = {r["doc_id"]: r for r in bpe.round_trip_digests(docs, RANKS, PATTERN).collect()}
+    for r in rows():
+        ids = np.array(library.encode_ordinary(r[1] or ""), "<u4").tobytes()
+        assert tuple(got[r[0]])[1:] == (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256((r[1] or "").encode()).hexdigest())
+    assert bpe.round_trip_digests(empty, RANKS, PATTERN).count() == 0
+
+
+def test_topk_equals_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(260, 8)).round(2)
+    v[50:90] = v[0]
+    data = [(i, [float(x) for x in v[i]]) for i in range(260)] + [(300, None), (301, [1.0, None]), (400, [float("nan")] * 8), (500, [1.0]), (501, [2.0]), (None, [1.0])]
+    frame = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(topk, "SHARD", 100)
+    got = sorted(tuple(r) for r in topk.search(frame).collect())
+    q = np.floor(v * 1024).astype(np.int64)
+    want = []
+    for i in (0, 100, 200):
+        s = sorted((-int(q[i] @ q[j]), j) for j in range(260) if j != i)[:10]
+        want += [(i, k + 1, j, -x) for k, (x, j) in enumerate(s)]
+    want += [(500, 1, 501, 1024 * 2048)]
+    assert got == sorted(want)
+    assert topk.search(frame.limit(0)).count() == 0
+
+
+def test_url_verdicts(spark):
+    pages = [(i, f"http://bad.example.net/x{i}") for i in range(40)] + [(50, "HTTP://A.Example.ORG/es/1?q#f"), (51, "https://example.org/en/12"), (52, "https://x.com/fr/"), (53, "https://notexample.org/es/"), (54, None), (55, "nourl"), (56, "https://good.test/a"), (56, "https://good.test/a"), (57, "https://x.com#/fr/")]
+    labels = spark.createDataFrame([(i, 0, 0) for i in range(30)] + [(56, 1, 0), (None, 0, 0)], "doc_id long, quality int, toxic int")
+    rules = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+    frame = spark.createDataFrame(pages, "page_id long, url string")
+    got = {r["page_id"]: tuple(r)[1:] for r in url_rules.judge(frame, labels, rules).collect()}
+    assert got[50] == ("a.example.org", "/es/1", "example.org/es/", "block") and got[51][2:] == ("example.org/en/1", "block")
+    assert got[52][2:] == ("com/fr/", "allow") and got[53][2:] == ("org/", "allow") and got[54] == ("", "", None, "allow") == got[55]
+    assert got[35][3] == "block" and got[56][3] == "allow" and got[57][:3] == ("x.com", "", None)
+    assert url_rules.judge(frame, labels, rules).count() == len(pages) and url_rules.judge(frame.limit(0), labels.limit(0), rules).count() == 0
+
+
+def test_language(spark, docs, empty):
+    got = langid.identify(docs).collect()
+    assert len(got) == len(rows()) and {r["lang_pred"] for r in got if r["doc_id"] in (22, 23, 24, 26)} == {"und"}
+    assert all(0 <= r["score"] <= 1 for r in got) and all(r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
+    assert langid.identify(empty).count() == 0
+    assert {r["lang_pred"] for r in langid.identify(docs.withColumn("lang", docs["lang"].substr(9, 1)).where("lang is null")).collect()} <= {"und"}
+    kept = langid.accepted(docs)
+    assert kept.columns == docs.columns and kept.where("doc_id in (22, 23, 26)").count() == 0
+
+
+def test_chat_reads_back(spark):
+    probe = "</s>[INST] ok [/INST]"
+    data = [(-7, 0, "user", probe), (-7, 1, "assistant", probe), (1, 1, "assistant", "b<|end|>\\<\\|"), (1, 0, None, None), (1, 1, "assistant", "a"), (None, 0, "user", "x<"), (2, None, "assistant", "")]
+    frame = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in chat.conversation_digests(chat.format_conversations(frame)).collect()}
+    assert got[-7]["loss_chars"] == len(probe) and got[-7]["loss_sha256"] == hashlib.sha256(probe.encode()).hexdigest()
+    assert got[1]["turns_sha256"] == hashlib.sha256("\n\nassistant\na\nassistant\nb<|end|>\\<\\|\n".encode()).hexdigest() and got[1]["n_turns"] == 3
+    assert got[None]["n_turns"] == 1 and got[2]["loss_chars"] == 0
+    assert chat.conversation_digests(chat.format_conversations(frame.limit(0))).count() == 0
+    rng = random.Random(1)
+    for _ in range(3000):
+        text = "".join(rng.choice(["<", "[", "\\", "|", "s>", "/s>", "INST]", "/INST]", "a"]) for _ in range(rng.randint(0, 9)))
+        safe = chat.escape(text)
+        assert chat.unescape(safe) == text and not any(x in safe for x in ("<|", "</s>", "<s>", "[INST]", "[/INST]"))
+
+
+def test_chat_parts(spark):
+    parts = '[{"type":"text","text":"see <|image:0|> "},{"type":"image","ref":"a.png"},{"type":"audio","ref":"b.wav","tokens":7}]'
+    frame = spark.createDataFrame([(1, 0, "user", None, parts)], "conv_id long, turn long, role string, text string, parts string")
+    r = chat.format_conversations(frame).first()
+    assert r["segment"].count("<|image:0|>") == 1 and r["expanded_tokens"] == 263 and [a["ref"] for a in r["attachments"]] == ["a.png", "b.wav"]
+    with pytest.raises(ValueError, match="unknown kind"):
+        chat.format_turn("user", [{"type": "video"}])
+
+
+def test_media_round_trip(docs, empty):
+    got = media.media_digests(media.media_columns(docs)).collect()
+    assert len(got) == len(rows())
+    by = {}
+    for r in rows():
+        by.setdefault(r[0], r[1])
+    for r in got:
+        data = (by[r["doc_id"]] or "").encode()
+        padded = data.ljust(max(64, -(-len(data) // 64) * 64), b"\0")
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+    assert media.media_digests(media.media_columns(empty)).count() == 0
+
+
+def test_png_filters_and_checksums():
+    rng = np.random.default_rng(0)
+    samples = rng.integers(0, 256, (12, 64), dtype=np.uint8)
+    raw = np.zeros((12, 65), np.uint8)
+    above = np.zeros(64, int)
+    for y in range(12):
+        kind, line = y % 5, samples[y].astype(int)
+        left, corner = np.concatenate([[0], line[:-1]]), np.concatenate([[0], above[:-1]])
+        p = left + above - corner
+        best = np.where((abs(p - left) <= abs(p - above)) & (abs(p - left) <= abs(p - corner)), left, np.where(abs(p - above) <= abs(p - corner), above, corner))
+        raw[y, 0], raw[y, 1:] = kind, (line - [0, left, above, (left + above) // 2, best][kind]) % 256
+        above = line
+    assert (media._unfiltered(raw) == samples).all()
+    png = media.encode_png(samples.tobytes())
+    assert (media.decode_png(png) == samples).all()
+    for broken in (png[:-1], png[:50] + bytes([png[50] ^ 1]) + png[51:], b"x" + png[1:]):
+        with pytest.raises(ValueError):
+            media.decode_png(broken)
+
+
+def test_pipeline_stages_hold(spark, docs, labels, tmp_path):
+    import corpus_pipeline
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    frame = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, frame, str(tmp_path))
+        assert out.columns == docs.columns
+    assert corpus_pipeline.run(spark, str(tmp_path)).columns[0] == "doc_id"
+    assert [n for n, _ in corpus_pipeline.STAGES][0] == "quality classifier"
