@@ -38,15 +38,12 @@ def merge(detections: DataFrame, threshold: float = 0.3, boost: float = 0.1) ->
     """Detections by (confidence, rows * cols), each with the later ones that overlap it; every one absorbed adds boost
     to its confidence, up to 1. Adds column absorbed."""
     per = _sorted(detections, -F.col("confidence"), -(F.col("rows") * F.col("cols")))
-    seed = lambda d: F.struct(d.alias("d"), F.lit(0).alias("n"))
-    none = F.filter(F.transform("l", seed), lambda d: F.lit(False))
-
-    def step(a: Column, d: Column) -> Column:
-        hit = F.array_position(F.transform(a, lambda k: overlaps(box(k["d"]), box(d), threshold)), True)
-        more = F.transform(a, lambda k, i: F.struct(k["d"].alias("d"), (k["n"] + F.when(i + 1 == hit, 1).otherwise(0)).alias("n")))
-        return F.when(hit > 0, more).otherwise(F.array_append(a, seed(d)))
-
-    out = per.select("page_id", F.explode(F.aggregate("l", none, step)).alias("k")).select("page_id", "k.d.*", F.col("k.n").alias("absorbed"))
+    none = F.filter("l", lambda d: F.lit(False))
+    seeds = F.aggregate("l", none, lambda a, d: F.when(F.exists(a, lambda k: overlaps(box(k), box(d), threshold)), a).otherwise(F.array_append(a, d)))
+    # Each detection goes to the first seed that it overlaps; a seed to itself.
+    owner = F.transform("l", lambda d: F.array_position(F.transform("seeds", lambda k: overlaps(box(k), box(d), threshold)), True))
+    counted = F.transform("seeds", lambda k, i: F.struct(k.alias("d"), F.greatest(F.lit(0), F.size(F.filter("owner", lambda o: o == i + 1)) - 1).alias("n")))
+    out = per.withColumn("seeds", seeds).withColumn("owner", owner).select("page_id", F.explode(counted).alias("k")).select("page_id", "k.d.*", F.col("k.n").alias("absorbed"))
     return out.withColumn("confidence", F.when(F.col("absorbed") > 0, F.least(F.lit(1.0), F.col("confidence") + boost * F.col("absorbed"))).otherwise(F.col("confidence")))
 
 

@@ -11,6 +11,7 @@ from ..functions import geometry as G
 from ..functions import text as X
 from ..operators import cluster, dedupe, edits, lineless, tables, vote
 from ..session import prepare
+from ..sources import projects
 from . import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -533,3 +534,20 @@ def line_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = fx.table(spark, sf_dir, "part")
     met = G.line_intersection(F.col("p_size").cast("double"), (F.col("p_partkey") % 18) * F.pi() / 18, (F.col("p_partkey") % 50).cast("double"), (F.col("p_size") % 18) * F.pi() / 18)
     return p.select("p_partkey", met.alias("m")).select("p_partkey", *((F.round(f"m.{n}", 4) + 0.0).alias(n) for n in ("px", "py")))
+
+
+# ---- project files
+
+@query("json_roundtrip", f"WITH {_CELLS} SELECT table_id, row, col, text, coalesce(nullif(original_text, ''), text) AS original_text, confidence FROM cells")
+def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = fx.cells(spark, sf_dir)
+    cell = F.struct("row", "col", "text", "confidence", "is_merged", "original_text", "needs_review")
+    table = c.groupBy("table_id").agg(F.array_sort(F.collect_list(cell)).alias("cells")).select("table_id", F.array(F.struct(F.col("table_id").cast("string").alias("id"), "cells")).alias("tables"))
+    text = projects.to_json(table.select(F.col("table_id").alias("project_id"), "tables"))
+    return projects.cells(projects.parse(text)).select(F.col("table_id").cast("long").alias("table_id"), "row", "col", "text", "original_text", "confidence")
+
+
+@query("export_gates", f"WITH {_STATS} SELECT table_id % 7 AS project_id, true AS has_tables, bool_or(table_id % 3 = 0) AS can_export FROM st GROUP BY ALL")
+def export_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tables.stats(fx.cells(spark, sf_dir)).select((F.col("table_id") % 7).alias("project_id"), (F.col("table_id") % 3 == 0).alias("enabled"))
+    return projects.ready(t)
