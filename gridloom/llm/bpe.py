@@ -21,7 +21,7 @@ SPACES = "\t-\r \x85\xa0  -     　"
 #: Characters of a text whose words are listed at once.
 BLOCK = 1 << 20
 #: Words that a worker's cache holds before it starts anew (twice as many pieces), and the longest that it holds.
-CACHE, CACHED_CHARS = 100_000, 64
+CACHE, CACHED_CHARS = 200_000, 64
 
 
 class BytePairs:
@@ -155,13 +155,22 @@ class _Words(dict):
         self.pieces: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        found = b"".join(map(self._piece, self.split.findall(word)))
+        found = b"".join(map(self._piece, self._cut(word)))
         if len(word) <= CACHED_CHARS:
             if len(self) >= CACHE:
                 self.clear()
             self[word] = found
         return found
 
+    def _cut(self, word: str) -> list[str]:
+        """The pattern's pieces of a word; a space and letters, and these before a mark, need no search."""
+        if word[0] == " ":
+            if word[1:].isalpha():
+                return [word]
+            if word[-1] in ".,:;!?" and word[1:-1].isalpha():
+                return [word[:-1], word[-1]]
+        return self.split.findall(word)
+
     def _piece(self, piece: str) -> bytes:
         found = self.pieces.get(piece)
         if found is None:
