@@ -81,7 +81,8 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]
     A label (doc_id, quality, toxic) is the outcome of the page of that id; it is bad if quality is 0 or toxic is 1, and
     repeated labels of a page count once, as bad if any is. Labels of no page, and null ids, count for nothing. Null and
     malformed urls have empty host and path and no outcome, and are allowed unless a rule says otherwise. Pages meet
-    reputations by distinct host, with outcomes summed before each shuffle, so a common host stays small.
+    reputations by distinct host, with outcomes summed before each shuffle, so a common host stays small. The rated hosts
+    are written first: a join of two tables is one whose skewed host Spark can split, a join with an aggregate is not.
     """
     host, path = host_and_path(F.col("url"))
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
@@ -98,6 +99,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]
         .join(s.select("suffix", F.col("bound").alias("b3")), "suffix", "left")
         .select("host", (F.coalesce("b1", "b2", "b3", F.lit(0.0)) > limit).alias("blocked"))
     )
+    rated = materialize(rated, "rated")
     by_method = F.when(F.coalesce(F.col("blocked"), F.lit(False)), "block").otherwise("allow")
     judged = own.join(rated, "host", "left")
     return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_method).alias("verdict"))
