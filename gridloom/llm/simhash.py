@@ -132,7 +132,8 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 2) -> DataFrame:
     Fingerprints link at radius or fewer differing bits; component_id is the smallest doc_id reachable. Null and empty
     texts and texts of white space have fingerprint zero and link like any other. Repeated rows each return. A null
     doc_id keeps its row; it never names a component unless nothing else is in it. An empty table gives no rows.
-    Equal fingerprints meet once: what follows the first aggregation grows with distinct fingerprints alone.
+    Equal fingerprints meet once: what follows the first aggregation grows with distinct fingerprints alone. The named
+    fingerprints are written, so that the last join is one of two tables, whose skewed fingerprints Spark can split.
     """
     own = materialize(fingerprints(docs, k), "fingerprints")
     fps = own.groupBy("fp").agg(F.min("doc_id").alias("rep"))
@@ -140,7 +141,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 2) -> DataFrame:
     comp = materialize(components(edges), "components")
     named = fps.join(comp, fps["fp"] == comp["node"]).groupBy("comp").agg(F.min("rep").alias("smallest"))
     to = comp.join(named, "comp").select("node", "smallest")
-    by_fp = fps.join(to, fps["fp"] == to["node"], "left").select("fp", F.coalesce("smallest", "rep").alias("component_id"))
+    by_fp = materialize(fps.join(to, fps["fp"] == to["node"], "left").select("fp", F.coalesce("smallest", "rep").alias("component_id")), "named")
     return own.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
