@@ -53,14 +53,29 @@ def _mixed(h: np.ndarray, n: int) -> np.ndarray:
 
 def simhash(text: str | None, k: int, parts: int = 1) -> tuple[np.ndarray, int]:
     """(fingerprint as 64-bit parts, shingles): a bit is set if it is set in over half the hashes; no words: zero."""
+    return _voted(shingle_hashes(text, k), parts)
+
+
+def _voted(hashes: Iterable[np.ndarray], parts: int) -> tuple[np.ndarray, int]:
     total, votes = 0, np.zeros((parts, 64), np.int64)
-    for h in shingle_hashes(text, k):
+    for h in hashes:
         total += len(h)
         for p in range(parts):
             votes[p] += np.unpackbits(_mixed(h, p).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return np.packbits((votes * 2 > total).astype(np.uint8), axis=1, bitorder="little").view(np.uint64)[:, 0], total
 
 
+def shingle_set(text: str | None, k: int) -> np.ndarray:
+    """The hashes of the text's distinct k-word shingles, sorted."""
+    return np.unique(np.concatenate([*shingle_hashes(text, k), np.empty(0, np.uint64)]))
+
+
+def set_simhash(text: str | None, k: int, parts: int) -> tuple[np.ndarray, int]:
+    """As simhash, but each distinct shingle counts once, as it does in the similarity of sets."""
+    own = shingle_set(text, k)
+    return _voted((own[at : at + CHUNK] for at in range(0, len(own), CHUNK)), parts)
+
+
 def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
     """(doc_id, fp long) of every row: the 64-bit SimHash over k-word shingles, as a signed long."""
 
@@ -172,31 +187,31 @@ def _gathered(wide: np.ndarray, mask: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(word, axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
-def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8, tables: int = 10, bits: int = 24, radius: int = 2) -> DataFrame:
+def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8, tables: int = 16, bits: int = 24, radius: int = 2) -> DataFrame:
     """(doc_id, group_id) of the rows of docs with a near copy, by smallest doc_id; doc_id must be unique and not null.
 
     Two documents link if the sets of their k-word shingles have Jaccard similarity of at least ``similarity``.
     Candidates: each of ``tables`` samples ``bits`` bits of a 256-bit SimHash, and a vantage-point tree finds the pairs
-    within ``radius`` bits among documents whose shingle counts allow the similarity. A shard returns a minimum
-    spanning forest of its candidates by wide distance: single linkage at any distance is kept, all pairs are not.
-    Each forest edge is then held against the exact shingle sets. Bit sampling finds a pair of similarity 0.8 in some
-    table with probability 0.95, one of 0.9 with over 0.999; more tables raise both.
+    within ``radius`` bits among documents whose numbers of distinct shingles allow the similarity. A shard returns two
+    edge-disjoint minimum spanning forests of its candidates by wide distance, never all pairs; the second joins what
+    falls apart where an edge of the first fails. Each edge is then held against the exact shingle sets. Bit sampling
+    finds a pair of similarity 0.8 in some table with probability 0.99, one of 0.9 with over 0.9999; more tables raise
+    both. Documents of equal words are one class from the start; only classes are searched and labelled.
     """
     masks = _tables(tables, bits)
     step = math.log(1 / similarity)
 
     def widen(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            made = [simhash(t, k, PARTS) for t in b["text"]]
+            made = [set_simhash(t, k, PARTS) for t in b["text"]]
             wide = np.array([m[0] for m in made], np.uint64).reshape(-1, PARTS)
             same = [xxhash.xxh64_intdigest(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split()), 1) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "same": np.array(same, np.uint64).view(np.int64), "n": np.array([m[1] for m in made], np.int64), "wide": [w.tobytes() for w in wide]})
 
     own = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(widen, "doc_id long, same long, n long, wide binary"), "wide")
-    # Documents of equal words are one class, linked to its smallest member.
-    classes = own.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.first("wide").alias("wide"), F.first("n").alias("n"))
-    classes = materialize(classes.select(F.col("doc_id").alias("fp"), "n", "wide"), "classes")
-    copies = own.join(own.groupBy("same").agg(F.min("doc_id").alias("a")), "same").where("a <> doc_id").select("a", F.col("doc_id").alias("b"))
+    # Documents of equal words are one class, named by its smallest member.
+    words = ["same", "n", "wide"]
+    classes = materialize(own.groupBy(*words).agg(F.min("doc_id").alias("fp"), F.count("*").alias("members")), "classes")
 
     n = classes.count()
     per_table = 1 if n <= 40 * SHARD else math.ceil(n / (40 * SHARD))
@@ -233,6 +248,8 @@ def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8, tabl
             a, b, w = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else kept
             a, b, w = np.concatenate([kept[0], a]), np.concatenate([kept[1], b]), np.concatenate([kept[2], w])
             at = spanning(len(fp), a, b, w)
+            rest = np.setdiff1d(np.arange(len(w)), at)
+            at = np.concatenate([at, rest[spanning(len(fp), a[rest], b[rest], w[rest])]])
             kept, held = [a[at], b[at], w[at]], 0
             parts.clear()
 
@@ -249,7 +266,7 @@ def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8, tabl
         thin()
         return pd.DataFrame({"a": np.minimum(fp[kept[0]], fp[kept[1]]), "b": np.maximum(fp[kept[0]], fp[kept[1]])})
 
-    routed = _split_large(classes.mapInPandas(route, "t int, band int, shard int, home boolean, fp long, n long, wide binary"), ["t", "band", "shard"], SHARD_MOST)
+    routed = _split_large(classes.select("fp", "n", "wide").mapInPandas(route, "t int, band int, shard int, home boolean, fp long, n long, wide binary"), ["t", "band", "shard"], SHARD_MOST)
     edges = materialize(routed.groupBy("t", "band", "shard", "sub").applyInPandas(link, "a long, b long").distinct(), "candidates")
 
     ends = edges.select(F.col("a").alias("doc_id")).union(edges.select("b")).distinct()
@@ -257,7 +274,7 @@ def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8, tabl
 
     def sets(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["doc_id"], "hashes": [np.unique(np.concatenate([*shingle_hashes(t, k), np.empty(0, np.uint64)])).tobytes() for t in b["text"]]})
+            yield pd.DataFrame({"id": b["doc_id"], "hashes": [shingle_set(t, k).tobytes() for t in b["text"]]})
 
     def hold(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -271,8 +288,10 @@ def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8, tabl
     of = materialize(texts.select("doc_id", "text").mapInPandas(sets, "id long, hashes binary"), "shingles")
     pairs = edges.join(of.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").join(of.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
     exact = pairs.mapInPandas(hold, "a long, b long")
-    comp = components(exact.union(copies))
-    return comp.select(F.col("node").alias("doc_id"), F.col("comp").alias("group_id"))
+    comp = materialize(components(exact), "components")
+    linked = classes.join(comp, classes["fp"] == comp["node"], "left").where("members > 1 or comp is not null")
+    linked = materialize(linked.select(*words, F.coalesce("comp", "fp").alias("group_id")), "groups")
+    return own.join(linked, words).select("doc_id", "group_id")
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
