@@ -112,6 +112,30 @@ def test_deduplicate_keeps_one_of_each_group(docs, empty):
     assert simhash.deduplicate(empty).count() == 0
 
 
+def test_similar_documents_equal_brute_force(spark):
+    rng = random.Random(11)
+    texts = []
+    for _ in range(25):
+        words = [str(rng.randrange(10**6)) for _ in range(200)]
+        texts.append(" ".join(words))
+        for _ in range(rng.randrange(6)):
+            words = words[:]
+            for at in rng.sample(range(200), rng.randrange(1, 6)):
+                words[at] = str(rng.randrange(10**6))
+            texts.append(" ".join(words))
+    texts += [f"{texts[0]}\n{texts[0]}", texts[0].replace(" ", "  "), "", None, "one two", "One two"]
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for t in texts]
+    forest = vptree.Forest(len(texts))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if len(x & sets[j]) >= 0.8 * len(x | sets[j]):
+                forest.union(np.array([j]), np.array([i]))
+    root = forest.roots(np.arange(len(texts))).tolist()
+    want = {i: r for i, r in enumerate(root) if root.count(r) > 1}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["group_id"] for r in simhash.similar_documents(docs).collect()} == want
+
+
 def test_perfect_hash_is_minimal_and_rejects_strangers():
     keys = np.random.default_rng(2).integers(0, 2**63, 5000).astype(np.uint64)
     keys = np.unique(keys)
