@@ -83,10 +83,16 @@ def match(cv: DataFrame, other: DataFrame, threshold: float = 0.3, boost: float
     return mine.unionByName(rest.withColumn("detection_method", F.lit("yolo")))
 
 
-def valid(detections: DataFrame, image_area: int, least: int = 2, share: float = 0.01) -> DataFrame:
+def valid(detections: DataFrame, image_area: int | Column, least: int = 2, share: float = 0.01) -> DataFrame:
     """Detections with enough rows, columns and area for an image of the given area."""
-    size = F.col("w") * F.col("h")
-    return detections.where((F.col("rows") >= least) & (F.col("cols") >= least) & (size >= int(image_area * share)) & (size / image_area >= share))
+    size, whole = F.col("w") * F.col("h"), F.lit(image_area)
+    return detections.where((F.col("rows") >= least) & (F.col("cols") >= least) & (size >= (whole * share).cast("long")) & (size / whole >= share))
+
+
+def filled(cells: Column, least_area: int = 100, share: float = 0.5) -> Column:
+    """Whether enough of the places of a grid (columns rows, cols) have a cell of some size; true without cells."""
+    good = F.filter(cells, lambda c: (c["w"] > 0) & (c["h"] > 0) & (c["w"] * c["h"] >= least_area))
+    return (F.coalesce(F.size(cells), F.lit(0)) == 0) | (F.size(good) / (F.col("rows") * F.col("cols")) >= share)
 
 
 def cascade(detections: DataFrame, least: float = 0.7) -> DataFrame:

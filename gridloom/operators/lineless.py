@@ -58,7 +58,7 @@ def adjacency(blocks: DataFrame, distance: float = 50.0) -> DataFrame:
 def page_components(edges: DataFrame) -> DataFrame:
     """(page_id, block_id, component): the smallest block that each linked block reaches. Links never cross pages, so the
     edges of a page meet in one row, bounded by what fits on a sheet, and one pass of union-find labels its blocks."""
-    per = edges.groupBy("page_id").agg(F.collect_list("src").alias("a"), F.collect_list("dst").alias("b"))
+    per = edges.groupBy("page_id").agg(F.collect_list(F.col("src").cast("long")).alias("a"), F.collect_list(F.col("dst").cast("long")).alias("b"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,9 +77,9 @@ def page_components(edges: DataFrame) -> DataFrame:
                 pages += [page] * len(parent)
                 blocks += parent
                 roots += map(find, parent)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (pages, blocks, roots)], ["page_id", "block_id", "component"])
+            yield pa.RecordBatch.from_arrays([pa.array(pages, batch.schema.field("page_id").type), *(pa.array(x, pa.int64()) for x in (blocks, roots))], ["page_id", "block_id", "component"])
 
-    return per.mapInArrow(run, "page_id long, block_id long, component long")
+    return per.mapInArrow(run, f"page_id {per.schema['page_id'].dataType.simpleString()}, block_id long, component long")
 
 
 def graph_tables(blocks: DataFrame, distance: float = 50.0, tolerance: int = 20, least_blocks: int = 4, most: float = 0.5) -> DataFrame:

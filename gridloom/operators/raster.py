@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..config import DetectorConfig, Profile
 
@@ -218,6 +219,26 @@ def deskewed(img: np.ndarray) -> np.ndarray:
     return rotated(img, angle) if abs(angle) > 0.5 else img
 
 
+def segments(mask: np.ndarray, least: int, length: int, gap: int = 10) -> list[tuple[int, int, int, int]]:
+    """Line segments (x1, y1, x2, y2) of a mask: points of the strongest lines, cut where they are further apart than gap;
+    those of enough length stay, and their points vote for no other line."""
+    free, out = mask.copy(), []
+    for rho, theta in hough(mask, np.arange(0.0, 180.0), least):
+        y, x = np.nonzero(free)
+        on = np.abs(x * np.cos(theta) + y * np.sin(theta) - rho) <= 0.5
+        if on.sum() < least:
+            continue
+        y, x = y[on], x[on]
+        along = np.round(y * np.cos(theta) - x * np.sin(theta)).astype(int)
+        order = np.argsort(along, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(along[order]) > gap) + 1):
+            if along[part[-1]] - along[part[0]] >= length:
+                a, b = part[0], part[-1]
+                out.append((int(x[a]), int(y[a]), int(x[b]), int(y[b])))
+                free[y[part], x[part]] = False
+    return out
+
+
 def warped(img: np.ndarray, corners: np.ndarray, least: int = 100) -> np.ndarray:
     """The quadrilateral tl, tr, br, bl as an upright image; unchanged where a side is shorter than least."""
     tl, tr, br, bl = (np.asarray(c, np.float64) for c in corners)
@@ -246,20 +267,45 @@ def ordered(points: np.ndarray) -> np.ndarray:
     return points[[s.argmin(), d.argmin(), s.argmax(), d.argmax()]]
 
 
+def plausible(c: np.ndarray) -> bool:
+    """Whether the angles of four ordered corners lie between 60 and 120 degrees."""
+    a, b = np.roll(c, 1, 0) - c, np.roll(c, -1, 0) - c
+    cos = (a * b).sum(1) / (np.hypot(*a.T) * np.hypot(*b.T) + 1e-10)
+    angle = np.degrees(np.arccos(np.clip(cos, -1, 1)))
+    return bool(((angle >= 60) & (angle <= 120)).all())
+
+
+def crossing_corners(img: np.ndarray) -> np.ndarray | None:
+    """Corners where the outermost nearly level lines cross the outermost nearly upright ones, if plausible."""
+    lines = hough(edges(gauss(img, 1.1), 25), np.arange(0.0, 180.0), 100)
+    level = sorted(x for x in lines if 80 < np.degrees(x[1]) < 100)
+    turned = [(-r, t - np.pi) if np.degrees(t) > 170 else (r, t) for r, t in lines]  # so that rho tells left from right
+    upright = sorted(x for x in turned if np.degrees(x[1]) < 10)
+    if len(level) < 2 or len(upright) < 2:
+        return None
+    met = []
+    for r, t in (level[0], level[-1]):
+        for q, u in (upright[0], upright[-1]):
+            m = np.array([[np.cos(t), np.sin(t)], [np.cos(u), np.sin(u)]])
+            if abs(np.linalg.det(m)) >= 1e-10:
+                met.append(np.linalg.solve(m, [r, q]))
+    corners = ordered(np.array(met)) if len(met) == 4 else None
+    return corners if corners is not None and plausible(corners) else None
+
+
 def page_corners(img: np.ndarray) -> np.ndarray | None:
-    """Corners of the brightest large region if it is a plausible page of a tenth of the image, else None."""
+    """Corners of the brightest large region if it is a plausible page of a tenth of the image, else those of its
+    outermost lines, else None."""
     labels = components(img > otsu(img))
     boxes = [(n, label) for label, n in zip(*np.unique(labels[labels > 0], return_counts=True), strict=True)]
     for n, label in sorted(boxes, reverse=True)[:10]:
         if n < 0.1 * img.size:
-            return None
+            break
         y, x = np.nonzero(labels == label)
         c = ordered(np.stack([x, y], 1))
-        side = np.roll(c, 1, 0) - c, np.roll(c, -1, 0) - c
-        cos = (side[0] * side[1]).sum(1) / (np.hypot(*side[0].T) * np.hypot(*side[1].T) + 1e-10)
-        if ((np.degrees(np.arccos(np.clip(cos, -1, 1))) >= 60) & (np.degrees(np.arccos(np.clip(cos, -1, 1))) <= 120)).all():
+        if plausible(c):
             return c
-    return None
+    return crossing_corners(img)
 
 
 def components(mask: np.ndarray) -> np.ndarray:
@@ -347,7 +393,14 @@ def binaries(img: np.ndarray, config: DetectorConfig) -> list[np.ndarray]:
 def detect_lines(img: np.ndarray, config: DetectorConfig = DetectorConfig()) -> list[dict]:
     g = gray(img)
     g = clahe(g, config.clahe_clip_limit, config.clahe_tile_size) if config.use_clahe else g
-    return [t | {"pass": i} for i, b in enumerate(binaries(g, config)) for t in grid_tables(g, b, config)]
+    found = [t | {"pass": i} for i, b in enumerate(binaries(g, config)) for t in grid_tables(g, b, config)]
+    return [t | {"det_id": k} for k, t in enumerate(found)]
+
+
+def detect_segments(img: np.ndarray, config: DetectorConfig = DetectorConfig()) -> list[tuple[int, int, int, int]]:
+    g = gray(img)
+    g = clahe(g, config.clahe_clip_limit, config.clahe_tile_size) if config.use_clahe else g
+    return segments(edges(g), config.hough_threshold, max(config.min_line_length, min(g.shape) // 20))
 
 
 def preprocess(img: np.ndarray, profile: Profile = Profile()) -> np.ndarray:
@@ -380,23 +433,48 @@ def pixels(row: dict) -> np.ndarray:
     return img[..., 0] if row["channels"] == 1 else img[..., :3]
 
 
-DETECTED = "path string, x long, y long, w long, h long, rows long, cols long, confidence double, pass int, cells array<struct<x:long,y:long,w:long,h:long>>"
+_BOX, _LINE = "x:long,y:long,w:long,h:long", "x1:long,y1:long,x2:long,y2:long"
+DETECTED = f"path string, height int, width int, tables array<struct<det_id:long,pass:long,{_BOX},rows:long,cols:long,confidence:double,cells:array<struct<{_BOX}>>>>, segments array<struct<{_LINE}>>"
 
 
-def detect_tables(images: DataFrame, config: DetectorConfig = DetectorConfig(), profile: Profile | None = None) -> DataFrame:
-    """Ruled tables of images (path, height, width, channels, data), one row for each and binarization; dedupe.merge()
-    unites them. One image is in memory at a time."""
+def detect(images: DataFrame, config: DetectorConfig = DetectorConfig(), profile: Profile | None = None) -> DataFrame:
+    """(path, height, width, tables, segments) of each image (path, height, width, channels, data): ruled tables of every
+    binarization and line segments, of the image as the profile prepares it. One image is in memory at a time."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 row = b.slice(i, 1).to_pylist()[0]
-                img = pixels(row)
-                found = detect_lines(preprocess(img, profile) if profile else img, config)
-                rows = [t | {"path": row["path"], "cells": [dict(zip("xywh", c, strict=True)) for c in t["cells"]]} for t in found]
-                cell = pa.list_(pa.struct([(n, pa.int64()) for n in "xywh"]))
-                kinds = {"path": pa.string(), "confidence": pa.float64(), "pass": pa.int32(), "cells": cell}
-                names = [p.split()[0] for p in DETECTED.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kinds.get(n, pa.int64())) for n in names], names)
-
-    return images.mapInArrow(run, DETECTED)
+                img = preprocess(pixels(row), profile) if profile else pixels(row)
+                found = [t | {"cells": [dict(zip("xywh", c, strict=True)) for c in t["cells"]]} for t in detect_lines(img, config)]
+                lines = [dict(zip(("x1", "y1", "x2", "y2"), s, strict=True)) for s in detect_segments(img, config)]
+                made = {"path": row["path"], "height": img.shape[0], "width": img.shape[1], "tables": found, "segments": lines}
+                yield pa.RecordBatch.from_pylist([made], _ARROW)
+
+    return images.select("path", "height", "width", "channels", "data").mapInArrow(run, DETECTED)
+
+
+_CELLS = pa.list_(pa.struct([(n, pa.int64()) for n in "xywh"]))
+_TABLE = pa.struct([*((n, pa.int64()) for n in ("det_id", "pass", "x", "y", "w", "h", "rows", "cols")), ("confidence", pa.float64()), ("cells", _CELLS)])
+_SEGMENT = pa.struct([(n, pa.int64()) for n in ("x1", "y1", "x2", "y2")])
+_ARROW = pa.schema([("path", pa.string()), ("height", pa.int32()), ("width", pa.int32()), ("tables", pa.list_(_TABLE)), ("segments", pa.list_(_SEGMENT))])
+
+
+def prepared(images: DataFrame, profile: Profile) -> DataFrame:
+    """images with gray pixels as the profile prepares them; sizes follow."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                row = b.slice(i, 1).to_pylist()[0]
+                img = preprocess(pixels(row), profile)
+                made = {"path": row["path"], "height": img.shape[0], "width": img.shape[1], "channels": 1, "data": img.tobytes()}
+                yield pa.RecordBatch.from_pylist([made], pa.schema([("path", pa.string()), ("height", pa.int32()), ("width", pa.int32()), ("channels", pa.int32()), ("data", pa.binary())]))
+
+    return images.select("path", "height", "width", "channels", "data").mapInArrow(run, "path string, height int, width int, channels int, data binary")
+
+
+def detect_tables(images: DataFrame, config: DetectorConfig = DetectorConfig(), profile: Profile | None = None) -> DataFrame:
+    """Ruled tables of images, one row for each and binarization; dedupe.merge() unites them."""
+    found = detect(images, config, profile).select("path", F.explode("tables").alias("t"))
+    return found.select("path", "t.*")

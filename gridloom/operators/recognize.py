@@ -7,11 +7,12 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import blank
-from .raster import for_recognition, pixels
+from .raster import for_recognition, gray, pixels
 
 
 class Engine(Protocol):
@@ -87,3 +88,51 @@ def model_regions(found: DataFrame, threshold: float | None = None, default: flo
     kept = found.where((F.col("confidence") >= (threshold or default)) & table)
     x, y = F.col("x1").cast("long"), F.col("y1").cast("long")
     return kept.select("page_id", x.alias("x"), y.alias("y"), (F.col("x2").cast("long") - x).alias("w"), (F.col("y2").cast("long") - y).alias("h"), "confidence", "class_name")
+
+
+#: Page mode of a search for words anywhere on a page. Fixed value.
+SPARSE = 11
+_REGION = "path string, cell_id string, pos int, source string, text string, confidence double"
+
+
+def recognize_regions(pages: DataFrame, makers: tuple[Callable[[], Engine], ...] = (InkEngine,), pad: int = 3, least: int = 32, smooth: bool = True) -> DataFrame:
+    """(path, cell_id, pos, source, text, confidence): what each engine, in order, reads in the regions of pages (path,
+    height, width, channels, data, cells array of cell_id, x, y, w, h). An image moves once for all its cells. Words of
+    positive confidence are joined; engines that read none give no row. Regions off the page give none."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        engines = [_engine(m) for m in makers]
+        for b in batches:
+            for i in range(b.num_rows):
+                row = b.slice(i, 1).to_pylist()[0]
+                img, out = pixels(row), []
+                for c in row["cells"] or []:
+                    region = img[max(0, c["y"] - pad) : max(0, c["y"] + c["h"] + pad), max(0, c["x"] - pad) : max(0, c["x"] + c["w"] + pad)]
+                    if not region.size:
+                        continue
+                    ready = for_recognition(region, least, smooth)
+                    for pos, engine in enumerate(engines):
+                        said = [(t, p) for t, p, _ in engine.words(ready, page_mode(ready.shape[0])) if p > 0 and t.strip()]
+                        if said:
+                            out.append((row["path"], c["cell_id"], pos, engine.name, " ".join(t for t, _ in said), sum(p for _, p in said) / len(said) / 100))
+                columns = list(zip(*out, strict=True)) or [()] * 6
+                kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds, strict=True)], [f.split()[0] for f in _REGION.split(", ")])
+
+    return pages.select("path", "height", "width", "channels", "data", "cells").mapInArrow(run, _REGION)
+
+
+def page_words(images: DataFrame, make: Callable[[], Engine] = InkEngine) -> DataFrame:
+    """(page_id, block_id, word, confidence, x, y, w, h): the words that an engine finds anywhere on each image."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        engine = _engine(make)
+        for b in batches:
+            for i in range(b.num_rows):
+                row = b.slice(i, 1).to_pylist()[0]
+                found = [(row["path"], k, t, float(c), *map(int, box)) for k, (t, c, box) in enumerate(engine.words(gray(pixels(row)), SPARSE))]
+                names = ["page_id", "block_id", "word", "confidence", "x", "y", "w", "h"]
+                kinds = [pa.string(), pa.int64(), pa.string(), pa.float64(), *[pa.int64()] * 4]
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(list(zip(*found, strict=True)) or [()] * 8, kinds, strict=True)], names)
+
+    return images.select("path", "height", "width", "channels", "data").mapInArrow(run, "page_id string, block_id long, word string, confidence double, x long, y long, w long, h long")
