@@ -12,6 +12,7 @@ from ..functions import text as X
 from ..operators import cluster, dedupe, edits, lineless, tables, vote
 from ..session import prepare
 from ..sources import projects
+from . import extract
 from . import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -219,6 +220,21 @@ def segment_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.segment_kinds(fx.segments(spark, sf_dir)).select("page_id", "seg_id", "kind")
 
 
+@query(
+    "crossing_tables",
+    f"""WITH {fx.SQL['pages']}, s AS (SELECT page_id, CASE WHEN l_partkey % 2 = 0 THEN 0 ELSE 60 * (l_suppkey % 6) END AS x1, CASE WHEN l_partkey % 2 = 0 THEN 30 * (l_suppkey % 8) ELSE 0 END AS y1,
+CASE WHEN l_partkey % 2 = 0 THEN 200 ELSE 60 * (l_suppkey % 6) + 12 * (l_linenumber - 4) END AS x2, CASE WHEN l_partkey % 2 = 0 THEN 30 * (l_suppkey % 8) + 12 * (l_linenumber - 4) ELSE 200 END AS y2 FROM li),
+a AS (SELECT *, abs(degrees(atan2(y2 - y1, x2 - x1))) AS a, count(*) OVER (PARTITION BY page_id) AS n FROM s),
+hs AS (SELECT page_id, least(y1, y2) AS cy FROM a WHERE n >= 4 AND (a < 10 OR a > 170)), vs AS (SELECT page_id, least(x1, x2) AS cx FROM a WHERE n >= 4 AND a > 80 AND a < 100),
+{_clusters('y', 'hs', 'page_id', 'r')}, {_clusters('x', 'vs', 'page_id', 'c')},
+rr AS (SELECT page_id, min(center) AS y, max(center) - min(center) AS h, count(*) - 1 AS rows FROM r GROUP BY page_id), cc AS (SELECT page_id, min(center) AS x, max(center) - min(center) AS w, count(*) - 1 AS cols FROM c GROUP BY page_id)
+SELECT page_id, x, y, w, h, rows, cols, rows * cols AS n_cells, CAST(0.7 AS DOUBLE) AS confidence FROM rr JOIN cc USING (page_id) WHERE rows >= 2 AND cols >= 2""",
+)
+def crossing_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract.crossing_tables(fx.segments(spark, sf_dir))
+    return found.select("page_id", "x", "y", "w", "h", "rows", "cols", F.size("cells").cast("long").alias("n_cells"), "confidence")
+
+
 @query("hybrid_cascade", f"WITH {_DET} SELECT page_id, NOT bool_and(confidence >= 0.7) AS second_look FROM det WHERE det_id % 5 = 0 GROUP BY page_id")
 def hybrid_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.cascade(fx.detections(spark, sf_dir).where("det_id % 5 = 0"))

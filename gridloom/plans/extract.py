@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import DetectorConfig, Profile
 from ..operators import cluster, dedupe, lineless, raster, recognize, tables, vote
+from ..sources import images as image_files
+from ..sources import projects
 
 #: det_id of a page's table of crossing lines; those of ruled tables are smaller.
 CROSSING = 1 << 40
@@ -106,3 +108,23 @@ def extract(
     seen = tables.stats(cells).select("table_id", "n_cells", "fill", "avg_confidence", "has_merged", "n_review")
     made = named.withColumnRenamed("confidence", "detection_confidence").withColumnRenamed("table_name", "name").drop("cells").join(seen, "table_id")
     return tables.warnings(made), cells
+
+
+def extract_files(spark: SparkSession, path: str, folder: str, fail: bool = True, **options) -> tuple[DataFrame, DataFrame]:
+    """extract() of the image files at path; an unreadable one is an error, or left out unless fail."""
+    return extract(image_files.read(spark, path, fail), folder, **options)
+
+
+def as_projects(found: DataFrame, cells: DataFrame) -> DataFrame:
+    """One project for each page, of what extract() returns: project_id (the page's), name, image_path and nested tables,
+    as projects.to_json() and the functions of that module take them. Pages without tables have none."""
+    cell = F.struct(
+        "row", "col", "text", "confidence", F.array("x", "y", "w", "h").alias("bbox"), "is_merged", F.array(F.lit(1), F.lit(1)).alias("merge_span"), "original_text", "alternatives", "needs_review",
+    )
+    listed = cells.groupBy("table_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", cell.alias("c")))), lambda x: x["c"]).alias("cells"))
+    columns = tables.auto_columns(found).groupBy("table_id").agg(F.sort_array(F.collect_list(F.struct("index", "name", "enabled", "width"))).alias("columns"))
+    item = F.struct(
+        F.col("table_id").alias("id"), "name", "rows", "cols", "cells", "columns", F.array("x", "y", "w", "h").alias("bbox"), F.lit(True).alias("enabled"), F.col("has_merged").alias("has_merged_cells"), "avg_confidence", "warnings",
+    ).cast(projects.TABLE)
+    per = found.join(listed, "table_id").join(columns, "table_id").groupBy(F.col("page_id").alias("project_id")).agg(F.sort_array(F.collect_list(F.struct("det_id", item.alias("t")))).alias("l"))
+    return per.select("project_id", F.regexp_replace(F.element_at(F.split("project_id", "/"), -1), r"\.[^.]*$", "").alias("name"), F.col("project_id").alias("image_path"), F.transform("l", lambda x: x["t"]).alias("tables"))

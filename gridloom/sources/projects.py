@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 _ALT = "struct<text:string,confidence:double,source:string>"
 _CELL = f"struct<row:bigint,col:bigint,text:string,confidence:double,bbox:array<bigint>,is_merged:boolean,merge_span:array<bigint>,original_text:string,alternatives:array<{_ALT}>,needs_review:boolean>"
 _COLUMN = "struct<index:bigint,name:string,enabled:boolean,width:bigint>"
-_TABLE = f"struct<id:string,name:string,rows:bigint,cols:bigint,cells:array<{_CELL}>,columns:array<{_COLUMN}>,bbox:array<bigint>,enabled:boolean,has_merged_cells:boolean,avg_confidence:double,warnings:array<string>>"
+TABLE = f"struct<id:string,name:string,rows:bigint,cols:bigint,cells:array<{_CELL}>,columns:array<{_COLUMN}>,bbox:array<bigint>,enabled:boolean,has_merged_cells:boolean,avg_confidence:double,warnings:array<string>>"
 _PROFILE = "struct<name:string,deskew:boolean,denoise:boolean,contrast_enhance:boolean,threshold_value:bigint,line_enhancement:boolean,perspective_correction:boolean,shadow_removal:boolean>"
-PROJECT = f"name string, image_path string, profile {_PROFILE}, tables array<{_TABLE}>, created_at string, modified_at string, image_data string, processed_image_data string, roi array<array<double>>"
+PROJECT = f"name string, image_path string, profile {_PROFILE}, tables array<{TABLE}>, created_at string, modified_at string, image_data string, processed_image_data string, roi array<array<double>>"
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -25,7 +25,7 @@ def parse(text: DataFrame, column: str = "json") -> DataFrame:
 
 
 def _fields() -> list[str]:
-    return ["name string", "image_path string", f"profile {_PROFILE}", f"tables array<{_TABLE}>", "created_at string", "modified_at string", "image_data string", "processed_image_data string", "roi array<array<double>>"]
+    return ["name string", "image_path string", f"profile {_PROFILE}", f"tables array<{TABLE}>", "created_at string", "modified_at string", "image_data string", "processed_image_data string", "roi array<array<double>>"]
 
 
 def _or(c: Column | str, value) -> Column:

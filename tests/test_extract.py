@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gridloom.config import DetectorConfig
 from gridloom.operators import raster
 from gridloom.plans import extract
+from gridloom.sources import projects
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers don't see the tests' folder
 IMAGE = "path string, height int, width int, channels int, data binary"
@@ -108,3 +109,18 @@ def test_pages_without_lines_and_without_tables(spark, tmp_path):
     assert again.count() == 0 and none.count() == 0
     again, none = extract.extract(images.limit(0), f"file://{tmp_path}/c")
     assert again.count() == 0 and none.count() == 0
+
+
+def test_files_become_projects(spark, tmp_path):
+    img = ruled()
+    head = b"BM" + (54 + img.size * 3).to_bytes(4, "little") + bytes(4) + (54).to_bytes(4, "little")
+    info = (40).to_bytes(4, "little") + img.shape[1].to_bytes(4, "little") + img.shape[0].to_bytes(4, "little") + b"\1\0\x18\0" + bytes(24)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "page.one.bmp").write_bytes(head + info + np.repeat(img[::-1, :, None], 3, 2).tobytes())
+    tables, cells = extract.extract_files(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out", engines=(Sure,))
+    back = projects.parse(projects.to_json(extract.as_projects(tables, cells)))
+    assert [r["name"] for r in back.collect()] == ["page.one"] and projects.columns(back).count() == 4
+    got = projects.cells(back).orderBy("pos").collect()
+    assert [(r["row"], r["col"], r["text"]) for r in got] == [(i, j, "W") for i in range(3) for j in range(4)] and got[0]["w"] > 0
+    t = projects.tables(back).first()
+    assert (t["rows"], t["cols"], t["enabled"], round(t["avg_confidence"], 9)) == (3, 4, True, 0.8)
