@@ -9,6 +9,7 @@ place of each array, its length in the last 8 bytes, and the magic again. Rows w
 
 from __future__ import annotations
 
+import itertools
 import json
 import struct
 import unicodedata
@@ -30,7 +31,9 @@ from .perfect_hash import PerfectHash, fingerprint
 
 MAGIC = b"TOKSHRD1"
 #: Words that a worker's cache holds before it starts anew (twice as many pieces), and the longest of either.
-CACHE, CACHED_BYTES = 400_000, 64
+CACHE, CACHED_BYTES = 200_000, 64
+#: Words that a worker keeps from task to task; idle workers must not hold a full cache each.
+KEPT = 100_000
 
 
 def _open_fs(uri: str) -> tuple[files.FileSystem, str]:
@@ -102,6 +105,14 @@ class WordEncoder:
         """The text's ids, as raw bytes of the encoder's width."""
         return b"".join(map(self.words.__getitem__, text.encode("utf-8", "replace").split()))
 
+    def rest(self) -> None:
+        """Cuts large caches at the end of a task to what came first, which is what comes often."""
+        for cache, most in ((self.words, KEPT), (self.words.pieces, 2 * KEPT)):
+            if len(cache) > most:
+                first = list(itertools.islice(cache.items(), most))
+                cache.clear()
+                cache.update(first)
+
 
 _ENCODERS: dict[str, WordEncoder] = {}
 
@@ -210,6 +221,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> l
             for key, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                 shard = shard or ShardWriter(folder, part, e.width)
                 shard.add(key, e.encode(text.as_py() or "") + end)
+        e.rest()
         if shard:
             rows, tokens = shard.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "uri": [shard.uri], "rows": [rows], "tokens": [tokens]})
