@@ -20,8 +20,8 @@ from .vptree import Forest, Tree, close_pairs, spanning
 SAMPLE = 8192
 #: Fingerprints that a shard is planned for, and rows beyond which it is split into blocks.
 SHARD, SHARD_MOST = 16_384, 200_000
-#: Shingles hashed at once.
-CHUNK = 1 << 15
+#: Shingles hashed at once, and shingle hashes beyond which a family of candidates is dealt into blocks.
+CHUNK, SETS_MOST = 1 << 15, 1 << 22
 
 
 def shingle_hashes(text: str | None, k: int) -> Iterator[np.ndarray]:
@@ -112,6 +112,28 @@ def _split_large(routed: DataFrame, keys: list[str], most: int) -> DataFrame:
     return dealt.withColumn("home", F.col("home") & (F.col("sub") == F.col("__own"))).drop("__n", "__own")
 
 
+def _dealt(rows: DataFrame, keys: list[str], most: int, size: str) -> DataFrame:
+    """Adds columns own, i and j: groups whose sizes sum to over most are dealt into blocks, and a row of block own goes to
+    every task (i, j), i <= j, of which own is one. Each pair of rows has one task, and a task holds two blocks at most."""
+    large = rows.groupBy(*keys).agg(F.sum(size).alias("__size")).where(F.col("__size") > most)
+    large = materialize(large.select(*keys, F.ceil(F.col("__size") / most).cast("int").alias("__n")), "large")
+    dealt = rows.join(large, keys, "left").withColumn("__n", F.coalesce("__n", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("__n")).cast("int")).withColumn("__at", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+    return dealt.withColumn("i", F.least("own", "__at")).withColumn("j", F.greatest("own", "__at")).drop("__n", "__at")
+
+
+def dealt_pairs(fps: np.ndarray, home: np.ndarray, own: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The close pairs of a task of _dealt: those of its one block, or those that lie across its two."""
+    second = own != own.min() if len(own) else home
+    if not second.any():
+        yield from close_pairs(fps, home, radius)
+        return
+    for homes, others in ((home & second, ~second), (home & ~second, second & ~home)):
+        at = np.flatnonzero(homes | others)
+        for a, b in close_pairs(fps[at], homes[at], radius, among=False):
+            yield at[a], at[b]
+
+
 def linked_fingerprints(fps: DataFrame, radius: int = 2) -> DataFrame:
     """(a, b): edges that connect exactly the distinct fingerprints (column fp) reachable by steps of at most radius bits.
 
@@ -192,9 +214,11 @@ def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8, tabl
 
     Two documents link if the sets of their k-word shingles have Jaccard similarity of at least ``similarity``.
     Candidates: each of ``tables`` samples ``bits`` bits of a 256-bit SimHash, and a vantage-point tree finds the pairs
-    within ``radius`` bits among documents whose numbers of distinct shingles allow the similarity. A shard returns two
-    edge-disjoint minimum spanning forests of its candidates by wide distance, never all pairs; the second joins what
-    falls apart where an edge of the first fails. Each edge is then held against the exact shingle sets. Bit sampling
+    within ``radius`` bits among documents whose numbers of distinct shingles allow the similarity. Every candidate is
+    held against the exact shingle sets unless its ends are linked already. First come two edge-disjoint minimum spanning
+    forests of a shard's candidates by wide distance, never all pairs. A family of candidates that these links leave in
+    several parts, with pairs outside the forests, then meets again with its shingle sets, and all its pairs across parts
+    are held inside the task; only links leave it. Bit sampling
     finds a pair of similarity 0.8 in some table with probability 0.99, one of 0.9 with over 0.9999; more tables raise
     both. Documents of equal words are one class from the start; only classes are searched and labelled.
     """
@@ -236,12 +260,20 @@ def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8, tabl
     angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
     most = PARTS * 64 * angle + 4 * math.sqrt(PARTS * 64 * angle * (1 - angle))
 
+    def likely(wide: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(wide distance, whether the pair is a candidate) of each pair."""
+        w = np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1, dtype=np.int64)
+        return w, (w <= most) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]))
+
+    shard = ["t", "band", "shard", "sub"]
+
     def link(group: pd.DataFrame) -> pd.DataFrame:
         wide = np.frombuffer(b"".join(group["wide"]), np.uint64).reshape(-1, PARTS)
         fp, size = group["fp"].to_numpy(np.int64), group["n"].to_numpy(np.int64)
         home = group["home"].to_numpy(bool)
         kept = [np.empty(0, np.int64)] * 3
         held = 0
+        met = np.zeros(len(fp), np.int64)
 
         def thin() -> None:
             nonlocal kept, held
@@ -255,19 +287,27 @@ def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8, tabl
 
         parts: list = []
         for a, b in close_pairs(_gathered(wide, masks[int(group["t"].iloc[0])], bits), home, radius):
-            w = np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1, dtype=np.int64)
-            low, high = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
-            ok = (w <= most) & (low >= similarity * high)
+            w, ok = likely(wide, size, a, b)
             if ok.any():
                 parts.append((a[ok], b[ok], w[ok]))
+                met += np.bincount(a[ok], minlength=len(fp))
                 held += int(ok.sum())
             if held > 1 << 20:
                 thin()
         thin()
-        return pd.DataFrame({"a": np.minimum(fp[kept[0]], fp[kept[1]]), "b": np.maximum(fp[kept[0]], fp[kept[1]])})
+        # Families with candidates outside the forests name their members, as rows of which a is b.
+        forest = Forest(len(fp))
+        forest.union(kept[0], kept[1])
+        root = forest.roots(np.arange(len(fp)))
+        more = np.bincount(root, met, len(fp)) > np.bincount(root[kept[0]], minlength=len(fp))
+        at = np.flatnonzero(more[root])
+        edge = {"root": np.int32(-1), "home": False, "a": np.minimum(fp[kept[0]], fp[kept[1]]), "b": np.maximum(fp[kept[0]], fp[kept[1]]), "n": np.int64(0), "wide": b""}
+        member = {"root": root[at].astype(np.int32), "home": home[at], "a": fp[at], "b": fp[at], "n": size[at], "wide": group["wide"].to_numpy(object)[at]}
+        return pd.concat([pd.DataFrame(edge), pd.DataFrame(member)]).assign(**{key: group[key].iloc[0] for key in shard})
 
     routed = _split_large(classes.select("fp", "n", "wide").mapInPandas(route, "t int, band int, shard int, home boolean, fp long, n long, wide binary"), ["t", "band", "shard"], SHARD_MOST)
-    edges = materialize(routed.groupBy("t", "band", "shard", "sub").applyInPandas(link, "a long, b long").distinct(), "candidates")
+    found = materialize(routed.groupBy(*shard).applyInPandas(link, "t int, band int, shard int, sub int, root int, home boolean, a long, b long, n long, wide binary"), "candidates")
+    edges = materialize(found.where("a <> b").select("a", "b").distinct(), "edges")
 
     ends = edges.select(F.col("a").alias("doc_id")).union(edges.select("b")).distinct()
     texts = maybe_in(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", ends).where("__maybe").join(ends, "doc_id", "left_semi")
@@ -289,6 +329,55 @@ def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8, tabl
     pairs = edges.join(of.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").join(of.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
     exact = pairs.mapInPandas(hold, "a long, b long")
     comp = materialize(components(exact), "components")
+
+    # Families that are still in parts.
+    family = [*shard, "root"]
+    members = found.where("a = b").withColumnRenamed("a", "fp").drop("b")
+    members = materialize(members.join(comp, members["fp"] == comp["node"], "left").withColumn("part", F.coalesce("comp", "fp")).drop("node", "comp"), "members")
+    apart = materialize(members.groupBy(*family).agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select(*family), "apart")
+
+    def settle(group: pd.DataFrame) -> pd.DataFrame:
+        wide = np.frombuffer(b"".join(group["wide"]), np.uint64).reshape(-1, PARTS)
+        fp, size, t = group["fp"].to_numpy(np.int64), group["n"].to_numpy(np.int64), int(group["t"].iloc[0])
+        hashes, coded = np.unique(np.frombuffer(b"".join(group["hashes"]), np.uint64), return_inverse=True)
+        sets = np.split(coded.astype(np.int32), np.cumsum(size)[:-1])
+        mark = np.zeros(len(hashes), bool)
+        parts, part = np.unique(group["part"].to_numpy(np.int64), return_inverse=True)
+        forest, links = Forest(len(parts)), []
+        for a, b in dealt_pairs(_gathered(wide, masks[t], bits), group["home"].to_numpy(bool), group["own"].to_numpy(np.int64), radius):
+            w, ok = likely(wide, size, a, b)
+            ok &= forest.roots(part[a]) != forest.roots(part[b])
+            for mask in masks[:t]:  # a pair that an earlier table finds is held there
+                ok &= np.bitwise_count((wide[a] ^ wide[b]) & mask).sum(axis=1) > radius
+            order = np.flatnonzero(ok)
+            if not len(order):
+                continue
+            order = order[np.lexsort((w[order], a[order]))]
+            a, b = a[order], b[order]
+            first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+            for low, high in zip(first.tolist(), [*first[1:].tolist(), len(a)], strict=True):
+                x = int(a[low])
+                mark[sets[x]] = True
+                for at in range(low, high, 256):
+                    ys = b[at : min(at + 256, high)]
+                    ys = ys[forest.roots(part[ys]) != forest.roots(part[[x]])]
+                    if not len(ys):
+                        continue
+                    starts = np.cumsum(size[ys]) - size[ys]
+                    both = np.add.reduceat(mark[np.concatenate([sets[y] for y in ys])], starts, dtype=np.int64)
+                    for y in ys[both >= similarity * (size[x] + size[ys] - both)].tolist():
+                        if forest.roots(part[[x]])[0] != forest.roots(part[[y]])[0]:
+                            forest.union(part[[x]], part[[y]])
+                            links.append((fp[x], fp[y]))
+                mark[sets[x]] = False
+        return pd.DataFrame(np.array(links, np.int64).reshape(-1, 2), columns=["a", "b"])
+
+    if not apart.isEmpty():
+        again = _dealt(members.join(apart, family, "left_semi"), family, SETS_MOST, "n")
+        again = again.join(of.withColumnRenamed("id", "fp"), "fp")
+        later = materialize(again.groupBy(*family, "i", "j").applyInPandas(settle, "a long, b long"), "later")
+        if not later.isEmpty():
+            comp = materialize(components(comp.selectExpr("node as a", "comp as b").union(later)), "components")
     linked = classes.join(comp, classes["fp"] == comp["node"], "left").where("members > 1 or comp is not null")
     linked = materialize(linked.select(*words, F.coalesce("comp", "fp").alias("group_id")), "groups")
     return own.join(linked, words).select("doc_id", "group_id")

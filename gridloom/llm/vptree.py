@@ -100,8 +100,9 @@ class Tree:
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def close_pairs(fps: np.ndarray, home: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs (i, j) within the radius of which j is a home point, each once, in blocks of bounded size."""
+def close_pairs(fps: np.ndarray, home: np.ndarray, radius: int, among: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs (i, j) within the radius of which j is a home point, each once, in blocks of bounded size; those of two
+    home points only if ``among``."""
     own, asking = np.flatnonzero(home), np.flatnonzero(~home)
     stack = [(own, asking)]
     while stack:
@@ -110,15 +111,16 @@ def close_pairs(fps: np.ndarray, home: np.ndarray, radius: int) -> Iterator[tupl
             continue
         split = best_split(fps[h], fps[q], radius) if len(h) > LEAF else None
         if split is None or split[2] > 0.9:
-            yield from _all_pairs(fps, h, q, radius)
+            yield from _all_pairs(fps, h, q, radius, among)
             continue
         v, mu, _ = split
         dh, dq = distance(fps[h], v), distance(fps[q], v)
         stack.append((h[dh <= mu], q[dq <= mu + radius]))
-        stack.append((h[dh > mu], np.concatenate([q[dq > mu - radius], h[(dh <= mu) & (dh > mu - radius)]])))
+        near = h[(dh <= mu) & (dh > mu - radius)] if among else h[:0]
+        stack.append((h[dh > mu], np.concatenate([q[dq > mu - radius], near])))
 
 
-def _all_pairs(fps: np.ndarray, h: np.ndarray, q: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _all_pairs(fps: np.ndarray, h: np.ndarray, q: np.ndarray, radius: int, among: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     cols = min(len(h), 4096)
     rows = max(1, BLOCK_CELLS // cols)
     for c in range(0, len(h), cols):
@@ -127,7 +129,7 @@ def _all_pairs(fps: np.ndarray, h: np.ndarray, q: np.ndarray, radius: int) -> It
             x, y = np.nonzero(np.bitwise_count(fps[q[r : r + rows], None] ^ fps[None, part]) <= radius)
             if len(x):
                 yield q[r + x], part[y]
-        for r in range(0, c + len(part), rows):
+        for r in range(0, c + len(part) if among else 0, rows):
             block = h[r : min(r + rows, c + len(part))]
             x, y = np.nonzero(np.bitwise_count(fps[block, None] ^ fps[None, part]) <= radius)
             once = r + x < c + y

@@ -136,6 +136,24 @@ def test_similar_documents_equal_brute_force(spark):
     assert {r["doc_id"]: r["group_id"] for r in simhash.similar_documents(docs).collect()} == want
 
 
+@pytest.mark.parametrize("most", [1 << 22, 40_000])
+def test_similar_pairs_hidden_among_likely_ones_are_found(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "SETS_MOST", most, raising=False)
+    rng = random.Random(12)
+    word = lambda: str(rng.randrange(10**8))
+    shared = [word() for _ in range(404)]
+    tails = [[word() for _ in range(63)] for _ in range(400)]
+    for i in range(0, 60, 2):
+        tails[i + 1][:18] = tails[i][:18]
+    texts = [" ".join(shared + t) for t in tails]
+    sets = [simhash.shingle_set(t, 5) for t in texts[:3]]
+    similarity = [len(np.intersect1d(sets[0], s)) / len(np.union1d(sets[0], s)) for s in sets[1:]]
+    assert 0.82 < similarity[0] < 0.83 and 0.75 < similarity[1] < 0.77
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["group_id"] for r in simhash.similar_documents(docs).collect()}
+    assert got == {i: i - i % 2 for i in range(60)}
+
+
 def test_perfect_hash_is_minimal_and_rejects_strangers():
     keys = np.random.default_rng(2).integers(0, 2**63, 5000).astype(np.uint64)
     keys = np.unique(keys)
