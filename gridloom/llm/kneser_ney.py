@@ -222,11 +222,16 @@ def score(docs: DataFrame, entries: DataFrame, single: np.ndarray) -> DataFrame:
     """(doc_id, lang, n_chars, logp) of every row of docs: its whole text's characters and their log-probability.
 
     The model is broadcast in shares of bounded size; in each pass a document sums the characters whose entries are in
-    the share, and with several passes the sums are added up by row.
+    the share. With several passes the rows are written once with a number, by which the sums are added up, so that rows
+    that repeat a doc_id, or have none, stay apart.
     """
     passes = shards(entries)
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
+    if len(passes) > 1:
+        source = materialize(source.withColumn("row", F.monotonically_increasing_id()), "rows")
+    else:
+        source = source.withColumn("row", F.lit(0).cast("long"))
     done = None
     for at, share in enumerate(passes):
         got = entries.where(F.col("d").isin(share)).select("key", "value").toArrow()
@@ -250,13 +255,13 @@ def score(docs: DataFrame, entries: DataFrame, single: np.ndarray) -> DataFrame:
                         g, of = g[here], of[here]
                     chars += np.bincount(of, minlength=len(texts))
                     total += np.bincount(of, weights=log_probabilities(g, model, alone), minlength=len(texts))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array(chars), pa.array(total)], ["doc_id", "lang", "n_chars", "logp"])
+                yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), b.column("lang"), pa.array(chars), pa.array(total)], ["row", "doc_id", "lang", "n_chars", "logp"])
 
-        part = source.mapInArrow(run, "doc_id long, lang string, n_chars long, logp double")
+        part = source.mapInArrow(run, "row long, doc_id long, lang string, n_chars long, logp double")
         done = part if done is None else done.union(part)
     if len(passes) > 1:
-        done = done.groupBy("doc_id", "lang").agg(F.sum("n_chars").alias("n_chars"), F.sum("logp").alias("logp"))
-    return materialize(done, "scores")
+        done = done.groupBy("row", "doc_id", "lang").agg(F.sum("n_chars").alias("n_chars"), F.sum("logp").alias("logp"))
+    return materialize(done.drop("row"), "scores")
 
 
 def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: float = 1.05, prior_chars: int = 100) -> DataFrame:

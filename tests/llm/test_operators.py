@@ -213,6 +213,19 @@ def test_a_model_in_several_passes_scores_the_same(spark, docs, monkeypatch):
     assert once == again
 
 
+def test_several_passes_return_every_row(spark, docs, monkeypatch):
+    entries, single = kneser_ney.train(docs.select("text").limit(5))
+    more = docs.union(docs.selectExpr("null", "concat(text, ' again')", *docs.columns[2:]))
+
+    def scored():
+        return sorted((str(r["doc_id"]), str(r["lang"]), r["n_chars"], round(r["logp"], 6)) for r in kneser_ney.score(more, entries, single).collect())
+
+    once = scored()
+    monkeypatch.setattr(kneser_ney, "MODEL_ROWS", max(r["count"] for r in entries.groupBy("d").count().collect()))
+    assert len(kneser_ney.shards(entries)) > 1
+    assert len(once) == 2 * len(rows()) and scored() == once
+
+
 def test_mixture_meets_its_targets(docs, empty):
     got = mixing.mix(docs).collect()
     assert len(got) == len(rows()) and all(r["taken"] <= 2 * r["size"] for r in got)
