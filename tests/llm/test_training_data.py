@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -166,7 +167,6 @@ def test_token_files_round_trip(spark, docs, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     manifest = token_files.write_shards(docs, new_path(spark, "t"), path, 2)
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     got = token_files.read_shards(spark, manifest).orderBy("start").collect()
     at = 0
     for row, r in zip(got, sorted(rows(), key=lambda r: (r[0] is not None, r[0] or 0)), strict=True):
@@ -175,9 +175,25 @@ def test_token_files_round_trip(spark, docs, empty):
         at += len(ids)
     shard = next(s for m in manifest if 29 in (s := token_files.ShardReader(m["uri"])).keys.tolist())
     assert len(shard.get(29)) == 2 and shard.get(10**9) == []
+    every = token_files.TokenFiles(manifest)
+    assert [len(every.get(k)) for k in (0, 29, 2**60 + 1, 10**9, -1)] == [1, 2, 1, 0, 0]
+    assert every.get(28)[0].tolist() == t.encode(rows()[-5][1], add_special_tokens=False).ids + [2]
     assert token_files.read_shards(spark, token_files.write_shards(empty, new_path(spark, "t"), path, 2)).count() == 0
 
 
+def test_word_encoder_equals_the_library(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, e, rng = Tokenizer.from_file(path), token_files.WordEncoder(path), random.Random(6)
+    monkeypatch.setattr(token_files, "BLOCK", 300)
+    monkeypatch.setattr(token_files, "CACHE", 200)
+    monkeypatch.setattr(token_files, "KEPT", 50)
+    odd = ["a", "Bc", "ör", "Ñ", "İ", "Σ", "e\u0301", "\u0301", "ǅ", "ŉ", "ß", "'s", "'LL", "<|endoftext|>", "</w>", "7", "漢", "🙂", ",", ".", "|", "\xa0", "\x85", "\x1c", "\u2003", " ", "\n", "\t ", "ing", "the"]
+    texts = ["".join(rng.choice(odd) for _ in range(rng.randint(0, 60))) for _ in range(3000)] + ["", None, "x" * 5000, "the house, " * 400]
+    ids, sizes = e.encode(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert len(e.place) <= 250
+
+
 def test_quality_keeps_trusted_text_and_rejects_noise(spark, docs, labels, empty):
     rng = random.Random(3)
     words = "the house and a tree of water in light was near old river town".split()
