@@ -287,7 +287,8 @@ MANIFEST = "part int, uri string, rows long, tokens long, nulls long, first_key
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> list[Row]:
     """Encode every whole text of docs (doc_id, text; further columns are ignored), end each document with end_id, and
-    write shards in ascending doc_id order (nulls first; rows that repeat a doc_id by text). Returns the manifest, one row
+    write shards in ascending doc_id order (nulls first; rows that repeat a doc_id by a hash of their text, so that a
+    doc_id of many rows may lie in several shards). Returns the manifest, one row
     for each shard: part, uri, rows, tokens, rows with a null key, least and greatest key.
 
     Null and empty texts have the end id alone. Texts of any length are encoded whole, in blocks cut at white space. An
@@ -312,8 +313,9 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> l
         if shard:
             yield pa.RecordBatch.from_pylist([{"part": part} | shard.close()], pa.schema([("part", pa.int32()), ("uri", pa.string()), *((x, pa.int64()) for x in ("rows", "tokens", "nulls", "first_key", "last_key"))]))
 
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(F.col("doc_id").asc_nulls_first())
-    ordered = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(*order)
+    ordered = dealt.sortWithinPartitions(*order, "text").select("doc_id", "text")
     return sorted(ordered.mapInArrow(run, MANIFEST).collect(), key=lambda r: r["part"])
 
 
