@@ -12,10 +12,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, maybe_in
+from .common import materialize, maybe_in, scratch, without
 
-#: Length of the n-grams, bits of a character's class, classes below PLAIN are code points, the others hold hashed ones.
-ORDER, BITS, PLAIN = 5, 12, 3584
+#: Length of the n-grams and bits of a symbol. Symbols below PLAIN are code points; a greater code point is two symbols,
+#: one of PAIRS heads and one of PAIRS tails, so that all up to U+3FFFF stay apart.
+ORDER, BITS, PLAIN, PAIRS = 5, 12, 3072, 512
 CLASSES = 1 << BITS
 #: Entries of the model that are broadcast at once (12 bytes each); a larger model is scored in several passes.
 MODEL_ROWS = 1 << 22
@@ -26,14 +27,20 @@ HELD_OUT = 5
 
 
 def classes(text: str) -> np.ndarray:
-    """Classes of the characters, in lower case; all white space is a space, 0 is the boundary."""
+    """Symbols of the characters, in lower case; all white space is a space, 0 is the boundary."""
     c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     c = np.where((c <= 32) | (c == 0x85) | (c == 0xA0), 32, c)
-    return np.where(c < PLAIN, c, PLAIN + (c * 2654435761 >> 7) % (CLASSES - PLAIN))
+    wide = c >= PLAIN
+    if not wide.any():
+        return c
+    out = np.repeat(c, 1 + wide)
+    tail = (np.cumsum(1 + wide) - 1)[wide]
+    out[tail - 1], out[tail] = PLAIN + c[wide] // PAIRS % PAIRS, PLAIN + PAIRS + c[wide] % PAIRS
+    return out
 
 
 def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(packed n-grams, index of the text of each) for every character of the texts, in blocks. A text begins with
+    """(packed n-grams, index of the text of each) for every symbol of the texts, in blocks. A text begins with
     ORDER - 1 boundaries; a block inside a long text begins with the characters before it."""
     parts, owner, held = [], [], 0
     pad = np.zeros(ORDER - 1, np.int64)
@@ -148,15 +155,20 @@ def _context(length: int, h: Column) -> Column:
 
 
 def train(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(entries, single): the model of the whole texts of docs as a table (d, key, value), and the log-probabilities of
-    the CLASSES single characters.
+    """(entries, single): the model of the whole texts of docs as a table (h, size, key, value), and the log-probabilities
+    of the CLASSES single symbols.
 
     The highest order has the counts of n-grams; each lower one counts the distinct characters before its n-grams.
     An entry is an n-gram's interpolated log-probability or a context's log-weight of the next lower order; the
     recursion down the orders is one join of n-gram shards with their contexts and one with their endings for each
-    order. d, the character before the last of an n-gram and the last of a context, is the same for all that the score
-    of one position needs, so the table can be dealt by it.
+    order. h is an entry's context of size symbols: what the score of one position needs are the entries of the
+    contexts that its own context ends with, so the table can be dealt by the ends of contexts.
     """
+    with scratch(docs.sparkSession):
+        return _trained(docs)
+
+
+def _trained(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     tables = {ORDER: materialize(count_grams(docs), "grams")}
     for k in range(ORDER - 1, 0, -1):
         ending = F.col("g").bitwiseAND(F.lit((1 << BITS * k) - 1))
@@ -178,29 +190,98 @@ def train(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
         contexts = rows.groupBy("h").agg(F.sum("c").alias("total"), (F.sum(_discount(d)) / F.sum("c")).alias("left"))
         level = rows.join(contexts, "h").join(lower, "s").select("g", "h", ((F.col("c") - _discount(d)) / F.col("total") + F.col("left") * F.col("below")).alias("p"), "left")
         level = materialize(level, "level")
-        of = F.shiftright("g", BITS).bitwiseAND(F.lit(CLASSES - 1)).cast("int").alias("d")
-        made = level.select(of, _tagged(k, F.col("g")).alias("key"), F.log("p").cast("float").alias("value"))
-        weights = level.groupBy("h").agg(F.first("left").alias("left")).select(F.col("h").bitwiseAND(F.lit(CLASSES - 1)).cast("int").alias("d"), _context(k - 1, F.col("h")).alias("key"), F.log("left").cast("float").alias("value"))
+        size = F.lit(k - 1).alias("size")
+        made = level.select("h", size, _tagged(k, F.col("g")).alias("key"), F.log("p").cast("float").alias("value"))
+        weights = level.groupBy("h").agg(F.first("left").alias("left")).select("h", size, _context(k - 1, F.col("h")).alias("key"), F.log("left").cast("float").alias("value"))
         made = made.union(weights)
         entries = made if entries is None else entries.union(made)
         lower = level.select(F.col("g").alias("s"), F.col("p").alias("below"))
-    return materialize(entries, "model"), np.log(prob)
+    return materialize(entries, "model", outlast=True), np.log(prob)
+
+
+def _ends(size: int) -> int:
+    """The bits of the last size symbols."""
+    return (1 << BITS * size) - 1
+
 
+#: A share of the model: ends of contexts, as (symbols, value).
+Share = list[tuple[int, int]]
 
-def shards(entries: DataFrame) -> list[list[int]]:
-    """Characters d dealt to passes, so that a pass has at most MODEL_ROWS entries."""
+
+def shards(entries: DataFrame) -> list[Share]:
+    """Ends of contexts dealt to passes, so that a pass has at most MODEL_ROWS entries.
+
+    Contexts are dealt by their last symbol. Where more entries than that share a last symbol, they are dealt by their
+    last two symbols, and so on; the entries of shorter contexts, CLASSES + 1 at most for each, go along with each part.
+    The last ORDER - 1 symbols leave CLASSES + 1 entries, so no end is too large.
+    """
+    sizes: dict[tuple[int, int], int] = {}
+    large: list[tuple[int, int]] | None = None
+    for size in range(1, ORDER):
+        end = F.col("h").bitwiseAND(F.lit(_ends(size)))
+        rows = entries.where(F.col("size") >= size)
+        if large is not None:
+            rows = rows.where(F.col("h").bitwiseAND(F.lit(_ends(size - 1))).isin([v for _, v in large]))
+        counted = rows.groupBy(end.alias("end")).agg(F.count("*").alias("n")).toArrow().to_pydict()
+        sizes |= {(size, v): n + (size - 1) * (CLASSES + 1) for v, n in zip(counted["end"], counted["n"], strict=True)}
+        most = MODEL_ROWS if size < ORDER - 1 else math.inf
+        large = [x for x, n in sizes.items() if x[0] == size and n > most]
+        for x in large:
+            del sizes[x]
+        if not large:
+            break
     out, room = [], 0
-    for r in sorted(entries.groupBy("d").agg(F.count("*").alias("n")).collect(), key=lambda r: (-r["n"], r["d"])):
-        if r["n"] > MODEL_ROWS:
-            raise ValueError(f"{r['n']} entries for one character; at most {MODEL_ROWS} are broadcast")
-        if not out or room < r["n"]:
+    for end, n in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
+        if not out or room < n:
             out.append([])
             room = MODEL_ROWS
-        out[-1].append(r["d"])
-        room -= r["n"]
+        out[-1].append(end)
+        room -= n
     return out or [[]]
 
 
+def _of_share(share: Share) -> Column:
+    """Whether an entry (h, size) belongs to a share: its context has one of the ends, or is the end of one."""
+    hit = F.lit(False)
+    for size in range(1, ORDER):
+        ends = [v for n, v in share if n == size]
+        hit = hit | ((F.col("size") >= size) & F.col("h").bitwiseAND(F.lit(_ends(size))).isin(ends))
+        shorter = sorted({v & _ends(size) for n, v in share if n > size})
+        hit = hit | ((F.col("size") == size) & F.col("h").isin(shorter))
+    return hit
+
+
+class Dealer:
+    """Which positions a pass scores: those whose context has one of its ends. A context whose end no pass has is scored
+    by the first pass that has its longest known end, or by the first of all."""
+
+    def __init__(self, passes: list[Share], at: int):
+        self.own: list[tuple[np.ndarray, np.ndarray]] = []
+        for size in range(1, ORDER):
+            of = {v: k for k, share in reversed(list(enumerate(passes))) for n, v in share if n == size}
+            inner: dict[int, int] = {}
+            for k, share in enumerate(passes):
+                for n, v in share:
+                    if n > size:
+                        inner[v & _ends(size)] = min(k, inner.get(v & _ends(size), k))
+            ends = np.array(sorted(of.keys() | inner.keys()), np.int64)
+            self.own.append((ends, np.array([of.get(v, inner.get(v)) for v in ends.tolist()], np.int64)))
+        self.at, self.alone = at, len(passes) == 1
+
+    def mine(self, g: np.ndarray) -> np.ndarray:
+        if self.alone:
+            return np.ones(len(g), bool)
+        to, h = np.zeros(len(g), np.int64), g >> BITS
+        for size, (ends, owner) in enumerate(self.own, 1):
+            if not len(ends):
+                break
+            end = h & _ends(size)
+            place = np.minimum(np.searchsorted(ends, end), len(ends) - 1)
+            known = ends[place] == end
+            to[known] = owner[place[known]]
+        return to == self.at
+
+
 def log_probabilities(g: np.ndarray, entries: Entries, single: np.ndarray) -> np.ndarray:
     """Natural logarithms of the characters' probabilities: the longest known n-gram, with the weights of the contexts
     that were too long."""
@@ -219,11 +300,12 @@ def log_probabilities(g: np.ndarray, entries: Entries, single: np.ndarray) -> np
 
 
 def score(docs: DataFrame, entries: DataFrame, single: np.ndarray) -> DataFrame:
-    """(doc_id, lang, n_chars, logp) of every row of docs: its whole text's characters and their log-probability.
+    """(doc_id, lang, n_chars, logp) of every row of docs (doc_id, text, lang; further columns are ignored): its whole
+    text's symbols and their log-probability. Null and empty texts have none of either; an empty table gives no rows.
 
-    The model is broadcast in shares of bounded size; in each pass a document sums the characters whose entries are in
-    the share. With several passes the rows are written once with a number, by which the sums are added up, so that rows
-    that repeat a doc_id, or have none, stay apart.
+    The model is broadcast in shares of at most MODEL_ROWS entries; in each pass a document sums the symbols whose
+    entries are in the share. With several passes the rows are written once with a number, by which the sums are added
+    up, so that rows that repeat a doc_id, or have none, stay apart.
     """
     passes = shards(entries)
     spark = docs.sparkSession
@@ -234,25 +316,19 @@ def score(docs: DataFrame, entries: DataFrame, single: np.ndarray) -> DataFrame:
         source = source.withColumn("row", F.lit(0).cast("long"))
     done = None
     for at, share in enumerate(passes):
-        got = entries.where(F.col("d").isin(share)).select("key", "value").toArrow()
-        sent = spark.sparkContext.broadcast((Entries(got["key"].to_numpy(), got["value"].to_numpy()), single))
+        got = (entries if len(passes) == 1 else entries.where(_of_share(share))).select("key", "value").toArrow()
+        sent = spark.sparkContext.broadcast((Entries(got["key"].to_numpy(), got["value"].to_numpy()), single, Dealer(passes, at)))
         del got
-        own = np.zeros(CLASSES, bool)
-        own[share] = True
-        if at == 0:  # characters before the last that the model has never seen
-            known = np.zeros(CLASSES, bool)
-            known[[x for p in passes for x in p]] = True
-            own |= ~known
-
-        def run(batches: Iterable[pa.RecordBatch], sent=sent, own=own) -> Iterator[pa.RecordBatch]:
-            model, alone = sent.value
+
+        def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            model, alone, dealer = sent.value
             for b in batches:
                 texts = [t or "" for t in b.column("text").to_pylist()]
                 chars, total = np.zeros(len(texts), np.int64), np.zeros(len(texts))
                 for g, of in grams(texts):
-                    if not own.all():
-                        here = own[(g >> BITS) & (CLASSES - 1)]
-                        g, of = g[here], of[here]
+                    mine = dealer.mine(g)
+                    if not mine.all():
+                        g, of = g[mine], of[mine]
                     chars += np.bincount(of, minlength=len(texts))
                     total += np.bincount(of, weights=log_probabilities(g, model, alone), minlength=len(texts))
                 yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), b.column("lang"), pa.array(chars), pa.array(total)], ["row", "doc_id", "lang", "n_chars", "logp"])
@@ -269,7 +345,7 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: flo
 
     Trusted: documents with a label of quality 1 that no label calls toxic. Four in five of them teach the model; the
     others set a threshold for each language: the quantile of their perplexities times slack. Short texts' perplexities
-    scatter, so a text counts as prior_chars further characters of the language's mean. A language without held-out
+    scatter, so a text counts as prior_chars further symbols of the language's mean. A language without held-out
     trusted documents has the threshold of all; without any, all texts stay. Null and empty texts have no perplexity
     and are rejected. Null lang is a language of its own. Labels join with doc_id through a bounded filter, so texts of
     unlabelled documents are not shuffled.
@@ -278,7 +354,8 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: flo
     trusted = materialize(good.where((F.col("q") == 1) & (F.coalesce("t", F.lit(0)) == 0)).select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(HELD_OUT)) == 0).alias("held")), "trusted")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     teach = trusted.where("not held").select("doc_id")
-    taught = maybe_in(own.select("doc_id", "text"), "doc_id", teach).where("__maybe").join(teach.hint("shuffle_hash"), "doc_id", "left_semi")
+    likely, maybe = maybe_in(own.select("doc_id", "text"), "doc_id", teach)
+    taught = likely.where(maybe).join(teach.hint("shuffle_hash"), "doc_id", "left_semi")
     entries, single = train(taught)
     scores = score(own, entries, single).withColumn("lkey", F.coalesce(F.concat(F.lit("s"), "lang"), F.lit("~")))
 
@@ -302,9 +379,7 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: flo
 
 def accepted(docs: DataFrame, judged: DataFrame) -> DataFrame:
     """The rows of docs but those whose doc_id judged rejects; an id of which any row is kept stays. Rows with a null
-    doc_id stay if they hold text. Texts are shuffled only for rows that a bounded filter can't clear."""
-    columns = [f"`{c}`" for c in docs.columns]
-    gone = materialize(judged.where("doc_id is not null").groupBy(F.col("doc_id").alias("__gone")).agg(F.max("keep").alias("__keep")).where("not __keep").select("__gone"), "rejected")
-    flagged = maybe_in(docs.where("doc_id is not null or length(text) > 0"), "doc_id", gone)
-    sure = flagged.where("__maybe").join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
-    return flagged.where("not __maybe").select(*columns).unionByName(sure.select(*columns))
+    doc_id stay if they hold text. Columns and their names are those of docs. Texts are shuffled only for rows that a
+    bounded filter can't clear."""
+    gone = judged.where("doc_id is not null").groupBy("doc_id").agg(F.max("keep").alias("keep")).where("not keep").select("doc_id")
+    return without(docs.where("doc_id is not null or length(text) > 0"), "doc_id", materialize(gone, "rejected"))

@@ -9,15 +9,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, maybe_in
+from .common import fresh, materialize, maybe_in, own, scratch, without
 from .components import components
 from .vptree import Forest, Tree, close_pairs, spanning
 
-#: Fingerprints by which a tree's top is balanced, at most about so many, and never more than a quarter of all.
-SAMPLE = 8192
+#: Fingerprints by which a tree's top is balanced: about so many or so many for each shard, SAMPLE_MOST (8 MB) at most, and
+#: never more than a quarter of all.
+SAMPLE, SHARD_SAMPLE, SAMPLE_MOST = 8192, 16, 1 << 20
 #: Fingerprints that a shard is planned for, and rows beyond which it is split into blocks.
 SHARD, SHARD_MOST = 16_384, 200_000
 #: Shingles hashed at once, and shingle hashes beyond which a family of candidates is dealt into blocks.
@@ -87,32 +88,13 @@ def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def _sample(fps: DataFrame, n: int) -> np.ndarray:
-    every = max(4, math.ceil(n / SAMPLE))
-    rows = fps.where(F.pmod(F.xxhash64("fp", F.lit(7)), F.lit(every)) == 0).select("fp").toArrow()
-    return np.sort(rows["fp"].to_numpy().view(np.uint64))
-
-
-def _split_large(routed: DataFrame, keys: list[str], most: int) -> DataFrame:
-    """Adds column sub: shards with more rows than most are dealt into blocks of home points, and those that ask visit
-    every block, so no task holds a whole dense shard. Only the few large shards' counts reach the driver."""
-    large = routed.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > most).collect()
-    if not large:
-        return routed.withColumn("sub", F.lit(0))
-    blocks = F.lit(1)
-    for row in large:
-        hit = F.lit(True)
-        for key in keys:
-            hit = hit & (F.col(key) == row[key])
-        blocks = F.when(hit, F.lit(math.ceil(row["n"] / most))).otherwise(blocks)
-    dealt = routed.withColumn("__n", blocks).withColumn("__own", F.pmod(F.xxhash64("fp"), F.col("__n")).cast("int"))
-    # A home point asks in the blocks before its own, so that each pair of blocks meets once.
-    everywhere = F.explode(F.when(F.col("home"), F.sequence(F.lit(0), F.col("__own"))).otherwise(F.sequence(F.lit(0), F.col("__n") - 1)))
-    dealt = dealt.withColumn("sub", everywhere)
-    return dealt.withColumn("home", F.col("home") & (F.col("sub") == F.col("__own"))).drop("__n", "__own")
-
-
-def _dealt(rows: DataFrame, keys: list[str], most: int, size: str) -> DataFrame:
+def _sampled(rows: DataFrame, n: int, shards: int) -> DataFrame:
+    """The rows by whose fp a tree with so many shards is balanced."""
+    every = max(4, math.ceil(n / min(SAMPLE_MOST, max(SAMPLE, SHARD_SAMPLE * shards))))
+    return rows.where(F.pmod(F.xxhash64("fp", F.lit(7)), F.lit(every)) == 0)
+
+
+def _dealt(rows: DataFrame, keys: list[str], most: int, size: str | Column) -> DataFrame:
     """Adds columns own, i and j: groups whose sizes sum to over most are dealt into blocks, and a row of block own goes to
     every task (i, j), i <= j, of which own is one. Each pair of rows has one task, and a task holds two blocks at most."""
     large = rows.groupBy(*keys).agg(F.sum(size).alias("__size")).where(F.col("__size") > most)
@@ -138,11 +120,14 @@ def linked_fingerprints(fps: DataFrame, radius: int = 2) -> DataFrame:
     """(a, b): edges that connect exactly the distinct fingerprints (column fp) reachable by steps of at most radius bits.
 
     The tops of a vantage-point tree deal fingerprints to shards, boundary points also to the shards that their ball
-    overlaps. A shard searches its own tree and returns a spanning forest of the links found, never all pairs.
+    overlaps. A shard searches its own tree and returns a spanning forest of the links found, never all pairs. Shards of
+    over SHARD_MOST rows are dealt into blocks, of which a task holds two at most.
     """
     n = fps.agg(F.approx_count_distinct("fp")).first()[0]
     shards = 1 if n <= SHARD else math.ceil(n / SHARD)
-    tree = Tree.build(_sample(fps, n), shards, radius) if shards > 1 else Tree(radius)
+    tree = Tree(radius)
+    if shards > 1:
+        tree = Tree.build(np.sort(_sampled(fps, n, shards).select("fp").toArrow()["fp"].to_numpy().view(np.uint64)), shards, radius)
 
     def route(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -153,14 +138,14 @@ def linked_fingerprints(fps: DataFrame, radius: int = 2) -> DataFrame:
     def link(group: pd.DataFrame) -> pd.DataFrame:
         fp = group["fp"].to_numpy(np.int64)
         forest = Forest(len(fp))
-        for a, b in close_pairs(fp.view(np.uint64), group["home"].to_numpy(bool), radius):
+        for a, b in dealt_pairs(fp.view(np.uint64), group["home"].to_numpy(bool), group["own"].to_numpy(np.int64), radius):
             forest.union(a, b)
         root = forest.roots(np.arange(len(fp)))
         out = np.flatnonzero(root != np.arange(len(fp)))
         return pd.DataFrame({"a": fp[root[out]], "b": fp[out]})
 
-    routed = _split_large(fps.select("fp").mapInPandas(route, "shard int, home boolean, fp long"), ["shard"], SHARD_MOST)
-    return routed.groupBy("shard", "sub").applyInPandas(link, "a long, b long")
+    routed = _dealt(fps.select("fp").mapInPandas(route, "shard int, home boolean, fp long"), ["shard"], SHARD_MOST, F.lit(1))
+    return routed.groupBy("shard", "i", "j").applyInPandas(link, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 2) -> DataFrame:
@@ -172,14 +157,15 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 2) -> DataFrame:
     Equal fingerprints meet once: what follows the first aggregation grows with distinct fingerprints alone. The named
     fingerprints are written, so that the last join is one of two tables, whose skewed fingerprints Spark can split.
     """
-    own = materialize(fingerprints(docs, k), "fingerprints")
-    fps = own.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    edges = materialize(linked_fingerprints(fps, radius), "links")
-    comp = materialize(components(edges), "components")
-    named = fps.join(comp, fps["fp"] == comp["node"]).groupBy("comp").agg(F.min("rep").alias("smallest"))
-    to = comp.join(named, "comp").select("node", "smallest")
-    by_fp = materialize(fps.join(to, fps["fp"] == to["node"], "left").select("fp", F.coalesce("smallest", "rep").alias("component_id")), "named")
-    return own.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    with scratch(docs.sparkSession):
+        found = materialize(fingerprints(docs, k), "fingerprints", outlast=True)
+        fps = found.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+        edges = materialize(linked_fingerprints(fps, radius), "links")
+        comp = materialize(components(edges), "components")
+        named = fps.join(comp, fps["fp"] == comp["node"]).groupBy("comp").agg(F.min("rep").alias("smallest"))
+        to = comp.join(named, "comp").select("node", "smallest")
+        by_fp = materialize(fps.join(to, fps["fp"] == to["node"], "left").select("fp", F.coalesce("smallest", "rep").alias("component_id")), "named", outlast=True)
+    return found.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 # ---- documents whose word shingles are similar -----------------------------------------------------------------
@@ -210,7 +196,9 @@ def _gathered(wide: np.ndarray, mask: np.ndarray, bits: int) -> np.ndarray:
 
 
 def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8, tables: int = 16, bits: int = 24, radius: int = 2) -> DataFrame:
-    """(doc_id, group_id) of the rows of docs with a near copy, by smallest doc_id; doc_id must be unique and not null.
+    """(doc_id, group_id) of the rows of docs (doc_id, text; further columns are ignored) with a near copy, by smallest
+    doc_id. Rows without doc_id take no part; of rows that repeat one, the one of smallest text does. Null and empty texts
+    and texts of white space are copies of each other. An empty table gives no rows.
 
     Two documents link if the sets of their k-word shingles have Jaccard similarity of at least ``similarity``.
     Candidates: each of ``tables`` samples ``bits`` bits of a 256-bit SimHash, and a vantage-point tree finds the pairs
@@ -222,6 +210,11 @@ def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8, tabl
     finds a pair of similarity 0.8 in some table with probability 0.99, one of 0.9 with over 0.9999; more tables raise
     both. Documents of equal words are one class from the start; only classes are searched and labelled.
     """
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    return _similar(one_of_each(known), k, similarity, tables, bits, radius)
+
+
+def _similar(docs: DataFrame, k: int, similarity: float, tables: int, bits: int, radius: int) -> DataFrame:
     masks = _tables(tables, bits)
     step = math.log(1 / similarity)
 
@@ -232,17 +225,16 @@ def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8, tabl
             same = [xxhash.xxh64_intdigest(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split()), 1) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "same": np.array(same, np.uint64).view(np.int64), "n": np.array([m[1] for m in made], np.int64), "wide": [w.tobytes() for w in wide]})
 
-    own = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(widen, "doc_id long, same long, n long, wide binary"), "wide")
+    wides = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(widen, "doc_id long, same long, n long, wide binary"), "wide")
     # Documents of equal words are one class, named by its smallest member.
     words = ["same", "n", "wide"]
-    classes = materialize(own.groupBy(*words).agg(F.min("doc_id").alias("fp"), F.count("*").alias("members")), "classes")
+    classes = materialize(wides.groupBy(*words).agg(F.min("doc_id").alias("fp"), F.count("*").alias("members")), "classes")
 
     n = classes.count()
     per_table = 1 if n <= 40 * SHARD else math.ceil(n / (40 * SHARD))
     trees = [Tree(radius)] * tables
     if per_table > 1:
-        every = max(4, math.ceil(n / SAMPLE))
-        rows = classes.where(F.pmod(F.xxhash64("fp", F.lit(7)), F.lit(every)) == 0).select("wide").toArrow()["wide"].to_pylist()
+        rows = _sampled(classes, n, per_table).select("wide").toArrow()["wide"].to_pylist()
         sample = np.frombuffer(b"".join(rows), np.uint64).reshape(-1, PARTS)
         trees = [Tree.build(np.sort(_gathered(sample, m, bits)), per_table, radius) for m in masks]
 
@@ -265,7 +257,7 @@ def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8, tabl
         w = np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1, dtype=np.int64)
         return w, (w <= most) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]))
 
-    shard = ["t", "band", "shard", "sub"]
+    shard = ["t", "band", "shard", "i", "j"]
 
     def link(group: pd.DataFrame) -> pd.DataFrame:
         wide = np.frombuffer(b"".join(group["wide"]), np.uint64).reshape(-1, PARTS)
@@ -286,7 +278,7 @@ def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8, tabl
             parts.clear()
 
         parts: list = []
-        for a, b in close_pairs(_gathered(wide, masks[int(group["t"].iloc[0])], bits), home, radius):
+        for a, b in dealt_pairs(_gathered(wide, masks[int(group["t"].iloc[0])], bits), home, group["own"].to_numpy(np.int64), radius):
             w, ok = likely(wide, size, a, b)
             if ok.any():
                 parts.append((a[ok], b[ok], w[ok]))
@@ -305,12 +297,13 @@ def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8, tabl
         member = {"root": root[at].astype(np.int32), "home": home[at], "a": fp[at], "b": fp[at], "n": size[at], "wide": group["wide"].to_numpy(object)[at]}
         return pd.concat([pd.DataFrame(edge), pd.DataFrame(member)]).assign(**{key: group[key].iloc[0] for key in shard})
 
-    routed = _split_large(classes.select("fp", "n", "wide").mapInPandas(route, "t int, band int, shard int, home boolean, fp long, n long, wide binary"), ["t", "band", "shard"], SHARD_MOST)
-    found = materialize(routed.groupBy(*shard).applyInPandas(link, "t int, band int, shard int, sub int, root int, home boolean, a long, b long, n long, wide binary"), "candidates")
+    routed = _dealt(classes.select("fp", "n", "wide").mapInPandas(route, "t int, band int, shard int, home boolean, fp long, n long, wide binary"), ["t", "band", "shard"], SHARD_MOST, F.lit(1))
+    found = materialize(routed.groupBy(*shard).applyInPandas(link, "t int, band int, shard int, i int, j int, root int, home boolean, a long, b long, n long, wide binary"), "candidates")
     edges = materialize(found.where("a <> b").select("a", "b").distinct(), "edges")
 
     ends = edges.select(F.col("a").alias("doc_id")).union(edges.select("b")).distinct()
-    texts = maybe_in(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", ends).where("__maybe").join(ends, "doc_id", "left_semi")
+    flagged, maybe = maybe_in(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", ends)
+    texts = flagged.where(maybe).join(ends, "doc_id", "left_semi")
 
     def sets(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -373,30 +366,41 @@ def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8, tabl
         return pd.DataFrame(np.array(links, np.int64).reshape(-1, 2), columns=["a", "b"])
 
     if not apart.isEmpty():
-        again = _dealt(members.join(apart, family, "left_semi"), family, SETS_MOST, "n")
+        met = members.join(apart, family, "left_semi").withColumnsRenamed({"i": "fi", "j": "fj"})
+        family = ["t", "band", "shard", "fi", "fj", "root"]
+        again = _dealt(met, family, SETS_MOST, "n")
         again = again.join(of.withColumnRenamed("id", "fp"), "fp")
         later = materialize(again.groupBy(*family, "i", "j").applyInPandas(settle, "a long, b long"), "later")
         if not later.isEmpty():
             comp = materialize(components(comp.selectExpr("node as a", "comp as b").union(later)), "components")
     linked = classes.join(comp, classes["fp"] == comp["node"], "left").where("members > 1 or comp is not null")
     linked = materialize(linked.select(*words, F.coalesce("comp", "fp").alias("group_id")), "groups")
-    return own.join(linked, words).select("doc_id", "group_id")
+    return wides.join(linked, words).select("doc_id", "group_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs with one row of those that share a doc_id, the one of smallest text (null as empty; ties by a hash of the row).
+    Rows with a null doc_id stay. Only rows of repeated ids are shuffled, and some that a bounded filter can't clear."""
+    again = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.count("*").alias("n")).where("n > 1").select("id")
+    again = materialize(again, "again")
+    flagged, maybe = maybe_in(docs, "doc_id", again)
+    key, row = fresh(flagged.columns, "__id", "__row")
+    order = F.struct(F.coalesce("text", F.lit("")), F.xxhash64(*(c for c, (_, kind) in zip(own(docs), docs.dtypes, strict=True) if "map<" not in kind)))
+    twice = flagged.where(maybe).join(again.withColumnRenamed("id", key), F.col("doc_id").cast("long") == F.col(key), "left_semi")
+    one = twice.groupBy("doc_id").agg(F.min_by(F.struct(*own(docs)), order).alias(row)).select(f"{row}.*")
+    return without(docs, "doc_id", again).union(one)
 
 
-def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """docs without near copies: of each group the row of smallest doc_id stays; rows of unique words stay as they are.
+def deduplicate(docs: DataFrame, k: int = 5, similarity: float = 0.8, tables: int = 16, bits: int = 24, radius: int = 2) -> DataFrame:
+    """docs without near copies: of each group of similar_documents() the row of smallest doc_id stays; rows of unique
+    words stay as they are.
 
-    Of rows that repeat a doc_id one stays, the one of smallest text. Rows with a null doc_id stay. Columns and their
-    names are those of docs. Texts are shuffled only for rows that a bounded filter can't clear.
+    Of rows that repeat a doc_id one stays, the one of smallest text. Rows with a null doc_id stay. Null and empty texts
+    are copies of each other. Columns and their names are those of docs; an empty table stays empty. Texts are shuffled
+    only for rows that a bounded filter can't clear.
     """
-    own = docs.columns
-    again = materialize(docs.groupBy(F.col("doc_id").alias("__again")).agg(F.count("*").alias("__n")).where("__n > 1 and __again is not null").select("__again"), "again")
-    flagged = maybe_in(docs, "doc_id", again)
-    twice = flagged.where("__maybe").join(again, F.col("doc_id") == F.col("__again"), "left_semi").select("doc_id", F.struct(*own).alias("__row"))
-    one = twice.groupBy("doc_id").agg(F.min_by("__row", F.coalesce(F.col("__row")["text"], F.lit(""))).alias("__row")).select("__row.*")
-    single = flagged.where(~F.col("__maybe")).select(*own).unionByName(flagged.where("__maybe").join(again, F.col("doc_id") == F.col("__again"), "left_anti").select(*own)).unionByName(one)
-    known = single.where(F.col("doc_id").isNotNull())
-    dropped = materialize(similar_documents(known, **options).where("doc_id <> group_id").select(F.col("doc_id").alias("__dropped")), "dropped")
-    marked = maybe_in(single, "doc_id", dropped)
-    sure = marked.where("__maybe").join(dropped, F.col("doc_id").cast("long") == F.col("__dropped"), "left_anti")
-    return marked.where(~F.col("__maybe")).select(*own).unionByName(sure.select(*own))
+    single = one_of_each(docs)
+    with scratch(docs.sparkSession):
+        known = single.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        dropped = materialize(_similar(known, k, similarity, tables, bits, radius).where("doc_id <> group_id").select("doc_id"), "dropped", outlast=True)
+    return without(single, "doc_id", dropped)
