@@ -4,8 +4,10 @@ against brute force."""
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -111,9 +113,13 @@ def test_deduplicate_keeps_one_of_each_group(docs, empty):
     assert not {20, 29} & set(ids) and 21 not in ids and {0, 1, 2, 22, 25, 26, 27, 28, None}.issubset(ids)
     assert len(ids) == len(set(ids))
     assert simhash.deduplicate(empty).count() == 0
+    names = {"source": "__maybe", "lang": "a.b", "fp": "__gone", "size": "__row", "__copy": "__Bits"}
+    clash = simhash.deduplicate(docs.withColumnsRenamed(names))
+    assert clash.columns == [names.get(c, c) for c in docs.columns]
+    assert sorted(map(str, clash.collect())) == sorted(map(str, kept.toDF(*clash.columns).collect()))
 
 
-def test_similar_documents_equal_brute_force(spark):
+def test_similar_documents_equal_brute_force(spark, monkeypatch):
     rng = random.Random(11)
     texts = []
     for _ in range(25):
@@ -133,7 +139,9 @@ def test_similar_documents_equal_brute_force(spark):
                 forest.union(np.array([j]), np.array([i]))
     root = forest.roots(np.arange(len(texts))).tolist()
     want = {i: r for i, r in enumerate(root) if root.count(r) > 1}
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    docs = spark.createDataFrame([*enumerate(texts), (3, "~ a later text of 3"), (None, texts[0])], "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["group_id"] for r in simhash.similar_documents(docs).collect()} == want
+    monkeypatch.setattr(simhash, "SHARD_MOST", 7)
     assert {r["doc_id"]: r["group_id"] for r in simhash.similar_documents(docs).collect()} == want
 
 
@@ -220,11 +228,67 @@ def test_model_is_a_distribution(spark):
         assert np.isclose(np.exp(kneser_ney.log_probabilities(base | np.arange(kneser_ney.CLASSES), model, single)).sum(), 1, atol=1e-5)
 
 
-def test_a_model_in_several_passes_scores_the_same(spark, docs, monkeypatch):
+def plain_log_probabilities(teach, texts):
+    """Log-probabilities of whole texts under the model that teach gives, by dictionaries and recursion."""
+    n, size = kneser_ney.ORDER, kneser_ney.CLASSES
+
+    def symbols(text):
+        out = [0] * (n - 1)
+        for c in map(ord, text.lower()):
+            c = 32 if c <= 32 or c in (0x85, 0xA0) else c
+            out += [c] if c < 3072 else [3072 + c // 512 % 512, 3584 + c % 512]
+        return out
+
+    def runs(text):
+        s = symbols(text)
+        return [tuple(s[i : i + n]) for i in range(len(s) - n + 1)]
+
+    count = {n: Counter(g for t in teach for g in runs(t))}
+    for k in range(n - 1, 0, -1):
+        count[k] = Counter(g[1:] for g in count[k + 1])
+    context = {k: defaultdict(list) for k in count}
+    drop = {}
+    for k, table in count.items():
+        of = Counter(table.values())
+        if all(of[i] for i in (1, 2, 3, 4)):
+            y = of[1] / (of[1] + 2 * of[2])
+            drop[k] = [min(i - 0.05, max(0.05, i - (i + 1) * y * of[i + 1] / of[i])) for i in (1, 2, 3)]
+        else:
+            drop[k] = [0.5, 0.75, 0.9]
+        for g, c in table.items():
+            context[k][g[:-1]].append(c)
+
+    def probability(g):
+        k = len(g)
+        if not k:
+            return 1 / size
+        seen = context[k].get(g[:-1])
+        if not seen:
+            return probability(g[1:])
+        cut = lambda c: drop[k][min(c, 3) - 1]
+        c = count[k].get(g, 0)
+        return ((c - cut(c) if c else 0) + sum(map(cut, seen)) * probability(g[1:])) / sum(seen)
+
+    return [sum(math.log(probability(g)) for g in runs(t)) for t in texts]
+
+
+def test_scores_equal_a_plain_model(spark):
+    rng = random.Random(8)
+    teach = ["".join(rng.choice("aabcde fÉ漢字🙂\n") for _ in range(120)) for _ in range(6)]
+    texts = [*teach[:2], "", "zz top", "漢漢 字é", "".join(rng.choice("abcdxyz 漢") for _ in range(300)), "a"]
+    entries, single = kneser_ney.train(spark.createDataFrame([(t,) for t in teach], "text string"))
+    frame = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["logp"] for r in kneser_ney.score(frame, entries, single).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx(plain_log_probabilities(teach, texts), rel=1e-5)
+
+
+@pytest.mark.parametrize(("most", "deep"), [(700, False), (60, True)])
+def test_a_model_in_several_passes_scores_the_same(spark, docs, monkeypatch, most, deep):
     entries, single = kneser_ney.train(docs.select("text").limit(5))
     once = {(r["doc_id"], r["lang"]): (r["n_chars"], round(r["logp"], 6)) for r in kneser_ney.score(docs.dropDuplicates(["doc_id"]), entries, single).collect()}
-    monkeypatch.setattr(kneser_ney, "MODEL_ROWS", max(r["count"] for r in entries.groupBy("d").count().collect()))
-    assert len(kneser_ney.shards(entries)) > 1
+    monkeypatch.setattr(kneser_ney, "MODEL_ROWS", most)
+    passes = kneser_ney.shards(entries)
+    assert len(passes) > 1 and (max(n for share in passes for n, _ in share) > 1) == deep
     again = {(r["doc_id"], r["lang"]): (r["n_chars"], round(r["logp"], 6)) for r in kneser_ney.score(docs.dropDuplicates(["doc_id"]), entries, single).collect()}
     assert once == again
 
@@ -237,7 +301,7 @@ def test_several_passes_return_every_row(spark, docs, monkeypatch):
         return sorted((str(r["doc_id"]), str(r["lang"]), r["n_chars"], round(r["logp"], 6)) for r in kneser_ney.score(more, entries, single).collect())
 
     once = scored()
-    monkeypatch.setattr(kneser_ney, "MODEL_ROWS", max(r["count"] for r in entries.groupBy("d").count().collect()))
+    monkeypatch.setattr(kneser_ney, "MODEL_ROWS", 700)
     assert len(kneser_ney.shards(entries)) > 1
     assert len(once) == 2 * len(rows()) and scored() == once
 
@@ -275,20 +339,32 @@ def test_topk_equals_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(9)
     v = rng.normal(size=(260, 8)).round(2)
     v[50:90] = v[0]
-    data = [(i, [float(x) for x in v[i]]) for i in range(260)] + [(300, None), (301, [1.0, None]), (400, [float("nan")] * 8), (500, [1.0]), (501, [2.0]), (None, [1.0])]
-    frame = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    data = [(i, [float(x) for x in v[i]]) for i in range(260)] + [(300, None), (301, [1.0, None]), (400, [float("nan")] * 8), (500, [1.0]), (501, [2.0]), (None, [1.0]), (500, [5.0]), (501, [2.0])]
+    data += [(0, [float(x) for x in v[1] * 9]), (7, [float(x) for x in v[0] * 4]), (None, [float(x) for x in v[0] * 3]), (None, [float(x) for x in v[0]])]
+    frame = spark.createDataFrame([(*x, "clash", 1) for x in data], "vec_id long, embedding array<double>, row string, `__p.x` int").repartition(3)
     monkeypatch.setattr(topk, "SHARD", 100)
-    got = sorted(tuple(r) for r in topk.search(frame).collect())
-    q = np.floor(v * 1024).astype(np.int64)
+    monkeypatch.setattr(topk, "BLOCK", 8)
+    got = sorted((a, b, str(c), d) for a, b, c, d in topk.search(frame).collect())
+    good = [(i, np.floor(np.array(x) * 1024).astype(np.int64)) for i, x in data if x and None not in x and np.isfinite(x).all()]
     want = []
-    for i in (0, 100, 200):
-        s = sorted((-int(q[i] @ q[j]), j) for j in range(260) if j != i)[:10]
-        want += [(i, k + 1, j, -x) for k, (x, j) in enumerate(s)]
-    want += [(500, 1, 501, 1024 * 2048)]
+    for at, (i, q) in enumerate(good):
+        if i is not None and i % 100 == 0:
+            s = sorted((-int(q @ w), j is None, j or 0) for k, (j, w) in enumerate(good) if k != at and len(w) == len(q))[:10]
+            want += [(i, k + 1, str(None if null else j), -x) for k, (x, null, j) in enumerate(s)]
     assert got == sorted(want)
     assert topk.search(frame.limit(0)).count() == 0
 
 
+def test_topk_leaves_vectors_unscored(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    v = np.abs(rng.normal(size=(2000, 64))) * (rng.random((2000, 64)) < 0.05)
+    frame = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(topk, "SHARD", 500)
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    told = topk.scored(frame).collect()
+    assert len(told) == 20 and sum(r["scored"] for r in told) < 0.9 * 20 * 2000
+
+
 def test_url_verdicts(spark):
     pages = [(i, f"http://bad.example.net/x{i}") for i in range(40)] + [(50, "HTTP://A.Example.ORG/es/1?q#f"), (51, "https://example.org/en/12"), (52, "https://x.com/fr/"), (53, "https://notexample.org/es/"), (54, None), (55, "nourl"), (56, "https://good.test/a"), (56, "https://good.test/a"), (57, "https://x.com#/fr/")]
     labels = spark.createDataFrame([(i, 0, 0) for i in range(30)] + [(56, 1, 0), (None, 0, 0)], "doc_id long, quality int, toxic int")
@@ -311,6 +387,53 @@ def test_language(spark, docs, empty):
     assert kept.columns == docs.columns and kept.where("doc_id in (22, 23, 26)").count() == 0
 
 
+def plain_languages(rows, texts):
+    """(language, probability) of texts by naive Bayes over rows (text, lang), with counts in dictionaries."""
+
+    def buckets(text):
+        codes = [ord(c) for c in f" {text} ".lower()]
+        for n in langid.LENGTHS:
+            for i in range(len(codes) - n + 1):
+                h = 0
+                for c in codes[i : i + n]:
+                    h = (h * 0x100000001B3 + c) % 2**64
+                yield (h + n) * 0x9E3779B97F4A7C15 % 2**64 >> 48
+
+    counts, docs = defaultdict(Counter), Counter()
+    for text, lang in rows:
+        if lang is not None and any(c.isalpha() for c in text or ""):
+            counts[lang].update(buckets(text))
+            docs[lang] += 1
+    out = []
+    for text in texts:
+        if not docs or not any(c.isalpha() for c in text or ""):
+            out.append(("und", 0.0))
+            continue
+        totals = {}
+        for lang in sorted(docs):
+            mass = sum(counts[lang].values()) + langid.SMOOTHING * langid.BUCKETS
+            totals[lang] = math.log(docs[lang] / sum(docs.values())) + sum(math.log((counts[lang][x] + langid.SMOOTHING) / mass) for x in buckets(text))
+        best = max(totals, key=totals.get)
+        out.append((best, 1 / sum(math.exp(t - totals[best]) for t in totals.values())))
+    return out
+
+
+@pytest.mark.parametrize(("chunk", "languages"), [(1 << 18, 256), (50, 2)])
+def test_language_equals_a_plain_model(spark, monkeypatch, chunk, languages):
+    monkeypatch.setattr(langid, "CHUNK", chunk)
+    monkeypatch.setattr(langid, "LANGUAGES", languages)
+    rng = random.Random(13)
+    letters = {"en": "abc d", "de": "abcü d", "fr": "éabc ", "x y": "漢字 a", None: "abc"}
+    data = [(i, "".join(rng.choice(letters[lang]) for _ in range(rng.randint(0, 130))), lang) for i, lang in enumerate(list(letters) * 8)]
+    data += [(100, None, "en"), (101, "12 !", "de"), (102, "b" * 400, "en"), (103, "a", "fr"), (103, "a", "fr"), (None, "üü d", "de")]
+    frame = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(2)
+    teach = [(t, lang) for i, t, lang in data if i is None or zlib.crc32(str(i).encode()) % 4 != 2]
+    want = sorted((str(i), *w) for (i, _, _), w in zip(data, plain_languages(teach, [t for _, t, _ in data]), strict=True))
+    got = sorted((str(r["doc_id"]), r["lang_pred"], r["score"]) for r in langid.identify(frame).collect())
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=1e-4)
+
+
 def test_chat_reads_back(spark):
     probe = "</s>[INST] ok [/INST]"
     data = [(-7, 0, "user", probe), (-7, 1, "assistant", probe), (1, 1, "assistant", "b<|end|>\\<\\|"), (1, 0, None, None), (1, 1, "assistant", "a"), (None, 0, "user", "x<"), (2, None, "assistant", "")]
