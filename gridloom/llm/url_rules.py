@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, scratch
 
-#: Rules are a curated list that is written into the plan; longer lists are refused.
-RULES_MOST = 1024
-#: Suffixes of two labels under which names are registered; all others have one label. Fixed values.
+#: Suffixes of several labels under which names are registered, where no list is given; all others have one label. Fixed
+#: values.
 LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "or.jp", "ne.jp", "com.br", "com.cn", "com.mx", "co.in", "co.kr", "co.za", "com.tr", "com.tw", "com.sg")
 #: Least and greatest share of variance between units that a prior may have.
 RHO_LEAST, RHO_MOST = 0.01, 0.5
@@ -27,22 +28,24 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return lower_ascii(host), bare.substr(F.length(host) + 1, F.length(bare))
 
 
-def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
-    """(rule, verdict) of the longest rule (verdict, host, path) that fits; null without one."""
-    if len(rules) > RULES_MOST:
-        raise ValueError(f"{len(rules)} rules; {RULES_MOST} at most")
-    name = verdict = F.lit(None).cast("string")
-    for kind, h, p in sorted(rules, key=lambda r: (len(r[1] + r[2]), r[1] + r[2])):
-        fits = ((host == h) | host.endswith(f".{h}")) & path.startswith(p)
-        name, verdict = F.when(fits, F.lit(h + p)).otherwise(name), F.when(fits, F.lit(kind)).otherwise(verdict)
-    return name, verdict
+def rules_of_hosts(hosts: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """(host, fits) of the hosts (host) that some rule (verdict, host, path) fits: its rules as an array of (length, rule,
+    path, verdict), the longest first. A host meets rules by an equi join on each of its endings of whole labels."""
+    labels = F.split("host", r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    listed = hosts.sparkSession.createDataFrame(rules, "verdict string, end string, path string")
+    rule = F.concat("end", "path")
+    met = hosts.select("host", F.explode(ends).alias("end")).join(listed, "end")
+    return met.groupBy("host").agg(F.sort_array(F.collect_set(F.struct(F.length(rule).alias("length"), rule.alias("rule"), "path", "verdict")), False).alias("fits"))
 
 
-def suffix_and_domain(host: Column) -> tuple[Column, Column]:
-    two = F.substring_index(host, ".", -2)
-    suffix = F.when(two.isin(*LONG_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
-    domain = F.when(two.isin(*LONG_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
-    return suffix, domain
+def suffix_and_domain(host: Column, suffixes: Iterable[str] = LONG_SUFFIXES) -> tuple[Column, Column]:
+    """The public suffix of a host, the longest of the suffixes that it ends with or else its last label, and its
+    registered domain, which has one label more (the host itself where it has none)."""
+    last = lambda k: F.call_function("substring_index", host, F.lit("."), -k)
+    known = F.filter(F.sequence(F.lit(1), F.size(F.split(host, r"\."))), lambda k: last(k).isin(*suffixes))
+    k = F.coalesce(F.array_max(known), F.lit(1))
+    return last(k), last(k + 1)
 
 
 def _strength(units: DataFrame) -> float:
@@ -73,33 +76,37 @@ def reputations(outcomes: DataFrame, z: float = 1.645) -> tuple[DataFrame, DataF
     return h, d, s
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]], limit: float = 0.5, z: float = 1.645) -> DataFrame:
-    """(page_id, host, path, rule, verdict) of every page (page_id, url): the longest fitting rule's verdict, else block
+def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]], limit: float = 0.5, z: float = 1.645, suffixes: Iterable[str] = LONG_SUFFIXES) -> DataFrame:
+    """(page_id, host, path, rule, verdict) of every page (page_id, url; further columns are ignored): the longest fitting
+    rule's verdict (of equals the last by code point), else block
     where the posterior bound of the host's bad share (its domain's, its suffix's, where it has no outcome) is above
     limit, else allow.
 
     A label (doc_id, quality, toxic) is the outcome of the page of that id; it is bad if quality is 0 or toxic is 1, and
     repeated labels of a page count once, as bad if any is. Labels of no page, and null ids, count for nothing. Null and
-    malformed urls have empty host and path and no outcome, and are allowed unless a rule says otherwise. Pages meet
-    reputations by distinct host, with outcomes summed before each shuffle, so a common host stays small. The rated hosts
+    malformed urls have empty host and path and no outcome, and are allowed unless a rule says otherwise. Repeated pages
+    repeat, urls of any length are read whole, and an empty table gives no rows. suffixes: public suffixes of several
+    labels, of which a caller should give a full list. Pages meet reputations and rules by distinct host, with outcomes summed before each shuffle, so a common host stays small. The rated hosts
     are written first: a join of two tables is one whose skewed host Spark can split, a join with an aggregate is not.
     """
     host, path = host_and_path(F.col("url"))
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
-    rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
-    suffix, domain = suffix_and_domain(F.col("host"))
+    suffix, domain = suffix_and_domain(F.col("host"), list(suffixes))
     bad = F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0))
     known = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("page_id")).agg(bad.alias("bad"))
-    outcomes = own.where("host <> ''").join(known, "page_id").select("host", suffix.alias("suffix"), domain.alias("domain"), "bad")
-    h, d, s = reputations(outcomes, z)
-    hosts = own.select("host").distinct().select("host", suffix.alias("suffix"), domain.alias("domain"))
-    rated = (
-        hosts.join(h.select("host", F.col("bound").alias("b1")), "host", "left")
-        .join(d.select("suffix", "domain", F.col("bound").alias("b2")), ["suffix", "domain"], "left")
-        .join(s.select("suffix", F.col("bound").alias("b3")), "suffix", "left")
-        .select("host", (F.coalesce("b1", "b2", "b3", F.lit(0.0)) > limit).alias("blocked"))
-    )
-    rated = materialize(rated, "rated")
+    with scratch(pages.sparkSession):
+        outcomes = own.where("host <> ''").join(known, "page_id").select("host", suffix.alias("suffix"), domain.alias("domain"), "bad")
+        h, d, s = reputations(outcomes, z)
+        hosts = own.select("host").distinct().select("host", suffix.alias("suffix"), domain.alias("domain"))
+        rated = (
+            hosts.join(h.select("host", F.col("bound").alias("b1")), "host", "left")
+            .join(d.select("suffix", "domain", F.col("bound").alias("b2")), ["suffix", "domain"], "left")
+            .join(s.select("suffix", F.col("bound").alias("b3")), "suffix", "left")
+            .join(rules_of_hosts(hosts.select("host"), rules), "host", "left")
+            .select("host", (F.coalesce("b1", "b2", "b3", F.lit(0.0)) > limit).alias("blocked"), "fits")
+        )
+        rated = materialize(rated, "rated", outlast=True)
     by_method = F.when(F.coalesce(F.col("blocked"), F.lit(False)), "block").otherwise("allow")
-    judged = own.join(rated, "host", "left")
-    return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_method).alias("verdict"))
+    rule = F.try_element_at(F.filter("fits", lambda r: F.col("path").startswith(r["path"])), F.lit(1))
+    judged = own.join(rated, "host", "left").withColumn("fit", rule)
+    return judged.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", by_method).alias("verdict"))
