@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh, materialize, own, scratch
 
 #: Rows that share source, size and a slice of them, about; such a slice is ranked in one task.
 SLICE = 4096
@@ -32,7 +32,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, mos
     order of the keys; a target stops at most times its source's size and the excess goes to the others by weight.
 
     With a level t, targets are min(most * size, weight * t); the level that meets the sum is found from running sums
-    of the sources by the level at which they stop. These windows see one row for each source.
+    of the sources by the level at which they stop. These windows see one row for each source, in one task: some hundred
+    bytes for each, so millions of sources are within its reach.
     """
     deal = F.array(*[F.lit(float(w)) for w in weights])
     ranked = sizes.withColumn("w", F.element_at(deal, ((F.row_number().over(Window.orderBy("skey")) - 1) % len(weights) + 1).cast("int")))
@@ -104,24 +105,40 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     """(doc_id, size, source_size, target, taken, copies) of every row of docs (doc_id, text, source).
 
     Rates come from tilts() and depend on source and size alone; sources at their cap take every row most times.
-    They become copies by systematic rounding, and a hash of doc_id says which rows of a slice get the extra ones, so
-    reruns agree. A source's long rows are rounded first; what they miss is added to the target of its short rows (those
-    that hold the share ``small`` of its words), whose dual is solved again, so the words miss the target by no more
+    They become copies by systematic rounding, and a hash of doc_id and text says which rows of a slice get the extra
+    ones, so reruns agree. A source's long rows are rounded first; what they miss is added to the target of its short rows
+    (those that hold the share ``small`` of its words), whose dual is solved again, so the words miss the target by no more
     than about half of the longest short row. Null text has size 0, null source is a source of its own, rows that
-    repeat are rows of their own, an empty table gives no rows. Only (id, source, size) is shuffled; rows meet first by
-    source and size, so one huge source or group of copies is summed before it moves and is ranked in slices.
+    repeat are rows of their own, texts are counted whole, an empty table gives no rows and further columns are ignored.
+    Only (id, source, size, a hash of the text) is shuffled; rows meet first by source and size, so one huge source or
+    group of copies is summed before it moves and is ranked in slices.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _source_key(F.col("source")).alias("skey"), words(F.col("text")).alias("size"))
-    own = materialize(own, "sizes")
+    with scratch(docs.sparkSession):
+        own, slices, cells, targets = _planned(docs, weights, share, most, small)
+    rows = _sliced(own, slices)
+    rank = F.row_number().over(Window.partitionBy("skey", "size", "slice").orderBy(F.xxhash64("doc_id", "said", F.lit(13)), "doc_id"))
+    got = rows.withColumn("rank", rank).join(cells, ["skey", "size", "slice"], "left").join(targets, "skey")
+    copies = F.coalesce(F.col("base"), F.lit(0)) + F.when(F.col("rank") <= F.coalesce("extra", F.lit(0)), 1).otherwise(0)
+    got = got.withColumn("copies", copies.cast("long"))
+    return got.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+def _sliced(own: DataFrame, slices: DataFrame) -> DataFrame:
+    return own.join(slices, ["skey", "size"]).withColumn("slice", F.pmod(F.xxhash64("doc_id", "said", F.lit(11)), F.col("slices")))
+
+
+def _planned(docs: DataFrame, weights: Sequence[float], share: float, most: float, small: float) -> tuple[DataFrame, ...]:
+    """What mix() joins, as written tables: rows, slices of each source and size, copies of each slice, targets."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _source_key(F.col("source")).alias("skey"), words(F.col("text")).alias("size"), F.xxhash64("text").alias("said"))
+    own = materialize(own, "sizes", outlast=True)
     hist = own.groupBy("skey", "size").agg(F.count("*").alias("n"))
     below = F.sum(F.col("n") * F.col("size")).over(Window.partitionBy("skey").orderBy("size").rowsBetween(Window.unboundedPreceding, 0))
     whole = F.sum(F.col("n") * F.col("size")).over(Window.partitionBy("skey"))
     hist = materialize(hist.withColumn("short", below <= small * whole), "histogram")
-    targets = materialize(source_targets(hist.groupBy("skey").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, share, most), "targets")
+    targets = materialize(source_targets(hist.groupBy("skey").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, share, most), "targets", outlast=True)
 
-    rows = own.join(hist.select("skey", "size", F.ceil(F.col("n") / SLICE).alias("slices")), ["skey", "size"])
-    rows = rows.withColumn("slice", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.col("slices")))
-    counts = materialize(rows.groupBy("skey", "size", "slice").agg(F.count("*").alias("n")), "slices")
+    slices = materialize(hist.select("skey", "size", F.ceil(F.col("n") / SLICE).alias("slices")), "sliced", outlast=True)
+    counts = materialize(_sliced(own, slices).groupBy("skey", "size", "slice").agg(F.count("*").alias("n")), "slices")
     filled, mass = hist.where("size > 0"), F.sum(F.col("n") * F.col("size"))
     first = _rates(filled.drop("short"), targets, most)
     long_ones = materialize(_rounded(counts, first.join(filled.where("not short").select("skey", "size"), ["skey", "size"], "left_semi")), "long")
@@ -130,18 +147,14 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     left = targets.select("skey", "target").join(taken, "skey", "left").join(short.groupBy("skey").agg(mass.alias("source_size")), "skey")
     left = left.select("skey", "source_size", F.greatest(F.lit(0.0), F.col("target") - F.coalesce("taken", F.lit(0))).alias("target"))
     cells = long_ones.unionByName(_rounded(counts, _rates(short, materialize(left, "left"), most))).select("skey", "size", "slice", "base", "extra")
-
-    rank = F.row_number().over(Window.partitionBy("skey", "size", "slice").orderBy(F.xxhash64("doc_id", F.lit(13)), "doc_id"))
-    got = rows.withColumn("rank", rank).join(cells, ["skey", "size", "slice"], "left").join(targets, "skey")
-    copies = F.coalesce(F.col("base"), F.lit(0)) + F.when(F.col("rank") <= F.coalesce("extra", F.lit(0)), 1).otherwise(0)
-    got = got.withColumn("copies", copies.cast("long"))
-    return got.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    return own, slices, materialize(cells, "cells", outlast=True), targets
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """docs with each row as many times as the mix takes it. Rows that share a doc_id (or a null one) are taken as often
-    as the one of them that is taken most."""
-    columns = docs.columns
-    times = mix(docs, **options).groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies")).where("__copies > 0")
-    met = docs.join(times.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")))
-    return met.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*(f"`{c}`" for c in columns))
+    as the one of them that is taken most. Columns and their names are those of docs; null texts and those without words
+    go, as the mix takes none of their words; an empty table stays empty."""
+    key, copies, copy = fresh(docs.columns, "__id", "__copies", "__copy")
+    times = mix(docs, **options).groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").alias(copies)).where(F.col(copies) > 0)
+    met = docs.join(times.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col(key)))
+    return met.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*own(docs))
