@@ -27,18 +27,46 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(data, zlib.crc32(kind)))
 
 
+def _filtered(rows: np.ndarray) -> np.ndarray:
+    """Rows with their filter before them: of none, the difference to the left and that to the row above, the one whose
+    differences, as signed bytes, have the least sum of magnitudes."""
+    tried = np.empty((3, *rows.shape), np.uint8)
+    tried[0] = tried[1] = tried[2] = rows
+    tried[1, :, 1:] -= rows[:, :-1]
+    tried[2, 1:] -= rows[:-1]
+    kinds = np.abs(tried.view(np.int8).astype(np.int16)).sum(axis=2, dtype=np.int64).argmin(axis=0)
+    return np.hstack([kinds[:, None].astype(np.uint8), tried[kinds, np.arange(len(rows))]])
+
+
 def encode_png(payload: bytes, width: int = WIDTH, level: int = 1) -> bytes:
-    """An 8-bit gray PNG of the payload, whose length must be a positive multiple of width. Rows carry no filter:
-    the differences that filters take lengthen text."""
+    """An 8-bit gray PNG of the payload, whose length must be a positive multiple of width. Each row has a filter of its
+    own."""
     rows = np.frombuffer(payload, np.uint8).reshape(-1, width)
-    raw = np.zeros((len(rows), width + 1), np.uint8)
-    raw[:, 1:] = rows
     head = struct.pack(">IIBBBBB", width, len(rows), 8, 0, 0, 0, 0)
-    return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(raw.tobytes(), level)) + _chunk(b"IEND", b"")
+    return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(_filtered(rows).tobytes(), level)) + _chunk(b"IEND", b"")
+
+
+def _wave(rows: np.ndarray, above: np.ndarray, kind: int) -> np.ndarray:
+    """Rows whose filter is the mean of left and above (3) or the nearest of left, above and corner (4), undone along
+    diagonals: a sample needs its left, the one above it and their corner, all of earlier diagonals."""
+    n, width = rows.shape
+    out = np.zeros((n + 1, width + 1), np.int16)  # a row above and a column of zeros to the left
+    out[0, 1:] = above
+    for t in range(n + width - 1):
+        r = np.arange(max(0, t - width + 1), min(n, t + 1))
+        c = t - r
+        left, up, corner = out[r + 1, c], out[r, c + 1], out[r, c]
+        if kind == 3:
+            guess = (left + up) >> 1
+        else:
+            a, b, d = np.abs(up - corner), np.abs(left - corner), np.abs(left + up - 2 * corner)
+            guess = np.where((a <= b) & (a <= d), left, np.where(b <= d, up, corner))
+        out[r + 1, c + 1] = (rows[r, c] + guess) & 255
+    return out[1:, 1:].astype(np.uint8)
 
 
 def _unfiltered(raw: np.ndarray) -> np.ndarray:
-    """Rows of gray samples from filtered rows; runs of rows of one filter kind are undone together where they can be."""
+    """Rows of gray samples from filtered rows; a run of rows of one filter is undone at once."""
     kinds, rows = raw[:, 0], raw[:, 1:].copy()
     if (kinds > 4).any():
         raise ValueError("unknown row filter")
@@ -48,20 +76,10 @@ def _unfiltered(raw: np.ndarray) -> np.ndarray:
         if kind == 1:
             rows[at:end] = np.cumsum(rows[at:end], axis=1, dtype=np.uint8)
         elif kind == 2:
-            rows[at:end] = np.cumsum(np.vstack([above[None], rows[at:end]]), axis=0, dtype=np.uint8)[1:]
-        elif kind in (3, 4):
-            for r in range(at, end):
-                up, left, corner = above.astype(int), 0, 0
-                line = rows[r].astype(int)
-                for c in range(len(line)):
-                    if kind == 3:
-                        guess = (left + up[c]) >> 1
-                    else:
-                        p = left + up[c] - corner
-                        guess = min((abs(p - left), 0, left), (abs(p - up[c]), 1, up[c]), (abs(p - corner), 2, corner))[2]
-                    corner, left = up[c], (line[c] + guess) & 255
-                    line[c] = left
-                rows[r] = above = line.astype(np.uint8)
+            rows[at] += above
+            rows[at:end] = np.cumsum(rows[at:end], axis=0, dtype=np.uint8)
+        elif kind:
+            rows[at:end] = _wave(rows[at:end], above, kind)
     return rows
 
 
@@ -118,7 +136,8 @@ def payload(text: str | None, width: int = WIDTH) -> tuple[bytes, int]:
 
 
 def media_columns(docs: DataFrame, level: int = 1) -> DataFrame:
-    """(doc_id, n_bytes, media binary) of every row: its whole text as a PNG. Null text: empty, one row of zeros."""
+    """(doc_id, n_bytes, media binary) of every row: its whole text, however long, as a PNG. Null and empty
+    texts: one row of zeros. Rows are independent, repeated rows repeat, further columns are ignored."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
