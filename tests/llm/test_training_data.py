@@ -16,6 +16,7 @@ import pytest
 import regex
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gridloom.llm import bpe, chat, kneser_ney, langid, media, mixing, simhash, token_files, topk, url_rules, vptree
@@ -318,9 +319,60 @@ def test_mixture_meets_its_targets(docs, empty):
         assert abs(sum(r["taken"] for r in own) - t) <= max(0.1 * t, max(r["size"] for r in own) / 2)
     assert mixing.mix(docs).exceptAll(mixing.mix(docs.repartition(5))).count() == 0
     assert mixing.mixed_documents(docs).columns == docs.columns
+    names = {"lang": "__id", "size": "__copies", "fp": "a.b"}
+    clash = mixing.mixed_documents(docs.withColumnsRenamed(names).withColumn("__copy", F.lit(77)))
+    assert clash.columns == [names.get(c, c) for c in docs.columns] and {r["__copy"] for r in clash.collect()} == {77}
+    times = Counter(r["doc_id"] for r in clash.collect())
+    assert times == Counter({d: n for d, n in Counter(r["doc_id"] for r in mixing.mixed_documents(docs).collect()).items()})
     assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
 
 
+def plain_targets(sizes):
+    """Targets by source size: 3, 1, 2 in order of source, null last, 150% of all, 2 times a source's size at most."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    out, open_, left = {}, set(order), 1.5 * sum(sizes.values())
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if weight[s] * level >= 2 * sizes[s]}
+        if not full:
+            return out | {s: weight[s] * level for s in open_}
+        for s in full:
+            out[s] = 2 * sizes[s]
+            left -= out[s]
+        open_ -= full
+    return out
+
+
+def plain_copies(sizes, target):
+    """Mean copies by size: min(2, exp(t * size)) with the t whose words meet the target, by bisection."""
+    low, high = -50.0, 50.0
+    words = lambda t: sum(s * min(2.0, math.exp(min(t * s, 50))) for s in sizes)
+    for _ in range(200):
+        t = (low + high) / 2
+        low, high = (t, high) if words(t) < target else (low, t)
+    return {s: min(2.0, math.exp(min(low * s, 50))) for s in sizes}
+
+
+def test_mixture_equals_plain_rates(spark):
+    rng = random.Random(21)
+    data = [(i, " ".join(["w"] * rng.choice([1, 2, 3, 5, 8, 30])), rng.choice(["a", "b", "c", "d", None]) if i % 3 else "b") for i in range(3000)]
+    got = mixing.mix(spark.createDataFrame(data, "doc_id long, text string, source string").repartition(3)).collect()
+    source = {i: s for i, _, s in data}
+    by = defaultdict(list)
+    for r in got:
+        by[source[r["doc_id"]]].append(r)
+    want = plain_targets({s: sum(r["size"] for r in own) for s, own in by.items()})
+    for s, own in by.items():
+        assert sorted({r["target"] for r in own}) == pytest.approx([want[s]])
+        assert abs(sum(r["taken"] for r in own) - want[s]) <= 8
+        rates = plain_copies([r["size"] for r in own], want[s])
+        for size, rate in rates.items():
+            same = [r for r in own if r["size"] == size]
+            # short rows also make up for what the long ones miss in rounding
+            assert sum(r["taken"] for r in same) / size / len(same) == pytest.approx(rate, abs=0.06 + 1 / len(same))
+
+
 def test_bpe_equals_the_library(docs, empty):
     e = bpe.encoder(RANKS, PATTERN)
     library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=e.pairs.ranks, special_tokens={})
@@ -374,6 +426,12 @@ def test_url_verdicts(spark):
     assert got[50] == ("a.example.org", "/es/1", "example.org/es/", "block") and got[51][2:] == ("example.org/en/1", "block")
     assert got[52][2:] == ("com/fr/", "allow") and got[53][2:] == ("org/", "allow") and got[54] == ("", "", None, "allow") == got[55]
     assert got[35][3] == "block" and got[56][3] == "allow" and got[57][:3] == ("x.com", "", None)
+    many = rules + [("block", f"h{i}.test", f"/{i}") for i in range(3000)] + [("block", "good.test", "/a"), ("allow", "a.b.test", "/")]
+    more = spark.createDataFrame([(1, "http://x.h7.test/77"), (2, "http://h7.test/6"), (3, "http://good.test/ab"), (4, "http://.b.test/"), (5, "http://z.a.b.test")], "page_id long, url string")
+    assert {r["page_id"]: r["rule"] for r in url_rules.judge(more, labels, many).collect()} == {1: "h7.test/7", 2: None, 3: "good.test/a", 4: None, 5: None}
+    ends = spark.createDataFrame([("a.b.co.uk",), ("co.uk",), ("uk",), ("x.y.z.city.jp",), ("",)], "host string")
+    suffix, domain = url_rules.suffix_and_domain(ends["host"], ["co.uk", "z.city.jp"])
+    assert [tuple(r) for r in ends.select(suffix, domain).collect()] == [("co.uk", "b.co.uk"), ("co.uk", "co.uk"), ("uk", "uk"), ("z.city.jp", "y.z.city.jp"), ("", "")]
     assert url_rules.judge(frame, labels, rules).count() == len(pages) and url_rules.judge(frame.limit(0), labels.limit(0), rules).count() == 0
 
 
@@ -472,13 +530,63 @@ def test_media_round_trip(docs, empty):
     assert media.media_digests(media.media_columns(empty)).count() == 0
 
 
+def plain_png(png):
+    """Gray samples of a PNG, byte by byte."""
+    at, data, width = 8, b"", 0
+    while at < len(png):
+        size, kind = int.from_bytes(png[at : at + 4], "big"), png[at + 4 : at + 8]
+        body = png[at + 8 : at + 8 + size]
+        assert zlib.crc32(kind + body) == int.from_bytes(png[at + 8 + size : at + 12 + size], "big")
+        width = int.from_bytes(body[:4], "big") if kind == b"IHDR" else width
+        data += body if kind == b"IDAT" else b""
+        at += 12 + size
+    raw, out, above, kinds = zlib.decompress(data), [], [0] * width, set()
+    for y in range(0, len(raw), width + 1):
+        line, kind = list(raw[y + 1 : y + 1 + width]), raw[y]
+        kinds.add(kind)
+        for x in range(width):
+            line[x] = (line[x] + (0, line[x - 1] if x else 0, above[x])[kind]) % 256
+        out.append(line)
+        above = line
+    return np.array(out, np.float64), kinds
+
+
+def plain_feature(samples):
+    """Bits of the 8 x 8 lowest cosine terms above their median, of an image reduced to 32 x 32, by plain sums."""
+
+    def reduced(x):
+        n = len(x)
+        if n < 32:
+            return np.array([x[i * n // 32] for i in range(32)])
+        cuts = [i * n // 32 for i in range(32)] + [n]
+        return np.array([x[a:b].mean(axis=0) for a, b in zip(cuts, cuts[1:], strict=False)])
+
+    small = reduced(reduced(samples).T).T
+    wave = [[math.cos(math.pi / 32 * u * (x + 0.5)) for x in range(32)] for u in range(8)]
+    terms = [round(sum(wave[u][y] * wave[v][x] * small[y][x] for y in range(32) for x in range(32)), 6) for u in range(8) for v in range(8)]
+    middle = sorted(terms)
+    middle = (middle[31] + middle[32]) / 2
+    return f"{int(''.join(str(int(t > middle)) for t in terms), 2):016x}"
+
+
+def test_media_equals_plain_reading(docs):
+    stored = {(r["doc_id"], r["n_bytes"]): bytes(r["media"]) for r in media.media_columns(docs).collect()}
+    kinds = set()
+    for r in media.media_digests(media.media_columns(docs)).collect():
+        png = stored[r["doc_id"], r["n_bytes"]]
+        samples, used = plain_png(png)
+        kinds |= used
+        assert (r["media_bytes"], r["media_sha256"], r["feature"]) == (len(png), hashlib.sha256(png).hexdigest(), plain_feature(samples))
+    assert kinds == {0, 1, 2}
+
+
 def test_png_filters_and_checksums():
     rng = np.random.default_rng(0)
     samples = rng.integers(0, 256, (12, 64), dtype=np.uint8)
     raw = np.zeros((12, 65), np.uint8)
     above = np.zeros(64, int)
     for y in range(12):
-        kind, line = y % 5, samples[y].astype(int)
+        kind, line = [0, 1, 2, 3, 4, 4, 4, 3, 3, 1, 2, 2][y], samples[y].astype(int)
         left, corner = np.concatenate([[0], line[:-1]]), np.concatenate([[0], above[:-1]])
         p = left + above - corner
         best = np.where((abs(p - left) <= abs(p - above)) & (abs(p - left) <= abs(p - corner)), left, np.where(abs(p - above) <= abs(p - corner), above, corner))
