@@ -53,8 +53,8 @@ def shared_dir(spark: SparkSession) -> str:
 _SCRATCH = threading.local()
 
 
-def new_path(spark: SparkSession, what: str, outlast: bool = False) -> str:
-    """A new path in the shared folder; inside scratch() it goes at the end, or with outlast at the end of the one around."""
+def new_path(spark: SparkSession, what: str, outlast: int = 0) -> str:
+    """A new path in the shared folder. It goes at the end of the scratch() around, or outlasts so many of them."""
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     open_ = getattr(_SCRATCH, "open", [])
     if len(open_) > outlast:
@@ -75,7 +75,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             remove(spark, path)
 
 
-def materialize(df: DataFrame, what: str = "part", outlast: bool = False) -> DataFrame:
+def materialize(df: DataFrame, what: str = "part", outlast: int = 0) -> DataFrame:
     """Write df once to the shared folder and read it again: what follows survives lost executors without computing df anew."""
     path = new_path(df.sparkSession, what, outlast)
     df.write.parquet(path)

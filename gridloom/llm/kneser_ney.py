@@ -196,7 +196,7 @@ def _trained(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
         made = made.union(weights)
         entries = made if entries is None else entries.union(made)
         lower = level.select(F.col("g").alias("s"), F.col("p").alias("below"))
-    return materialize(entries, "model", outlast=True), np.log(prob)
+    return materialize(entries, "model", outlast=1), np.log(prob)
 
 
 def _ends(size: int) -> int:

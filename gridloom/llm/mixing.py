@@ -130,14 +130,14 @@ def _sliced(own: DataFrame, slices: DataFrame) -> DataFrame:
 def _planned(docs: DataFrame, weights: Sequence[float], share: float, most: float, small: float) -> tuple[DataFrame, ...]:
     """What mix() joins, as written tables: rows, slices of each source and size, copies of each slice, targets."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _source_key(F.col("source")).alias("skey"), words(F.col("text")).alias("size"), F.xxhash64("text").alias("said"))
-    own = materialize(own, "sizes", outlast=True)
+    own = materialize(own, "sizes", outlast=1)
     hist = own.groupBy("skey", "size").agg(F.count("*").alias("n"))
     below = F.sum(F.col("n") * F.col("size")).over(Window.partitionBy("skey").orderBy("size").rowsBetween(Window.unboundedPreceding, 0))
     whole = F.sum(F.col("n") * F.col("size")).over(Window.partitionBy("skey"))
     hist = materialize(hist.withColumn("short", below <= small * whole), "histogram")
-    targets = materialize(source_targets(hist.groupBy("skey").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, share, most), "targets", outlast=True)
+    targets = materialize(source_targets(hist.groupBy("skey").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, share, most), "targets", outlast=1)
 
-    slices = materialize(hist.select("skey", "size", F.ceil(F.col("n") / SLICE).alias("slices")), "sliced", outlast=True)
+    slices = materialize(hist.select("skey", "size", F.ceil(F.col("n") / SLICE).alias("slices")), "sliced", outlast=1)
     counts = materialize(_sliced(own, slices).groupBy("skey", "size", "slice").agg(F.count("*").alias("n")), "slices")
     filled, mass = hist.where("size > 0"), F.sum(F.col("n") * F.col("size"))
     first = _rates(filled.drop("short"), targets, most)
@@ -147,7 +147,7 @@ def _planned(docs: DataFrame, weights: Sequence[float], share: float, most: floa
     left = targets.select("skey", "target").join(taken, "skey", "left").join(short.groupBy("skey").agg(mass.alias("source_size")), "skey")
     left = left.select("skey", "source_size", F.greatest(F.lit(0.0), F.col("target") - F.coalesce("taken", F.lit(0))).alias("target"))
     cells = long_ones.unionByName(_rounded(counts, _rates(short, materialize(left, "left"), most))).select("skey", "size", "slice", "base", "extra")
-    return own, slices, materialize(cells, "cells", outlast=True), targets
+    return own, slices, materialize(cells, "cells", outlast=1), targets
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:

@@ -158,13 +158,13 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 2) -> DataFrame:
     fingerprints are written, so that the last join is one of two tables, whose skewed fingerprints Spark can split.
     """
     with scratch(docs.sparkSession):
-        found = materialize(fingerprints(docs, k), "fingerprints", outlast=True)
+        found = materialize(fingerprints(docs, k), "fingerprints", outlast=1)
         fps = found.groupBy("fp").agg(F.min("doc_id").alias("rep"))
         edges = materialize(linked_fingerprints(fps, radius), "links")
         comp = materialize(components(edges), "components")
         named = fps.join(comp, fps["fp"] == comp["node"]).groupBy("comp").agg(F.min("rep").alias("smallest"))
         to = comp.join(named, "comp").select("node", "smallest")
-        by_fp = materialize(fps.join(to, fps["fp"] == to["node"], "left").select("fp", F.coalesce("smallest", "rep").alias("component_id")), "named", outlast=True)
+        by_fp = materialize(fps.join(to, fps["fp"] == to["node"], "left").select("fp", F.coalesce("smallest", "rep").alias("component_id")), "named", outlast=1)
     return found.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -402,5 +402,5 @@ def deduplicate(docs: DataFrame, k: int = 5, similarity: float = 0.8, tables: in
     single = one_of_each(docs)
     with scratch(docs.sparkSession):
         known = single.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        dropped = materialize(_similar(known, k, similarity, tables, bits, radius).where("doc_id <> group_id").select("doc_id"), "dropped", outlast=True)
+        dropped = materialize(_similar(known, k, similarity, tables, bits, radius).where("doc_id <> group_id").select("doc_id"), "dropped", outlast=1)
     return without(single, "doc_id", dropped)

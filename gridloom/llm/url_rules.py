@@ -105,7 +105,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]
             .join(rules_of_hosts(hosts.select("host"), rules), "host", "left")
             .select("host", (F.coalesce("b1", "b2", "b3", F.lit(0.0)) > limit).alias("blocked"), "fits")
         )
-        rated = materialize(rated, "rated", outlast=True)
+        rated = materialize(rated, "rated", outlast=1)
     by_method = F.when(F.coalesce(F.col("blocked"), F.lit(False)), "block").otherwise("allow")
     rule = F.try_element_at(F.filter("fits", lambda r: F.col("path").startswith(r["path"])), F.lit(1))
     judged = own.join(rated, "host", "left").withColumn("fit", rule)

@@ -600,14 +600,85 @@ def test_png_filters_and_checksums():
             media.decode_png(broken)
 
 
+def plain_quality(spark, data, marks):
+    """Ids that the quality stage keeps: perplexity of whole texts under the plain model, against the 0.99 quantile of held
+    trusted texts by language times 1.05, with 100 symbols of the language's mean."""
+    bad = {d for d, q, t in marks if q != 1 or t}
+    trusted = {d for d, *_ in marks if d is not None} - bad
+    held = {r["d"] for r in spark.createDataFrame([(d,) for d in trusted], "d long").where(F.pmod(F.xxhash64("d", F.lit(5)), F.lit(5)) == 0).collect()}
+    logs = plain_log_probabilities([t for d, t, *_ in data if d in trusted - held and t], [t or "" for _, t, *_ in data])
+    size = lambda t: sum(1 + (ord(c) >= 3072) for c in (t or "").lower())
+    rows = [(d, lang, size(t), log) for (d, t, lang, *_), log in zip(data, logs, strict=True)]
+    own = [r for r in rows if r[0] in held and r[2]]
+    mean = lambda some: sum(r[3] for r in some) / sum(r[2] for r in some)
+    means = {x: mean([r for r in own if r[1] == x]) for x in {r[1] for r in own}}
+    surprise = lambda r: -(r[3] + 100 * means.get(r[1], mean(own))) / (r[2] + 100)
+    edge = lambda some: math.exp(sorted(map(surprise, some))[math.ceil(0.99 * len(some)) - 1]) * 1.05
+    limit = {x: edge([r for r in own if r[1] == x]) for x in means}
+    return {r[0] for r in rows if r[2] and math.exp(surprise(r)) <= limit.get(r[1], edge(own))}
+
+
+def test_pipeline_equals_a_plain_version(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    words = {"en": "the house and a tree of water in light was near old river town".split(), "de": "das haus und ein baum von wasser im licht war fluß über groß".split()}
+    text = lambda lang, n: " ".join(rng.choice(words[lang]) + rng.choice(["", "", ",", "."]) for _ in range(n))
+    data = [(i, text(lang := rng.choice(["en", "de"]), rng.randint(30, 120)), lang, rng.choice(["a", "b", None]), 1) for i in range(120)]
+    data += [(200 + i, "".join(chr(rng.randint(33, 120)) for _ in range(300)), "en", "a", 1) for i in range(6)]
+    data += [(300 + i, data[i][1] + " and more", *data[i][2:]) for i in range(20)] + [(400 + i, data[i][1].upper(), *data[i][2:]) for i in range(10)]
+    data += [(500, None, "en", "a", 1), (501, "", None, "b", 1), (502, "12 34 56", "en", "b", 1), (503, "a house", None, None, 1)]
+    marks = [(i, 1, 0) for i in range(90)] + [(200, 0, 0), (3, 1, 1)]
+    spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/stage{k}")
+        docs = spark.read.parquet(f"{tmp_path}/stage{k}")
+        kept.append(sorted((r["doc_id"], r["text"], r["lang"], r["source"]) for r in docs.collect()))
+    good, spoken, unique, mixed = kept
+
+    want = plain_quality(spark, data, marks)
+    assert {r[0] for r in good} == want and 100 < len(want) < len(data) - 8
+    teach = [(t, lang) for d, t, lang, _ in good if zlib.crc32(str(d).encode()) % 4 != 2]
+    assert [r[0] for r in spoken] == [r[0] for r, (x, p) in zip(good, plain_languages(teach, [r[1] for r in good]), strict=True) if x != "und" and p >= 0.5]
+    sets, label = [set(simhash.shingle_set(r[1], 5).tolist()) for r in spoken], list(range(len(spoken)))
+    for _ in spoken:
+        before = label[:]
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets):
+                if len(x & y) >= 0.8 * len(x | y):
+                    label[i] = label[j] = min(label[i], label[j])
+        if label == before:
+            break
+    assert unique == [r for i, r in enumerate(spoken) if label[i] == i] and len(unique) < len(spoken) - 15
+    copies, by = Counter(r[0] for r in mixed), defaultdict(list)
+    for d, t, _, s in unique:
+        by[s].append((d, len(t.split())))
+    targets = plain_targets({s: sum(n for _, n in own) for s, own in by.items()})
+    for s, own in by.items():
+        assert abs(sum(copies[d] * n for d, n in own) - targets[s]) <= max(n for _, n in own) and all(copies[d] <= 2 for d, _ in own)
+    assert set(copies) <= {r[0] for r in unique}
+    library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.encoder(RANKS, PATTERN).pairs.ranks, special_tokens={})
+    plain = []
+    for d, t, *_ in mixed:
+        ids = np.array(library.encode_ordinary(t), "<u4").tobytes()
+        plain.append((d, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(t.encode()).hexdigest()))
+    assert sorted(tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted(plain)
+
+
 def test_pipeline_stages_hold(spark, docs, labels, tmp_path):
     import corpus_pipeline
 
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     frame = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    names = {"source": "source", "fp": "__maybe", "size": "a.b", "n_chars": "__gone", "__copy": "__copies"}
+    clash = frame.withColumnsRenamed(names)
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, frame, str(tmp_path))
-        assert out.columns == docs.columns
+        out, other = stage(spark, frame, str(tmp_path)), stage(spark, clash, str(tmp_path))
+        assert out.columns == docs.columns and other.columns == clash.columns
+        assert sorted(map(str, other.toDF(*docs.columns).collect())) == sorted(map(str, out.collect()))
     assert corpus_pipeline.run(spark, str(tmp_path)).columns[0] == "doc_id"
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "quality classifier"
