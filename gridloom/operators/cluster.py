@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .pagewise import Taken, folded, listed
+
 
 def gap_clusters(df: DataFrame, keys: Sequence[str], coord: str, tolerance: int = 20) -> DataFrame:
     """(keys, pos, center, n): runs of sorted coordinates whose neighbours differ by at most tolerance; centers are
@@ -33,32 +36,41 @@ def grid_score(rows: DataFrame, cols: DataFrame, keys: Sequence[str]) -> DataFra
     return r.join(c, list(keys)).select(*keys, score.alias("score"))
 
 
-def line_peaks(profiles: DataFrame, keys: Sequence[str], threshold: float = 0.15) -> DataFrame:
-    """(keys, peaks array<int>) of dense profiles (keys, pos from 0, value): smoothed by a box over a hundredth of the
-    length, the first greatest place of each run above the threshold, with the borders added where lines are far from
-    them, and lines nearer than a fiftieth of the length to the last kept one left out. A profile of zeros has none."""
-    whole, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("pos")
-    n, top = F.count("*").over(whole), F.max("value").over(whole)
-    width = F.greatest(F.lit(3), F.floor(F.col("n") / 100))
-    half = F.floor((width + F.when(width % 2 == 0, 1).otherwise(0)) / 2)
-    norm = profiles.select(*keys, "pos", "value").withColumns({"n": n, "top": top}).where("top > 0").withColumn("v", F.col("value") / F.col("top"))
-    norm = norm.withColumn("half", half)
+def peaks(profile: np.ndarray, threshold: float = 0.15) -> list[int]:
+    """Places of lines in a dense profile: smoothed by a box over a hundredth of the length, the first greatest place of
+    each run above the threshold, with the borders added where lines are far from them, and lines nearer than a fiftieth
+    of the length to the last kept one left out. A profile of zeros has none."""
+    n = len(profile)
+    top = profile.max() if n else 0
+    if top <= 0:
+        return []
+    half = (max(3, n // 100) | 1) // 2
     # The box's sum is a difference of running sums of whole numbers, so it is exact for any width.
-    upto = F.sum("value").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    run = norm.withColumn("upto", upto).withColumn("all", F.collect_list("upto").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    hi = F.element_at("all", F.least(F.col("pos") + F.col("half") + 1, F.col("n")).cast("int"))
-    lo = F.when(F.col("pos") - F.col("half") > 0, F.element_at("all", F.greatest(F.lit(1), F.col("pos") - F.col("half")).cast("int"))).otherwise(0.0)
-    smooth = run.withColumn("s", (hi - lo) / F.col("top") / (2 * F.col("half") + 1)).drop("all")
-    above = smooth.withColumn("on", F.col("s") > threshold)
-    edge = F.when(F.col("on") & ~F.coalesce(F.lag("on").over(order), F.lit(False)), 1).otherwise(0)
-    runs = above.withColumn("__e", edge).withColumn("run", F.sum("__e").over(order.rowsBetween(Window.unboundedPreceding, 0))).where("on")
-    best = runs.groupBy(*keys, "n", "run").agg(F.max(F.struct("s", (-F.col("pos")).alias("m")))["m"].alias("m"))
-    lists = best.groupBy(*keys, "n").agg(F.sort_array(F.collect_list((-F.col("m")).cast("int"))).alias("p"))
-    first, last = F.element_at("p", 1), F.element_at("p", -1)
-    full = F.concat(F.when(first > 10, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")), F.col("p"), F.when(last < F.col("n") - 10, F.array((F.col("n") - 1).cast("int"))).otherwise(F.array().cast("array<int>")))
-    gap = F.floor(F.col("n") / 50)
-    kept = F.aggregate("full", F.array().cast("array<int>"), lambda a, p: F.when((F.size(a) == 0) | (p - F.element_at(F.concat(F.array(F.lit(-1)), a), -1) > F.col("gap")), F.array_append(a, p)).otherwise(a))
-    return lists.withColumn("full", full).withColumn("gap", gap).select(*keys, kept.alias("peaks"))
+    upto = np.concatenate([[0.0], np.cumsum(profile, dtype=np.float64)])
+    at = np.arange(n)
+    smooth = (upto[np.minimum(at + half + 1, n)] - upto[np.maximum(at - half, 0)]) / top / (2 * half + 1)
+    cuts = np.flatnonzero(np.diff(np.concatenate([[False], smooth > threshold, [False]]).astype(int)))
+    found = [int(a + smooth[a:b].argmax()) for a, b in zip(cuts[::2], cuts[1::2], strict=True)]
+    if found:
+        found = [0] * (found[0] > 10) + found + [n - 1] * (found[-1] < n - 10)
+    kept: list[int] = []
+    for p in found:
+        if not kept or p - kept[-1] > n // 50:
+            kept.append(p)
+    return kept
+
+
+def line_peaks(profiles: DataFrame, keys: Sequence[str], threshold: float = 0.15) -> DataFrame:
+    """(keys, peaks array<int>) of dense profiles (keys, pos from 0, value), by the rule of peaks(); profiles without any
+    have no row. A profile is one array, which one Arrow pass reads."""
+
+    def fold(bounds: np.ndarray, d: dict[str, np.ndarray]) -> Taken:
+        found = [peaks(d["value"][at:end], threshold) for at, end in zip(bounds[:-1], bounds[1:], strict=True)]
+        some = [i for i, f in enumerate(found) if f]
+        return bounds[:-1][some], {"peaks": [found[i] for i in some]}
+
+    lists = listed(profiles.withColumn("value", F.col("value").cast("double")), keys, ["value"], F.col("pos"))
+    return folded(lists, fold, {"peaks": "array<int>"}, [])
 
 
 def regular(k: Column, cv: Column, least: int = 2, most: float = 0.5) -> Column:

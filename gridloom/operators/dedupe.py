@@ -1,50 +1,85 @@
 """Overlapping detections of a page: suppression, merging, confirmation and matching.
 
-The rules are greedy and ordered, so each folds a page's sorted detections; a page holds tens of them. Ties keep the
-order of det_id.
+The rules are greedy and ordered, so each folds a page's sorted detections in one Arrow pass. Ties keep the order of
+det_id. Where rules need pairs, boxes meet in cells of the page, so a crowded page isn't compared with itself in full.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box, iou, overlaps
+from .pagewise import Taken, folded, listed
 
 FIELDS = ("det_id", "x", "y", "w", "h", "confidence", "rows", "cols")
+#: Side of the cells in which boxes meet.
+CELL = 128
+
+
+def _meeting(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
+    """Pairs of boxes (columns prefixed a and b) of a page whose intersection has area, each once: boxes lie in every cell
+    that they touch, and a pair meets in the cell of its intersection's first corner."""
+
+    def placed(df: DataFrame, p: str) -> DataFrame:
+        for axis, extent, cell in (("x", "w", "gx"), ("y", "h", "gy")):
+            start = F.col(f"{p}{axis}")
+            df = df.withColumn(cell, F.explode(F.sequence(F.floor(start / CELL), F.floor((start + F.greatest(F.col(f"{p}{extent}"), F.lit(0))) / CELL))))
+        return df
+
+    met = placed(left, a).join(placed(right, b), ["page_id", "gx", "gy"])
+    first = [F.floor(F.greatest(F.col(f"{a}{c}"), F.col(f"{b}{c}")) / CELL) for c in "xy"]
+    return met.where((F.col("gx") == first[0]) & (F.col("gy") == first[1])).drop("gx", "gy")
 
 
 def pairs(detections: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """(page_id, a, b, iou): detections a < b of a page that overlap by more than threshold."""
+    """(page_id, a, b, iou): detections a < b of a page that overlap by more than threshold (0 or more)."""
     left, right = (detections.select("page_id", F.col("det_id").alias(n), *(F.col(c).alias(f"{n}{c}") for c in "xywh")) for n in ("a", "b"))
-    met = left.join(right, "page_id").where("a < b").withColumn("iou", iou(box("a"), box("b")))
+    met = _meeting(left, right, "a", "b").where("a < b").withColumn("iou", iou(box("a"), box("b")))
     return met.where(F.col("iou") > threshold).select("page_id", "a", "b", "iou")
 
 
-def _sorted(detections: DataFrame, *keys: Column) -> DataFrame:
-    item = F.struct(*(k.alias(f"k{i}") for i, k in enumerate(keys)), F.col("det_id").alias("pos"), F.struct(*FIELDS).alias("d"))
-    return detections.groupBy("page_id").agg(F.sort_array(F.collect_list(item)).alias("l")).withColumn("l", F.transform("l", lambda s: s["d"]))
+def _overlap(d: dict[str, np.ndarray], i: int, others: np.ndarray) -> np.ndarray:
+    """Intersection over union of row i with others; as functions.geometry.iou()."""
+    wide = np.minimum(d["x"][i] + d["w"][i], d["x"][others] + d["w"][others]) - np.maximum(d["x"][i], d["x"][others])
+    high = np.minimum(d["y"][i] + d["h"][i], d["y"][others] + d["h"][others]) - np.maximum(d["y"][i], d["y"][others])
+    common = (wide * high).astype(np.float64)
+    union = d["w"][i] * d["h"][i] + d["w"][others] * d["h"][others] - common
+    return np.where((wide < 0) | (high < 0) | (union <= 0), 0.0, common / np.where(union > 0, union, 1.0))
+
+
+def _seeds(bounds: np.ndarray, d: dict[str, np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(seeds, how many each absorbs): rows in order that overlap no seed before them, each with the later rows that
+    overlap it and no seed before it."""
+    seeds, absorbed = [], []
+    for at, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        left = np.arange(at, end)
+        while len(left):
+            hit = _overlap(d, left[0], left[1:]) > threshold
+            seeds.append(left[0])
+            absorbed.append(hit.sum())
+            left = left[1:][~hit]
+    return np.array(seeds, np.int64), np.array(absorbed, np.int64)
 
 
 def suppress(detections: DataFrame, threshold: float = 0.3) -> DataFrame:
     """Detections that overlap no kept one of higher confidence."""
-    per = _sorted(detections, -F.col("confidence"))
-    none = F.filter("l", lambda d: F.lit(False))
-    kept = F.aggregate("l", none, lambda a, d: F.when(F.exists(a, lambda k: overlaps(box(k), box(d), threshold)), a).otherwise(F.array_append(a, d)))
-    return per.select("page_id", F.inline(kept))
+    lists = listed(detections, ["page_id"], FIELDS, -F.col("confidence"), F.col("det_id"))
+    return folded(lists, lambda bounds, d: (_seeds(bounds, d, threshold)[0], {}), {})
 
 
 def merge(detections: DataFrame, threshold: float = 0.3, boost: float = 0.1) -> DataFrame:
     """Detections by (confidence, rows * cols), each with the later ones that overlap it; every one absorbed adds boost
     to its confidence, up to 1. Adds column absorbed."""
-    per = _sorted(detections, -F.col("confidence"), -(F.col("rows") * F.col("cols")))
-    none = F.filter("l", lambda d: F.lit(False))
-    seeds = F.aggregate("l", none, lambda a, d: F.when(F.exists(a, lambda k: overlaps(box(k), box(d), threshold)), a).otherwise(F.array_append(a, d)))
-    # Each detection goes to the first seed that it overlaps; a seed to itself.
-    owner = F.transform("l", lambda d: F.array_position(F.transform("seeds", lambda k: overlaps(box(k), box(d), threshold)), True))
-    counted = F.transform("seeds", lambda k, i: F.struct(k.alias("d"), F.greatest(F.lit(0), F.size(F.filter("owner", lambda o: o == i + 1)) - 1).alias("n")))
-    out = per.withColumn("seeds", seeds).withColumn("owner", owner).select("page_id", F.explode(counted).alias("k")).select("page_id", "k.d.*", F.col("k.n").alias("absorbed"))
-    return out.withColumn("confidence", F.when(F.col("absorbed") > 0, F.least(F.lit(1.0), F.col("confidence") + boost * F.col("absorbed"))).otherwise(F.col("confidence")))
+
+    def fold(bounds: np.ndarray, d: dict[str, np.ndarray]) -> Taken:
+        at, n = _seeds(bounds, d, threshold)
+        own = d["confidence"][at]
+        return at, {"confidence": np.where(n > 0, np.minimum(1.0, own + boost * n), own), "absorbed": n.astype(np.int32)}
+
+    lists = listed(detections, ["page_id"], FIELDS, -F.col("confidence"), -(F.col("rows") * F.col("cols")), F.col("det_id"))
+    return folded(lists, fold, {"confidence": "double", "absorbed": "int"})
 
 
 def confirm(lined: DataFrame, crossing: DataFrame, threshold: float = 0.5, boost: float = 0.15) -> DataFrame:
@@ -52,7 +87,7 @@ def confirm(lined: DataFrame, crossing: DataFrame, threshold: float = 0.5, boost
     overlapping lined one they are; crossing detections that overlap none follow with confidence 0.6."""
     base = lined.withColumn("confidence", F.greatest(F.col("confidence"), F.lit(0.8)))
     c = crossing.select("page_id", F.col("det_id").alias("c_id"), *(F.col(n).alias(f"c{n}") for n in "xywh"))
-    met = c.join(base, "page_id").where(overlaps(box("c"), box(), threshold))
+    met = _meeting(c, base, "c", "").where(overlaps(box("c"), box(), threshold))
     first = met.groupBy("page_id", "c_id").agg(F.min("det_id").alias("det_id"))
     times = first.groupBy("page_id", "det_id").agg(F.count("*").alias("times"))
     raised = base.join(times, ["page_id", "det_id"], "left")
@@ -64,23 +99,29 @@ def confirm(lined: DataFrame, crossing: DataFrame, threshold: float = 0.5, boost
 def match(cv: DataFrame, other: DataFrame, threshold: float = 0.3, boost: float = 0.15) -> DataFrame:
     """Greedy one-to-one merge in order of det_id: each cv detection takes the free other one of greatest overlap (the
     first of equals), gains boost, up to 1, and is hybrid_confirmed; free others follow unchanged. Adds matched."""
-    a = cv.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct(*FIELDS))).alias("a"))
-    b = other.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct(*FIELDS))).alias("b"))
-    both = a.join(b, "page_id", "full").withColumns({n: F.coalesce(n, F.expr("filter(array(), x -> false)").cast(a.schema["a"].dataType)) for n in ("a", "b")})
-    start = F.struct(F.array().cast("array<bigint>").alias("used"), F.array().cast("array<bigint>").alias("got"))
-
-    def step(s: Column, d: Column) -> Column:
-        free = F.filter("b", lambda o: overlaps(box(d), box(o), threshold) & ~F.array_contains(s["used"], o["det_id"].cast("long")))
-        best = F.array_max(F.transform(free, lambda o: F.struct(iou(box(d), box(o)).alias("v"), (-o["det_id"]).cast("long").alias("i"))))
-        own = -best["i"]
-        return F.struct(F.when(own.isNull(), s["used"]).otherwise(F.array_append(s["used"], own)).alias("used"), F.array_append(s["got"], own).alias("got"))
-
-    done = both.withColumn("s", F.aggregate("a", start, step))
-    mine = done.select("page_id", F.posexplode("a").alias("i", "d"), "s").select("page_id", "d.*", F.col("s.got")[F.col("i")].alias("matched"))
-    hit = F.col("matched").isNotNull()
-    mine = mine.withColumn("confidence", F.when(hit, F.least(F.lit(1.0), F.col("confidence") + boost)).otherwise(F.col("confidence"))).withColumn("detection_method", F.when(hit, "hybrid_confirmed").otherwise("cv"))
-    rest = done.select("page_id", F.explode(F.filter("b", lambda o: ~F.array_contains(F.col("s.used"), o["det_id"].cast("long")))).alias("d")).select("page_id", "d.*", F.lit(None).cast("bigint").alias("matched"))
-    return mine.unionByName(rest.withColumn("detection_method", F.lit("yolo")))
+    both = cv.select("page_id", *FIELDS, F.lit(0).alias("side")).unionByName(other.select("page_id", *FIELDS, F.lit(1).alias("side")))
+
+    def fold(bounds: np.ndarray, d: dict[str, np.ndarray]) -> Taken:
+        kept, matched = [], []
+        for at, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            cut = at + int((d["side"][at:end] == 0).sum())
+            free = np.arange(cut, end)
+            for i in range(at, cut):
+                v = _overlap(d, i, free)
+                best = int(v.argmax()) if len(v) else 0
+                hit = len(v) > 0 and v[best] > threshold
+                kept.append(i)
+                matched.append(d["det_id"][free[best]] if hit else None)
+                free = np.delete(free, best) if hit else free
+            kept += free.tolist()
+            matched += [None] * len(free)
+        at, hit = np.array(kept, np.int64), np.array([m is not None for m in matched], bool)
+        own = d["confidence"][at]
+        method = np.where(hit, "hybrid_confirmed", np.where(d["side"][at] == 0, "cv", "yolo"))
+        return at, {"confidence": np.where(hit, np.minimum(1.0, own + boost), own), "matched": np.array(matched, object), "detection_method": method.astype(object)}
+
+    lists = listed(both, ["page_id"], [*FIELDS, "side"], F.col("side"), F.col("det_id"))
+    return folded(lists, fold, {"confidence": "double", "matched": "bigint", "detection_method": "string"}, FIELDS)
 
 
 def valid(detections: DataFrame, image_area: int | Column, least: int = 2, share: float = 0.01) -> DataFrame:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box, center
 from .cluster import gap_clusters, regular, spacing
+from .pagewise import Taken, folded, listed, roots
 
 
 def centers(blocks: DataFrame) -> DataFrame:
@@ -40,19 +42,62 @@ def grid_cells(blocks: DataFrame, keys: Sequence[str], tolerance: int = 20) -> D
     return r.join(c, list(keys)).select(*keys, "row", "col", "x", "y", "w", "h")
 
 
+def _links(bounds: np.ndarray, d: dict[str, np.ndarray], distance: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, dist, kind) of linked rows of the same list, a before b. Rows meet by cells of the distance: sorted by page
+    and cell, a row's partners in a cell are a stretch."""
+    page = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    cx, cy = d["x"] + d["w"] // 2, d["y"] + d["h"] // 2
+    step = int(distance)
+    gx, gy = (c // step - (c // step).min() + 1 if len(c) else c for c in (cx, cy))
+    wide, high = (int(g.max()) + 2 if len(g) else 1 for g in (gx, gy))
+    cell = (page * wide + gx) * high + gy
+    order = np.argsort(cell, kind="stable")
+    cells = cell[order]
+    out = []
+    for ox, oy in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1)):
+        low, high_ = (np.searchsorted(cells, cell + ox * high + oy, side) for side in ("left", "right"))
+        n = high_ - low
+        a = np.repeat(np.arange(len(cell)), n)
+        b = order[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        if (ox, oy) == (0, 0):
+            a, b = a[a < b], b[a < b]
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        dx, dy = np.abs(cx[a] - cx[b]), np.abs(cy[a] - cy[b])
+        h, v = dy < (d["h"][a] + d["h"][b]) // 2 + 10, dx < (d["w"][a] + d["w"][b]) // 2 + 10
+        dist = np.sqrt((dx * dx + dy * dy).astype(np.float64))
+        on = (h | v) & (dist < distance)
+        out.append((a[on], b[on], dist[on], np.where(h & v, "b", np.where(h, "h", "v"))[on]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+BLOCK = ("block_id", "x", "y", "w", "h")
+
+
+def _blocks(blocks: DataFrame) -> DataFrame:
+    return listed(blocks.select("page_id", *(F.col(c).cast("long").alias(c) for c in BLOCK)), ["page_id"], BLOCK, F.col("block_id"))
+
+
 def adjacency(blocks: DataFrame, distance: float = 50.0) -> DataFrame:
     """(page_id, src, dst, dist, kind) with src < dst: blocks of a page that are aligned (h, v or both) and whose centers
-    are nearer than distance. Blocks meet by cells of that size, so a crowded page isn't compared with itself in full."""
-    step = int(distance)
-    b = centers(blocks).withColumn("gx", F.floor(F.col("cx") / step)).withColumn("gy", F.floor(F.col("cy") / step))
-    right = b.select("page_id", *(F.col(c).alias(f"r_{c}") for c in ("block_id", "cx", "cy", "w", "h", "gx", "gy")))
-    near = b.withColumn("r_gx", F.explode(F.array(*[F.col("gx") + d for d in (-1, 0, 1)]))).withColumn("r_gy", F.explode(F.array(*[F.col("gy") + d for d in (-1, 0, 1)])))
-    met = near.join(right, ["page_id", "r_gx", "r_gy"]).where("block_id < r_block_id")
-    dx, dy = F.abs(F.col("cx") - F.col("r_cx")), F.abs(F.col("cy") - F.col("r_cy"))
-    h, v = dy < F.floor((F.col("h") + F.col("r_h")) / 2) + 10, dx < F.floor((F.col("w") + F.col("r_w")) / 2) + 10
-    kind = F.when(h & ~v, "h").when(v & ~h, "v").otherwise("b")
-    made = met.select("page_id", F.col("block_id").alias("src"), F.col("r_block_id").alias("dst"), F.sqrt((dx * dx + dy * dy).cast("double")).alias("dist"), kind.alias("kind"), (h | v).alias("aligned"))
-    return made.where(F.col("aligned") & (F.col("dist") < distance)).drop("aligned")
+    are nearer than distance. A page's blocks lie in one list and meet by cells of that size, so a crowded page isn't
+    compared with itself in full."""
+
+    def fold(bounds: np.ndarray, d: dict[str, np.ndarray]) -> Taken:
+        a, b, dist, kind = _links(bounds, d, distance)
+        return a, {"src": d["block_id"][a], "dst": d["block_id"][b], "dist": dist, "kind": kind.astype(object)}
+
+    return folded(_blocks(blocks), fold, {"src": "bigint", "dst": "bigint", "dist": "double", "kind": "string"}, [])
+
+
+def block_components(blocks: DataFrame, distance: float = 50.0) -> DataFrame:
+    """(page_id, block_id, x, y, w, h, component) of the linked blocks: the smallest block that each reaches."""
+
+    def fold(bounds: np.ndarray, d: dict[str, np.ndarray]) -> Taken:
+        a, b, _, _ = _links(bounds, d, distance)
+        at = np.unique(np.concatenate([a, b]))
+        return at, {"component": d["block_id"][roots(len(d["block_id"]), a, b)[at]]}
+
+    return folded(_blocks(blocks), fold, {"component": "bigint"})
 
 
 def page_components(edges: DataFrame) -> DataFrame:
@@ -82,10 +127,42 @@ def page_components(edges: DataFrame) -> DataFrame:
     return per.mapInArrow(run, f"page_id {per.schema['page_id'].dataType.simpleString()}, block_id long, component long")
 
 
-def graph_tables(blocks: DataFrame, distance: float = 50.0, tolerance: int = 20, least_blocks: int = 4, most: float = 0.5) -> DataFrame:
-    """Tables of the connected groups of blocks; see grids()."""
-    groups = page_components(adjacency(blocks, distance))
-    return grids(blocks.join(groups, ["page_id", "block_id"]), ["page_id", "component"], tolerance, least_blocks, most, "lineless_graph")
+def _spacings(group: np.ndarray, groups: int, at: np.ndarray, tolerance: int) -> tuple[np.ndarray, np.ndarray]:
+    """(clusters, variation) of the coordinates of each group; the rules of gap_clusters() and spacing()."""
+    order = np.lexsort((at, group))
+    g, v = group[order], at[order]
+    first = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (v[1:] - v[:-1] > tolerance)])) if len(g) else np.empty(0, np.int64)
+    of = g[first]
+    center = np.trunc(np.add.reduceat(v, first) / np.diff(np.append(first, len(g)))) if len(g) else np.empty(0)
+    near = of[1:] == of[:-1]
+    gap, own = (center[1:] - center[:-1])[near], of[1:][near]
+    n = np.maximum(np.bincount(own, minlength=groups), 1)
+    mean = np.bincount(own, gap, groups) / n
+    spread = np.sqrt(np.bincount(own, (gap - mean[own]) ** 2, groups) / n)
+    return np.bincount(of, minlength=groups), spread / (mean + 1e-6)
 
 
-__all__ = ["adjacency", "box", "centers", "graph_tables", "grid_cells", "grids", "page_components"]
+def graph_tables(blocks: DataFrame, distance: float = 50.0, tolerance: int = 20, least_blocks: int = 4, most: float = 0.5) -> DataFrame:
+    """Tables of the connected groups of blocks, as grids() of block_components(); links, groups and grids of a page come
+    from one pass over its list, so blocks are shuffled once."""
+
+    def fold(bounds: np.ndarray, d: dict[str, np.ndarray]) -> Taken:
+        a, b, _, _ = _links(bounds, d, distance)
+        at = np.unique(np.concatenate([a, b]))
+        first, group, n = np.unique(roots(len(d["x"]), a, b)[at], return_inverse=True, return_counts=True)
+        x, y, w, h = (d[c][at] for c in "xywh")
+        cols, wide = _spacings(group, len(first), x + w // 2, tolerance)
+        rows, high = _spacings(group, len(first), y + h // 2, tolerance)
+        far = np.iinfo(np.int64).max
+        box_ = [np.full(len(first), far), np.full(len(first), far), np.full(len(first), -far), np.full(len(first), -far)]
+        for edge, value, better in zip(box_, (x, y, x + w, y + h), (np.minimum, np.minimum, np.maximum, np.maximum), strict=True):
+            better.at(edge, group, value)
+        ok = (n >= least_blocks) & (rows >= 2) & (cols >= 2) & (wide <= most) & (high <= most)
+        x1, y1, x2, y2 = (e[ok] for e in box_)
+        return first[ok], {"component": d["block_id"][first[ok]], "x": x1, "y": y1, "w": x2 - x1, "h": y2 - y1, "rows": rows[ok], "cols": cols[ok]}
+
+    made = folded(_blocks(blocks), fold, {"component": "bigint"} | {c: "bigint" for c in ("x", "y", "w", "h", "rows", "cols")}, [])
+    return made.select("*", F.lit(0.6).alias("confidence"), F.lit(False).alias("has_lines"), F.lit("lineless_graph").alias("detection_method"))
+
+
+__all__ = ["adjacency", "block_components", "box", "centers", "graph_tables", "grid_cells", "grids", "page_components"]

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DetectorConfig, Profile
+from .cluster import peaks
 
 Boxes = list[tuple[int, int, int, int]]
 
@@ -118,8 +119,8 @@ def denoise(img: np.ndarray, h: float = 10.0, patch: int = 7, search: int = 21)
     wide = np.pad(src, r, mode="reflect" if min(img.shape) > r else "edge")
     total, mass = np.zeros_like(src), np.zeros_like(src)
     box = lambda a: _windows(_windows(a, patch, 1).mean(-1), patch, 0).mean(-1)
-    for dy in range(0, search, 2):
-        for dx in range(0, search, 2):
+    for dy in range(search):
+        for dx in range(search):
             moved = wide[dy : dy + src.shape[0], dx : dx + src.shape[1]]
             weight = np.exp(-box((src - moved) ** 2) / (h * h))
             total, mass = total + weight * moved, mass + weight
@@ -210,7 +211,7 @@ def hough(mask: np.ndarray, degrees: np.ndarray, least: int) -> list[tuple[float
 def skew(img: np.ndarray) -> float:
     """Median tilt in degrees of the near-horizontal lines, 0 without any."""
     lines = hough(edges(img), np.arange(45.5, 135, 0.5), 100)
-    tilts = [np.degrees(t) - 90 for _, t in lines[:200] if abs(np.degrees(t) - 90) < 45]
+    tilts = [np.degrees(t) - 90 for _, t in lines if abs(np.degrees(t) - 90) < 45]
     return float(np.median(tilts)) if tilts else 0.0
 
 
@@ -338,27 +339,6 @@ def components(mask: np.ndarray) -> np.ndarray:
     return out
 
 
-def peaks(profile: np.ndarray, threshold: float = 0.15) -> list[int]:
-    """Places of lines in a projection profile; the rule of cluster.line_peaks()."""
-    n = len(profile)
-    if not n or profile.max() == 0:
-        return []
-    k = max(3, n // 100) | 1
-    smooth = np.convolve(profile / profile.max(), np.ones(k) / k, "same") if n >= k else profile / profile.max()
-    on = np.concatenate([[False], smooth > threshold, [False]])
-    cuts = np.flatnonzero(np.diff(on.astype(int)))
-    found = [int(a + smooth[a:b].argmax()) for a, b in zip(cuts[::2], cuts[1::2], strict=True)]
-    if found and found[0] > 10:
-        found.insert(0, 0)
-    if found and found[-1] < n - 10:
-        found.append(n - 1)
-    kept: list[int] = []
-    for p in found:
-        if not kept or p - kept[-1] > n // 50:
-            kept.append(p)
-    return kept
-
-
 def grid_tables(img: np.ndarray, binary: np.ndarray, config: DetectorConfig) -> list[dict]:
     """Ruled tables of a binary image: regions of long lines, the lines of each as peaks of its profiles, the cells
     between them, and as confidence the evenness of the spacing."""

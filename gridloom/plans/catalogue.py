@@ -94,7 +94,7 @@ def adjacency_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("grid_components", f"WITH RECURSIVE {fx.SQL['blocks']}, {_EDGES}, {_COMPONENTS} SELECT page_id, block_id, component FROM comp")
 def grid_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lineless.page_components(lineless.adjacency(fx.blocks(spark, sf_dir)))
+    return lineless.block_components(fx.blocks(spark, sf_dir)).select("page_id", "block_id", "component")
 
 
 @query(

@@ -63,7 +63,7 @@ def lined_tables(detected: DataFrame, config: DetectorConfig = DetectorConfig())
 def unlined_tables(blocks: DataFrame, config: DetectorConfig = DetectorConfig()) -> DataFrame:
     """Tables without lines of the connected groups of text blocks (page_id, block_id, x, y, w, h), with their cells."""
     keys = ["page_id", "component"]
-    own = blocks.join(lineless.page_components(lineless.adjacency(blocks, config.adjacency_distance)), ["page_id", "block_id"])
+    own = lineless.block_components(blocks, config.adjacency_distance)
     most = min(config.max_row_variance, config.max_col_variance)
     found = lineless.grids(own, keys, config.cluster_tolerance, config.lineless_min_blocks, most, "lineless_graph")
     cell = F.struct("row", "col", F.struct("x", "y", "w", "h").cast(f"struct<{_BOX}>").alias("b"))
