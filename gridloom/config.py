@@ -72,6 +72,8 @@ class Profile:
 
 @dataclass(frozen=True)
 class AppConfig:
+    """Settings of an installation. Fixed values."""
+
     csv_delimiter: str = ";"
     ocr_languages: str = "rus+eng"
     min_table_area: int = 5000

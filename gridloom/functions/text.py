@@ -12,8 +12,6 @@ LANGUAGES = {"ru": "rus", "en": "eng", "de": "deu", "fr": "fra", "es": "spa", "i
 SINGLE_LANGUAGE = {"ru": "ru", "en": "en", "de": "german", "fr": "fr", "es": "es", "it": "it", "zh": "ch", "ja": "japan", "ko": "korean"}
 #: What str.split() without arguments cuts at, as a Java class.
 _BLANK = r"(?U)[\s\x1c-\x1f]+"
-#: Longest text for which the native similarity has bits.
-BITS = 62
 
 
 def normalized(text: Column) -> Column:
@@ -44,30 +42,27 @@ def single_language(codes: Column) -> Column:
     return F.coalesce(F.try_element_at(known, F.lit(1)), F.lit("en"))
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of texts of which the first has at most BITS characters.
-
-    Bit-parallel: one integer holds the row of the table; each character of b takes an addition. Integers only, so the
-    fold stays in the JVM and allocates no row of the table.
-    """
-    chars, n = F.split(a, ""), F.length(a)
-    full = F.call_function("shiftleft", F.lit(1).cast("long"), n) - 1
-
-    def step(v: Column, c: Column) -> Column:
-        hits = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0).cast("long"), lambda m, i: m + F.when(chars[i] == c, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-        u = v.bitwiseAND(hits)
-        return (v + u).bitwiseOR(v - u).bitwiseAND(full)
-
-    rest = F.aggregate(F.split(b, ""), full, step)
-    return F.when((n == 0) | (F.length(b) == 0), 0).otherwise(n - F.bit_count(rest))
-
-
-def indel_ratio(a: Column, b: Column) -> Column:
-    """2 * LCS / (lengths); 1 for two empty texts. The shorter text must have at most BITS characters, else null: route
-    such rows through operators.vote.long_ratio."""
-    short, long_ = F.when(F.length(a) <= F.length(b), a).otherwise(b), F.when(F.length(a) <= F.length(b), b).otherwise(a)
-    total = F.length(a) + F.length(b)
-    return F.when(total == 0, 1.0).when(F.length(short) <= BITS, 2.0 * lcs_length(short, long_) / total)
+def indel_ratio(a: str, b: str) -> float:
+    """2 * longest common subsequence / (lengths), for texts of any length; 1 for two empty ones. The row of the table is
+    one integer, and each character of the longer text takes an addition."""
+    if a == b:
+        return 1.0
+    if len(a) < len(b):
+        a, b = b, a
+    place: dict[str, int] = {}
+    for i, c in enumerate(b):
+        place[c] = place.get(c, 0) | 1 << i
+    full = row = (1 << len(b)) - 1
+    for c in a:
+        u = row & place.get(c, 0)
+        row = ((row + u) | (row - u)) & full
+    return 2.0 * (len(b) - row.bit_count()) / (len(a) + len(b))
+
+
+def mean_similarity(texts: list[str]) -> float:
+    """Mean ratio over the pairs (0,1), (0,2), (1,2), ... in this order, summed from the left; 1 for one text."""
+    ratios = [indel_ratio(a, b) for i, a in enumerate(texts) for b in texts[i + 1 :]]
+    return sum(ratios) / len(ratios) if ratios else 1.0
 
 
 def positional_match(a: Column, b: Column) -> Column:

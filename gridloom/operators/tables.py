@@ -59,6 +59,7 @@ def default_filter(tables: DataFrame) -> DataFrame:
 
 def warnings(tables: DataFrame) -> DataFrame:
     """Adds warnings, in their fixed order, to rows of stats() with has_lines."""
+    # The sentences are fixed values.
     said = F.array(
         F.when(F.col("has_merged"), "Merged cells detected - data may need manual review"),
         F.when(F.col("avg_confidence") < 0.6, "Low OCR confidence - verify extracted text"),
@@ -118,14 +119,25 @@ def table_name(name: Column, table_id: Column) -> Column:
 
 # ---- dense rows and text output
 
-def dense_rows(cells: DataFrame, columns: DataFrame, enabled_only: bool = True) -> DataFrame:
-    """(table_id, row, values): every row of a table over its columns by index; missing cells are empty."""
-    kept = columns.where("enabled") if enabled_only else columns
-    size = cells.groupBy("table_id").agg((F.max("row") + 1).alias("n"))
-    grid = size.select("table_id", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("row")).join(kept.select("table_id", F.col("index").alias("col")), "table_id")
-    filled = grid.join(first_cells(cells).select("table_id", "row", "col", "text"), ["table_id", "row", "col"], "left")
-    values = F.transform(F.sort_array(F.collect_list(F.struct("col", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"])
-    return filled.groupBy("table_id", "row").agg(values.alias("values"))
+def sizes(cells: DataFrame) -> DataFrame:
+    """(table_id, rows, cols) that just hold the cells."""
+    return cells.groupBy("table_id").agg((F.max("row") + 1).alias("rows"), (F.max("col") + 1).alias("cols"))
+
+
+def dense_rows(cells: DataFrame, columns: DataFrame, tables: DataFrame | None = None, enabled_only: bool = True) -> DataFrame:
+    """(table_id, row, values): every row of the tables (table_id, rows, cols; by default what holds the cells) over their
+    columns, or the enabled ones, by index below cols; missing cells are empty, and so are rows of a table without
+    columns."""
+    size = (sizes(cells) if tables is None else tables).select("table_id", F.col("rows").cast("long").alias("rows"), F.col("cols").cast("int").alias("cols"))
+    if enabled_only:
+        listed = columns.where("enabled").groupBy("table_id").agg(F.sort_array(F.collect_set(F.col("index").cast("int"))).alias("at"))
+        size = size.join(listed, "table_id", "left").withColumn("at", F.filter(F.coalesce("at", F.array().cast("array<int>")), lambda i: i < F.col("cols")))
+    else:
+        size = size.withColumn("at", F.when(F.col("cols") > 0, F.sequence(F.lit(0), F.col("cols") - 1)).otherwise(F.array().cast("array<int>")))
+    grid = size.where("rows > 0").select("table_id", "at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("row"))
+    texts = first_cells(cells).groupBy("table_id", F.col("row").cast("long").alias("row")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("col").cast("int"), "text"))).alias("texts"))
+    values = F.transform("at", lambda i: F.coalesce(F.try_element_at("texts", i), F.lit("")))
+    return grid.join(texts, ["table_id", "row"], "left").select("table_id", "row", values.alias("values"))
 
 
 def without_blank(rows: DataFrame) -> DataFrame:
@@ -143,16 +155,17 @@ def csv_lines(rows: DataFrame, sep: str = ";") -> DataFrame:
     return rows.select("table_id", "row", F.when((F.size("values") == 1) & (F.col("values")[0] == ""), '""').otherwise(line).alias("line"))
 
 
-def csv_text(cells: DataFrame, columns: DataFrame, include_headers: bool = True, skip_empty: bool = False, sep: str = ";") -> DataFrame:
-    """(table_id, csv): the whole table as text with CRLF; a table without enabled columns is empty text."""
-    rows = dense_rows(cells, columns)
+def csv_text(cells: DataFrame, columns: DataFrame, include_headers: bool = True, skip_empty: bool = False, sep: str = ";", tables: DataFrame | None = None) -> DataFrame:
+    """(table_id, csv): each of the tables (see dense_rows()) as text with CRLF; one without enabled columns is empty text."""
+    size = sizes(cells) if tables is None else tables
+    rows = dense_rows(cells, columns, size)
     body = csv_lines(without_blank(rows) if skip_empty else rows, sep)
+    top = headers(columns).select("table_id", F.lit(-1).cast("long").alias("row"), F.col("headers").alias("values"))
     if include_headers:
-        top = headers(columns).select("table_id", F.lit(-1).alias("row"), F.col("headers").alias("values"))
         body = body.unionByName(csv_lines(top, sep))
     text = F.concat(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]), "\r\n"), F.lit("\r\n"))
-    made = body.groupBy("table_id").agg(text.alias("csv"))
-    return cells.select("table_id").distinct().join(made, "table_id", "left").select("table_id", F.coalesce("csv", F.lit("")).alias("csv"))
+    made = body.join(top.select("table_id"), "table_id", "left_semi").groupBy("table_id").agg(text.alias("csv"))
+    return size.select("table_id").distinct().join(made, "table_id", "left").select("table_id", F.coalesce("csv", F.lit("")).alias("csv"))
 
 
 def column_widths(cells: DataFrame, columns: DataFrame) -> DataFrame:
@@ -220,3 +233,8 @@ def header_label() -> Column:
 def other_texts(alternatives: Column, text: Column) -> Column:
     """Texts of the alternatives that differ from the cell's."""
     return F.filter(F.transform(alternatives, lambda a: a["text"]), lambda t: t != text)
+
+
+def has_alternatives(alternatives: Column) -> Column:
+    """Whether more than one engine read the cell."""
+    return F.size(alternatives) > 1

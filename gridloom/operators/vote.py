@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import BITS, engine_weight, indel_ratio, normalized
+from ..functions.text import engine_weight, mean_similarity, normalized
 
 
 def _lists(alternatives: DataFrame) -> DataFrame:
     """One row for each cell_id with its alternatives in engine order: pos, source, text, confidence, norm, score."""
-    item = F.struct("pos", "source", "text", "confidence", normalized(F.col("text")).alias("norm"), (F.col("confidence") * engine_weight(F.col("source"))).alias("score"), engine_weight(F.col("source")).alias("weight"))
+    item = F.struct("pos", "source", "text", "confidence", F.coalesce(normalized(F.col("text")), F.lit("")).alias("norm"), (F.col("confidence") * engine_weight(F.col("source"))).alias("score"), engine_weight(F.col("source")).alias("weight"))
     return alternatives.groupBy("cell_id").agg(F.sort_array(F.collect_list(item)).alias("a"))
 
 
@@ -23,49 +24,26 @@ def _best(items: Column, key: str) -> Column:
     return F.filter(items, lambda x: x["pos"] == -top["m"])[0]
 
 
-def long_ratio(pairs: DataFrame, keep: list[str]) -> DataFrame:
-    """(keep, ratio) of rows with texts a and b of any length, for those beyond the native expression's bits."""
+def _with_similarity(rows: DataFrame) -> DataFrame:
+    """Adds sim, the mean similarity of norms (array of texts of any length), in one Arrow pass."""
 
-    def lcs(a: str, b: str) -> int:
-        if len(a) < len(b):
-            a, b = b, a
-        place: dict[str, int] = {}
-        for i, c in enumerate(b):
-            place[c] = place.get(c, 0) | 1 << i
-        full = row = (1 << len(b)) - 1
-        for c in a:
-            u = row & place.get(c, 0)
-            row = ((row + u) | (row - u)) & full
-        return len(b) - row.bit_count()
-
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = [len(x) + len(y) for x, y in zip(b["a"], b["b"], strict=True)]
-            b["ratio"] = [2.0 * lcs(x, y) / k if k else 1.0 for x, y, k in zip(b["a"], b["b"], n, strict=True)]
-            yield b.drop(columns=["a", "b"])
-
-    source = pairs.select(*keep, "a", "b")
-    schema = ", ".join(f"{c} {t}" for c, t in source.dtypes if c in keep) + ", ratio double"
-    return source.mapInPandas(run, schema)
-
+            sims = pa.array([mean_similarity(n) for n in b.column("norms").to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([*b.columns, sims], [*b.schema.names, "sim"])
 
-def mean_similarity(norms: Column) -> Column:
-    """Mean similarity over the pairs (0,1), (0,2), (1,2), ... in this order, summed from the left; 1 for one text."""
-    n = F.size(norms)
-    pairs = F.flatten(F.transform(norms, lambda a, i: F.transform(F.filter(norms, lambda _b, j: j > i), lambda b: indel_ratio(a, b))))
-    return F.when(n < 2, 1.0).otherwise(F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x) / F.size(pairs))
+    return rows.mapInArrow(run, T.StructType([*rows.schema, T.StructField("sim", T.DoubleType())]))
 
 
 def vote(alternatives: DataFrame) -> DataFrame:
     """(cell_id, text, confidence, needs_review, agreement, rung) of cells with alternatives (cell_id, pos, source, text,
     confidence). One engine: its text, to review below 0.6. Equal normalized texts: the best weighted confidence. Mean
     similarity above 0.8: the same. Three engines, two equal: the best of these, agreement 0.67. Else the engine of
-    greatest weight, to review. Texts longer than the similarity's bits count by their first BITS characters' bound:
-    use long_ratio for these.
+    greatest weight, to review. Null texts count as empty; texts may have any length.
     """
-    rows = _lists(alternatives).withColumn("norms", F.transform("a", lambda x: x["norm"])).withColumn("n", F.size("a"))
+    rows = _with_similarity(_lists(alternatives).withColumn("norms", F.transform("a", lambda x: x["norm"]))).withColumn("n", F.size("a"))
     groups = F.filter("norms", lambda t: F.size(F.filter(F.col("norms"), lambda u: u == t)) >= 2)
-    rows = rows.withColumn("distinct", F.size(F.array_distinct("norms"))).withColumn("sim", F.when((F.col("n") > 1) & (F.col("distinct") > 1), mean_similarity(F.col("norms")))).withColumn("major", F.try_element_at(groups, F.lit(1)))
+    rows = rows.withColumn("distinct", F.size(F.array_distinct("norms"))).withColumn("major", F.try_element_at(groups, F.lit(1)))
     rung = F.when(F.col("n") == 1, "single").when(F.col("distinct") == 1, "all").when(F.col("sim") > 0.8, "similar").when((F.col("n") >= 3) & F.col("major").isNotNull(), "majority").otherwise("low")
     rows = rows.withColumn("rung", rung)
     chosen = F.when(F.col("rung") == "majority", _best(F.filter("a", lambda x: x["norm"] == F.col("major")), "score")).when(F.col("rung") == "low", _best(F.col("a"), "weight")).otherwise(_best(F.col("a"), "score"))
@@ -76,7 +54,7 @@ def vote(alternatives: DataFrame) -> DataFrame:
 
 def similarities(alternatives: DataFrame) -> DataFrame:
     """(cell_id, similarity) over the normalized texts of a cell."""
-    return _lists(alternatives).select("cell_id", mean_similarity(F.transform("a", lambda x: x["norm"])).alias("similarity"))
+    return _with_similarity(_lists(alternatives).select("cell_id", F.transform("a", lambda x: x["norm"]).alias("norms"))).select("cell_id", F.col("sim").alias("similarity"))
 
 
 def word_vote(alternatives: DataFrame) -> DataFrame:
@@ -89,12 +67,17 @@ def word_vote(alternatives: DataFrame) -> DataFrame:
     return alternatives.select("cell_id").distinct().join(said, "cell_id", "left").select("cell_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
-def ranked(alternatives: DataFrame) -> DataFrame:
-    """(cell_id, tooltip): alternatives by descending engine weight, stable, as lines with a tick, the engine and percent."""
-    w = Window.partitionBy("cell_id").orderBy(F.desc("weight"), "pos")
-    lines = alternatives.withColumn("weight", engine_weight(F.col("source"))).withColumn("at", F.row_number().over(w))
-    line = F.concat(F.upper("source"), F.lit(': "'), "text", F.lit('" ('), (F.col("confidence") * 100).cast("int"), F.lit("%)"))
-    return lines.groupBy("cell_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", line.alias("line")))), lambda x: x["line"]), "\n").alias("tooltip"))
+def ranked(alternatives: DataFrame, cells: DataFrame) -> DataFrame:
+    """(cell_id, tooltip) of cells (cell_id, text, disagreed): a title, an empty line, and the alternatives by descending
+    engine weight, stable, each with a tick if it is the cell's text, the engine and percent. Cells without alternatives
+    have an empty tooltip."""
+    # Title lines and the tick are fixed values.
+    title = F.when(F.col("disagreed"), "⚠ OCR engines disagreed:").otherwise("OCR Results:")
+    item = F.struct((-engine_weight(F.col("source"))).alias("k"), "pos", "source", "text", "confidence")
+    lists = alternatives.groupBy("cell_id").agg(F.sort_array(F.collect_list(item)).alias("a"))
+    line = lambda x: F.concat(F.when(x["text"] == F.col("text"), "✓").otherwise(" "), F.lit(" "), F.upper(x["source"]), F.lit(': "'), x["text"], F.lit('" ('), (x["confidence"] * 100).cast("int"), F.lit("%)"))
+    said = F.array_join(F.concat(F.array(title, F.lit("")), F.transform("a", line)), "\n")
+    return cells.select("cell_id", "text", "disagreed").join(lists, "cell_id", "left").select("cell_id", F.when(F.col("a").isNull(), "").otherwise(said).alias("tooltip"))
 
 
-__all__ = ["BITS", "long_ratio", "mean_similarity", "ranked", "similarities", "vote", "word_vote"]
+__all__ = ["ranked", "similarities", "vote", "word_vote"]

@@ -61,12 +61,12 @@ SELECT {keys}, x, y, w, h, r_s.k AS rows, c_s.k AS cols, CAST(0.6 AS DOUBLE) AS
 FROM hull JOIN c_s USING ({key}) JOIN r_s USING ({key}) WHERE hull.n >= 4 AND r_s.k >= 2 AND c_s.k >= 2 AND r_s.cv <= 0.5 AND c_s.cv <= 0.5"""
 
 
-_F1A = fx.SQL["blocks"] + ", a4 AS (SELECT * FROM ctr WHERE l_linenumber <= 4)"
+_F1A = fx.SQL["blocks"].replace(", ctr AS", ", a0 AS (SELECT * REPLACE (60 + 45 * ((l_linenumber - 1) % 4) + x5 AS x) FROM blocks), ctr AS", 1) + ", a4 AS (SELECT *, x + CAST(floor(w / 2) AS BIGINT) AS cx, y + CAST(floor(h / 2) AS BIGINT) AS cy FROM a0)"
 
 
 @query("lineless_basic", f"WITH {_F1A}, {_grid_sql('a4', 'page_id', 'page_id', 'lineless_clustering')}")
 def lineless_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lineless.grids(fx.blocks(spark, sf_dir, first_columns=True), ["page_id"])
+    return lineless.grids(fx.blocks(spark, sf_dir, in_columns=True), ["page_id"])
 
 
 @query(
@@ -77,7 +77,7 @@ r2 AS (SELECT page_id, pos AS row, center - 10 AS y, coalesce(lead(center) OVER
 SELECT page_id, row, col, x, y, w, h FROM r2 JOIN c2 USING (page_id)""",
 )
 def lineless_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lineless.grid_cells(fx.blocks(spark, sf_dir, first_columns=True), ["page_id"])
+    return lineless.grid_cells(fx.blocks(spark, sf_dir, in_columns=True), ["page_id"])
 
 
 _EDGES = """pr AS (SELECT a.page_id, a.block_id AS src, b.block_id AS dst, abs(a.cx - b.cx) AS dx, abs(a.cy - b.cy) AS dy, (a.h + b.h) // 2 + 10 AS lh, (a.w + b.w) // 2 + 10 AS lw FROM ctr a JOIN ctr b ON a.page_id = b.page_id AND a.block_id < b.block_id),
@@ -235,9 +235,9 @@ def crossing_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "x", "y", "w", "h", "rows", "cols", F.size("cells").cast("long").alias("n_cells"), "confidence")
 
 
-@query("hybrid_cascade", f"WITH {_DET} SELECT page_id, NOT bool_and(confidence >= 0.7) AS second_look FROM det WHERE det_id % 5 = 0 GROUP BY page_id")
+@query("hybrid_cascade", f"WITH {_DET} SELECT page_id, NOT bool_and(confidence + 0.3 * (page_id % 3) >= 0.7) AS second_look FROM det GROUP BY page_id")
 def hybrid_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedupe.cascade(fx.detections(spark, sf_dir).where("det_id % 5 = 0"))
+    return dedupe.cascade(fx.detections(spark, sf_dir).withColumn("confidence", F.expr("confidence + 0.3D * (page_id % 3)")))
 
 
 @query(
@@ -327,10 +327,25 @@ def word_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "alternatives_ranked",
-    f"""WITH {_ALT}, l AS (SELECT cell_id, weight, pos, upper(source) || ': "' || text || '" (' || CAST(trunc(confidence * 100) AS INT) || '%)' AS line FROM n) SELECT cell_id, string_agg(line, chr(10) ORDER BY weight DESC, pos) AS tooltip FROM l GROUP BY cell_id""",
+    f"""WITH {_ALT}, c AS (SELECT cell_id, text, cell_id % 4 = 3 AS disagreed FROM alt WHERE pos = 1 UNION ALL SELECT -p_partkey, p_name, false FROM part WHERE p_partkey % 50 = 0 AND p_partkey > 0),
+l AS (SELECT c.cell_id, weight, pos, CASE WHEN n.text = c.text THEN '✓' ELSE ' ' END || ' ' || upper(source) || ': "' || n.text || '" (' || CAST(trunc(confidence * 100) AS INT) || '%)' AS line FROM c JOIN n USING (cell_id)),
+t AS (SELECT cell_id, string_agg(line, chr(10) ORDER BY weight DESC, pos) AS said FROM l GROUP BY cell_id)
+SELECT cell_id, coalesce(CASE WHEN disagreed THEN '⚠ OCR engines disagreed:' ELSE 'OCR Results:' END || chr(10) || chr(10) || said, '') AS tooltip FROM c LEFT JOIN t USING (cell_id)""",
 )
 def alternatives_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vote.ranked(fx.alternatives(spark, sf_dir))
+    return vote.ranked(fx.alternatives(spark, sf_dir), fx.cell_texts(spark, sf_dir))
+
+
+@query(
+    "alternative_texts",
+    f"""WITH {_ALT}, c AS (SELECT cell_id, text FROM alt WHERE pos = 1), j AS (SELECT c.cell_id, c.text AS own, n.text, n.pos FROM c JOIN n USING (cell_id))
+SELECT cell_id, count(*) > 1 AS has_alternatives, coalesce(string_agg(text, '|' ORDER BY pos) FILTER (text <> own), '') AS others FROM j GROUP BY cell_id""",
+)
+def alternative_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = fx.alternatives(spark, sf_dir)
+    lists = a.groupBy("cell_id").agg(F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("a"))
+    met = a.where("pos = 1").select("cell_id", "text").join(lists, "cell_id")
+    return met.select("cell_id", tables.has_alternatives(F.col("a")).alias("has_alternatives"), F.array_join(tables.other_texts(F.col("a"), F.col("text")), "|").alias("others"))
 
 
 @query("language_map", "SELECT doc_id, CASE lang WHEN 'en' THEN 'eng' WHEN 'de' THEN 'deu' WHEN 'fr' THEN 'fra' WHEN 'es' THEN 'spa' ELSE lang END || '+xx' AS tesseract, CASE lang WHEN 'de' THEN 'german' WHEN 'en' THEN 'en' WHEN 'fr' THEN 'fr' WHEN 'es' THEN 'es' ELSE 'en' END AS paddle FROM documents")
@@ -403,6 +418,24 @@ for _axis in ("row", "col"):
         return tables.compact(fx.cells(spark, sf_dir), axis).select("table_id", "row", "col", "text")
 
 
+@query(
+    "compact_headers",
+    f"WITH {_CELLS}, u AS (SELECT DISTINCT table_id, col FROM cells WHERE trim(text) <> '') SELECT c.table_id, row_number() OVER (PARTITION BY c.table_id ORDER BY c.index) - 1 AS index, c.name FROM columns_ c JOIN u ON u.table_id = c.table_id AND u.col = c.index",
+)
+def compact_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = tables.compact_headers(fx.columns(spark, sf_dir), fx.cells(spark, sf_dir))
+    return made.select("table_id", F.col("index").cast("long").alias("index"), "name")
+
+
+@query(
+    "filled_tables",
+    f"WITH {_CELLS}, g AS (SELECT table_id, count(*) FILTER (w * h >= 1200) AS good FROM cells GROUP BY table_id) SELECT table_id, coalesce(good, 0) = 0 AND NOT EXISTS (SELECT 1 FROM cells c WHERE c.table_id = sizes.table_id) OR coalesce(good, 0) / CAST(rows * cols AS DOUBLE) >= 0.5 AS filled FROM sizes LEFT JOIN g USING (table_id)",
+)
+def filled_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = fx.cells(spark, sf_dir).groupBy("table_id").agg(F.collect_list(F.struct("w", "h")).alias("cells"))
+    return fx.sizes(spark, sf_dir).join(c, "table_id", "left").select("table_id", dedupe.filled(F.col("cells"), 1200).alias("filled"))
+
+
 @query("row_slice", f"WITH {_CELLS} SELECT table_id, col, text FROM cells WHERE row = 3")
 def row_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.row_slice(fx.cells(spark, sf_dir), 3).drop("pos")
@@ -418,17 +451,17 @@ def get_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.get_cell(fx.cells(spark, sf_dir), 1, 1).select("table_id", "text")
 
 
-_DENSE = _CELLS + ", dn AS (SELECT g.table_id, g.row, c.index AS col, coalesce(x.text, '') AS text FROM (SELECT table_id, unnest(range(max(row) + 1)) AS row FROM cells GROUP BY table_id) g JOIN columns_ c ON c.table_id = g.table_id AND c.enabled LEFT JOIN cells x ON x.table_id = g.table_id AND x.row = g.row AND x.col = c.index)"
+_DENSE = _CELLS + ", dn AS (SELECT g.table_id, g.row, c.index AS col, coalesce(x.text, '') AS text FROM (SELECT table_id, cols, unnest(range(rows)) AS row FROM sizes) g JOIN columns_ c ON c.table_id = g.table_id AND c.enabled AND c.index < g.cols LEFT JOIN cells x ON x.table_id = g.table_id AND x.row = g.row AND x.col = c.index)"
 
 
 @query("data_matrix", f"WITH {_DENSE} SELECT table_id, row, string_agg(text, '|' ORDER BY col) AS cells FROM dn GROUP BY ALL")
 def data_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.dense_rows(fx.cells(spark, sf_dir), fx.columns(spark, sf_dir)).select("table_id", F.col("row").cast("long").alias("row"), F.array_join("values", "|").alias("cells"))
+    return tables.dense_rows(fx.cells(spark, sf_dir), fx.columns(spark, sf_dir), fx.sizes(spark, sf_dir)).select("table_id", F.col("row").cast("long").alias("row"), F.array_join("values", "|").alias("cells"))
 
 
 @query("skip_empty", f"WITH {_DENSE} SELECT table_id, row FROM dn GROUP BY ALL HAVING bool_or(trim(text) <> '')")
 def skip_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.without_blank(tables.dense_rows(fx.cells(spark, sf_dir), fx.columns(spark, sf_dir))).select("table_id", F.col("row").cast("long").alias("row"))
+    return tables.without_blank(tables.dense_rows(fx.cells(spark, sf_dir), fx.columns(spark, sf_dir), fx.sizes(spark, sf_dir))).select("table_id", F.col("row").cast("long").alias("row"))
 
 
 @query(
@@ -436,7 +469,7 @@ def skip_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {_DENSE}, hd AS (SELECT table_id, string_agg(name, ';' ORDER BY pos) AS line FROM columns_ WHERE enabled GROUP BY table_id), bd AS (SELECT table_id, row, string_agg(text, ';' ORDER BY col) AS line FROM dn GROUP BY ALL HAVING bool_or(trim(text) <> '')) SELECT hd.table_id, hd.line || chr(13) || chr(10) || coalesce(b.t, '') AS csv FROM hd LEFT JOIN (SELECT table_id, string_agg(line || chr(13) || chr(10), '' ORDER BY row) AS t FROM bd GROUP BY table_id) b USING (table_id)",
 )
 def csv_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.csv_text(fx.cells(spark, sf_dir), fx.columns(spark, sf_dir), skip_empty=True)
+    return tables.csv_text(fx.cells(spark, sf_dir), fx.columns(spark, sf_dir), skip_empty=True, tables=fx.sizes(spark, sf_dir))
 
 
 @query("column_width", f"WITH {_CELLS}, m AS (SELECT table_id, col, max(length(text)) AS n FROM cells GROUP BY ALL) SELECT c.table_id, c.index, least(greatest(coalesce(n, 0), length(name)) + 2, 50) AS width FROM columns_ c LEFT JOIN m ON m.table_id = c.table_id AND m.col = c.index")
@@ -506,6 +539,32 @@ def latest_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits.latest(fx.edit_log(spark, sf_dir), ["project", "row", "col"]).select("project", "row", "col", "seq", "kind")
 
 
+@query(
+    "review_state",
+    f"""WITH {_LOG}, r AS (SELECT project, row, col, seq, CASE kind WHEN 'edit' THEN 'apply' ELSE kind END AS kind, new_text FROM log)
+SELECT project, row, col, arg_max(new_text, seq) FILTER (kind = 'apply') AS text, NOT bool_or(kind IN ('apply', 'review')) AS needs_review, arg_max(kind, seq) FILTER (kind IN ('apply', 'reset')) = 'reset' AS reset
+FROM r WHERE kind IN ('apply', 'review', 'reset') GROUP BY project, row, col""",
+)
+def review_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = fx.edit_log(spark, sf_dir)
+    return edits.review_state(log.withColumn("kind", F.when(F.col("kind") == "edit", "apply").otherwise(F.col("kind"))))
+
+
+@query(
+    "header_toggles",
+    f"""WITH {_LOG}, t AS (SELECT project, col, seq, CASE kind WHEN 'edit' THEN 'toggle' WHEN 'undo' THEN 'none' WHEN 'redo' THEN 'all' WHEN 'review' THEN 'rename' ELSE 'other' END AS kind, seq % 2 = 0 AS value, CASE WHEN seq % 3 = 0 THEN '  ' ELSE ' n' || seq END AS name FROM log),
+o AS (SELECT project, col, max(seq) AS seq, arg_max(value, seq) AS v FROM t WHERE kind = 'toggle' GROUP BY ALL),
+w AS (SELECT project, max(seq) AS seq, arg_max(kind = 'all', seq) AS v FROM t WHERE kind IN ('all', 'none') GROUP BY ALL),
+m AS (SELECT project, col, arg_max(trim(name), seq) AS name FROM t WHERE kind = 'rename' AND trim(name) <> '' GROUP BY ALL)
+SELECT project, col, CASE WHEN w.seq IS NOT NULL AND (o.seq IS NULL OR w.seq > o.seq) THEN w.v ELSE coalesce(o.v, true) END AS enabled, m.name
+FROM (SELECT DISTINCT project, col FROM t) k LEFT JOIN o USING (project, col) LEFT JOIN w USING (project) LEFT JOIN m USING (project, col)""",
+)
+def header_toggles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = "CASE kind WHEN 'edit' THEN 'toggle' WHEN 'undo' THEN 'none' WHEN 'redo' THEN 'all' WHEN 'review' THEN 'rename' ELSE 'other' END"
+    log = fx.edit_log(spark, sf_dir).selectExpr("project", "col", "seq", f"{kind} AS kind", "seq % 2 = 0 AS value", "IF(seq % 3 = 0, '  ', concat(' n', seq)) AS name")
+    return edits.toggles(log, "col")
+
+
 @query("recent_files", f"WITH {_LOG}, m AS (SELECT project, row * 10 + col AS file, max(seq) AS seq FROM log GROUP BY ALL), r AS (SELECT project, file, row_number() OVER (PARTITION BY project ORDER BY seq DESC) AS place FROM m) SELECT * FROM r WHERE place <= 10")
 def recent_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits.recent(fx.edit_log(spark, sf_dir).withColumn("file", F.col("row") * 10 + F.col("col")), "file").withColumn("place", F.col("place").cast("long"))

@@ -24,13 +24,14 @@ def _numbered(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy("page_id").orderBy(*LK)).cast("long"))
 
 
-def blocks(spark: SparkSession, sf_dir: str, first_columns: bool = False) -> DataFrame:
+def blocks(spark: SparkSession, sf_dir: str, in_columns: bool = False) -> DataFrame:
+    """Text blocks; in_columns: those of line numbers above 4 lie in the first columns too, so that pages are one grid."""
     li = _numbered(lines(spark, sf_dir), "block_id")
-    made = li.selectExpr(
-        "page_id", "block_id", "60 + 45 * (l_linenumber - 1) + IF(l_linenumber > 4, 100, 0) + l_partkey % 5 AS x",
-        "40 + 32 * (l_suppkey % 6) + l_partkey % 3 AS y", "20 + CAST(l_quantity AS BIGINT) % 15 AS w", "CAST(12 AS BIGINT) AS h", "l_linenumber",
+    x = "60 + 45 * ((l_linenumber - 1) % 4)" if in_columns else "60 + 45 * (l_linenumber - 1) + IF(l_linenumber > 4, 100, 0)"
+    return li.selectExpr(
+        "page_id", "block_id", f"{x} + l_partkey % 5 AS x",
+        "40 + 32 * (l_suppkey % 6) + l_partkey % 3 AS y", "20 + CAST(l_quantity AS BIGINT) % 15 AS w", "CAST(12 AS BIGINT) AS h",
     )
-    return (made.where("l_linenumber <= 4") if first_columns else made).drop("l_linenumber")
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +43,7 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").selectExpr("p_partkey AS cell_id", "p_name", "p_type", "p_size")
+    p = table(spark, sf_dir, "part").selectExpr("p_partkey AS cell_id", "IF(p_partkey % 7 = 0, repeat(concat(p_name, ' '), 5), p_name) AS p_name", "p_type", "p_size")
     texts = (
         "p_name",
         "CASE cell_id % 4 WHEN 0 THEN upper(p_name) WHEN 1 THEN concat(p_name, '  ') WHEN 2 THEN replace(p_name, 'e', 'c') ELSE reverse(p_name) END",
@@ -65,10 +66,25 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged_flags(made)
 
 
-def columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _table_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables with cells, and by the negative ids of every tenth, tables without."""
     t = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("table_id")).distinct()
+    return t.union(t.where("table_id % 10 = 0 and table_id > 0").select(-F.col("table_id")))
+
+
+def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table_ids(spark, sf_dir).selectExpr("table_id", "12 + abs(table_id) % 3 AS rows", "7 - abs(table_id) % 2 AS cols")
+
+
+def columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _table_ids(spark, sf_dir)
     at = t.select("table_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(6).cast("long"))).alias("index"))
-    return at.select("table_id", "index", F.col("index").alias("pos"), F.concat(F.lit("Col_"), (F.col("index") + 1).cast("string")).alias("name"), ((F.col("table_id") + F.col("index")) % 3 != 0).alias("enabled"))
+    return at.select("table_id", "index", F.col("index").alias("pos"), F.concat(F.lit("Col_"), (F.col("index") + 1).cast("string")).alias("name"), ((F.abs("table_id") + F.col("index")) % 3 != 0).alias("enabled"))
+
+
+def cell_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(cell_id, text, disagreed) of the cells of alternatives(), some without any."""
+    return alternatives(spark, sf_dir).where("pos = 1").selectExpr("cell_id", "text", "cell_id % 4 = 3 AS disagreed").unionByName(table(spark, sf_dir, "part").where("p_partkey % 50 = 0 and p_partkey > 0").selectExpr("-p_partkey AS cell_id", "p_name AS text", "false AS disagreed"))
 
 
 def edit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,10 +121,10 @@ _N = f"row_number() OVER (PARTITION BY page_id ORDER BY {_LK})"
 #: SQL of the same rows, as common table expressions.
 SQL = {
     "pages": _PAGES,
-    "blocks": f"{_PAGES}, blocks AS (SELECT page_id, {_N} AS block_id, 60 + 45 * (l_linenumber - 1) + CASE WHEN l_linenumber > 4 THEN 100 ELSE 0 END + l_partkey % 5 AS x, 40 + 32 * (l_suppkey % 6) + l_partkey % 3 AS y, 20 + CAST(trunc(l_quantity) AS BIGINT) % 15 AS w, 12 AS h, l_linenumber FROM li), "
+    "blocks": f"{_PAGES}, blocks AS (SELECT page_id, {_N} AS block_id, 60 + 45 * (l_linenumber - 1) + CASE WHEN l_linenumber > 4 THEN 100 ELSE 0 END + l_partkey % 5 AS x, l_partkey % 5 AS x5, 40 + 32 * (l_suppkey % 6) + l_partkey % 3 AS y, 20 + CAST(trunc(l_quantity) AS BIGINT) % 15 AS w, 12 AS h, l_linenumber FROM li), "
     "ctr AS (SELECT *, x + CAST(floor(w / 2) AS BIGINT) AS cx, y + CAST(floor(h / 2) AS BIGINT) AS cy FROM blocks)",
     "detections": f"{_PAGES}, det AS (SELECT page_id, {_N} AS det_id, l_partkey % 400 AS x, 8 * (l_suppkey % 50) AS y, 60 + CAST(trunc(l_quantity) AS BIGINT) AS w, 50 + 10 * l_linenumber AS h, CAST(0.5 AS DOUBLE) + 5 * l_discount + 0.0 AS confidence, 1 + l_linenumber % 4 AS rows, 1 + l_partkey % 4 AS cols FROM li)",
-    "alternatives": """p AS (SELECT p_partkey AS cell_id, p_name, p_type, p_size FROM part), alt AS (SELECT * FROM (
+    "alternatives": """p AS (SELECT p_partkey AS cell_id, CASE WHEN p_partkey % 7 = 0 THEN repeat(p_name || ' ', 5) ELSE p_name END AS p_name, p_type, p_size FROM part), alt AS (SELECT * FROM (
   SELECT cell_id, 0 AS pos, 'paddleocr' AS source, p_name AS text, (p_size * 3 % 100) / CAST(100 AS DOUBLE) AS confidence FROM p
   UNION ALL SELECT cell_id, 1, 'easyocr', CASE cell_id % 4 WHEN 0 THEN upper(p_name) WHEN 1 THEN p_name || '  ' WHEN 2 THEN replace(p_name, 'e', 'c') ELSE reverse(p_name) END, (p_size * 4 % 100) / CAST(100 AS DOUBLE) FROM p
   UNION ALL SELECT cell_id, 2, 'tesseract', CASE cell_id % 3 WHEN 0 THEN p_name WHEN 1 THEN replace(p_name, 'i', 'l') ELSE p_type END, (p_size * 5 % 100) / CAST(100 AS DOUBLE) FROM p) WHERE cell_id % 11 <> pos),
@@ -117,6 +133,8 @@ n AS (SELECT *, trim(regexp_replace(lower(text), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'
 f AS (SELECT *, CASE WHEN (table_id + row) % 4 = 0 OR l_partkey % 5 = 0 THEN '' WHEN l_partkey % 7 = 0 THEN ' ' ELSE l_returnflag || CAST(l_partkey AS VARCHAR) END AS text FROM k QUALIFY row_number() OVER (PARTITION BY table_id, row, col ORDER BY {_LK}) = 1),
 c0 AS (SELECT table_id, row, col, row * 100 + col AS pos, text, CASE WHEN l_partkey % 13 = 0 THEN text || '*' ELSE text END AS original_text, 10 * l_discount + 0.0 AS confidence, 40 + CAST(trunc(l_quantity) AS BIGINT) AS w, 20 AS h, l_partkey % 9 = 0 AS needs_review FROM f),
 cells AS (SELECT *, w * h > 1.5 * avg(w * h) OVER (PARTITION BY table_id) AS is_merged FROM c0),
-columns_ AS (SELECT table_id, i AS index, i AS pos, 'Col_' || (i + 1) AS name, (table_id + i) % 3 <> 0 AS enabled FROM (SELECT DISTINCT l_suppkey AS table_id FROM lineitem), range(7) r(i))""",
+ids AS (SELECT DISTINCT l_suppkey AS table_id FROM lineitem UNION ALL SELECT DISTINCT -l_suppkey FROM lineitem WHERE l_suppkey % 10 = 0 AND l_suppkey > 0),
+sizes AS (SELECT table_id, 12 + abs(table_id) % 3 AS rows, 7 - abs(table_id) % 2 AS cols FROM ids),
+columns_ AS (SELECT table_id, i AS index, i AS pos, 'Col_' || (i + 1) AS name, (abs(table_id) + i) % 3 <> 0 AS enabled FROM ids, range(7) r(i))""",
     "log": "log AS (SELECT user_id % 20 AS project, event_id AS seq, CASE event_type WHEN 'click' THEN 'edit' WHEN 'view' THEN 'reset' WHEN 'signup' THEN 'review' WHEN 'error' THEN 'undo' WHEN 'purchase' THEN 'redo' ELSE 'other' END AS kind, event_id % 12 AS row, event_id % 7 AS col, props AS new_text FROM events)",
 }

@@ -10,7 +10,7 @@ ENDINGS = (".png", ".jpg", ".jpeg", ".bmp", ".tiff", ".tif")
 
 
 def is_image(path: Column) -> Column:
-    return F.lower(path).rlike(r"\.(png|jpe?g|bmp|tiff?)$")
+    return F.lower(F.regexp_extract(path, r"\.[^.]*$", 0)).isin(*ENDINGS)
 
 
 def read(spark: SparkSession, path: str, fail: bool = False) -> DataFrame:

@@ -36,15 +36,39 @@ def _writer(name: str, column: str):
     return run
 
 
+def _sized(names: DataFrame) -> DataFrame | None:
+    return names.select("table_id", "rows", "cols").distinct() if {"rows", "cols"} <= set(names.columns) else None
+
+
 def write_csv(cells: DataFrame, columns: DataFrame, names: DataFrame, folder: str, base: str, include_headers: bool = True, skip_empty: bool = False) -> list[str]:
-    """One file {base}_{name}.csv for each enabled table of names (table_id, name, enabled): semicolons, CRLF, BOM. Tables
-    of one name share a file, and the greatest table_id wins. Returns the paths."""
-    text = csv_text(cells, columns, include_headers, skip_empty).join(names.where("enabled"), "table_id")
+    """One file {base}_{name}.csv for each enabled table of names (table_id, name, enabled; with rows and cols, tables
+    without cells have files too): semicolons, CRLF, BOM. Tables of one name share a file, and the greatest table_id wins.
+    Returns the paths."""
+    text = csv_text(cells, columns, include_headers, skip_empty, tables=_sized(names)).join(names.where("enabled").select("table_id", "name"), "table_id")
     last = text.groupBy("name").agg(F.max_by("csv", "table_id").alias("csv"))
     made = last.select(F.concat(F.lit(f"{folder}/{base}_"), "name", F.lit(".csv")).alias("path"), "csv")
     return sorted(r["path"] for r in made.mapInArrow(_writer("path", "csv"), "path string").collect())
 
 
+def write_first_csv(cells: DataFrame, columns: DataFrame, names: DataFrame, path: str, include_headers: bool = True, skip_empty: bool = False) -> list[str]:
+    """The first table of names (table_id, pos), enabled or not, as the one file path; no tables write none."""
+    first = names.orderBy("pos").limit(1)
+    text = csv_text(cells, columns, include_headers, skip_empty, tables=_sized(first)).join(first.select("table_id"), "table_id")
+    made = text.select(F.lit(path).alias("path"), "csv")
+    return [r["path"] for r in made.mapInArrow(_writer("path", "csv"), "path string").collect()]
+
+
+def export(kind: str, cells: DataFrame, columns: DataFrame, names: DataFrame, path: str, **options) -> list[str]:
+    """Enabled tables of names (project_id, table_id, pos, name, enabled) by format: csv, a file for each table beside
+    path, named after it; xlsx, a workbook for each project in path. Returns the paths."""
+    if kind == "csv":
+        folder, _, base = path.rpartition("/")
+        return write_csv(cells, columns, names, folder, base.rsplit(".", 1)[0], **options)
+    if kind == "xlsx":
+        return write_workbooks(cells, columns, names, path, **options)
+    raise ValueError(f"unknown format {kind}")
+
+
 def _column(i: int) -> str:
     out = ""
     while i >= 0:
@@ -102,7 +126,7 @@ def workbook(sheets: list[tuple[str, list[int], list[list[str]], bool]]) -> byte
 def write_workbooks(cells: DataFrame, columns: DataFrame, names: DataFrame, folder: str, include_headers: bool = True, skip_empty: bool = False) -> list[str]:
     """One workbook {folder}/{project_id}.xlsx for each project of names (project_id, table_id, pos, name, enabled), a
     sheet for each enabled table in order. Returns the paths."""
-    rows = dense_rows(cells, columns)
+    rows = dense_rows(cells, columns, _sized(names))
     body = (without_blank(rows) if skip_empty else rows).groupBy("table_id").agg(F.sort_array(F.collect_list(F.struct("row", "values"))).alias("body"))
     wide = column_widths(cells, columns.where("enabled")).groupBy("table_id").agg(F.sort_array(F.collect_list(F.struct("index", "width"))).alias("wide"))
     t = names.where("enabled").join(body, "table_id", "left").join(wide, "table_id", "left").join(headers(columns), "table_id", "left")

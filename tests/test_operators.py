@@ -70,11 +70,8 @@ def test_gap_tolerance_is_inclusive_and_centers_truncate(spark):
 
 def test_texts(spark):
     assert value(spark, X.normalized(F.lit("\x1c A\xa0\tB  "))) == "a b"
-    assert value(spark, X.indel_ratio(F.lit("kitten"), F.lit("sitting"))) == pytest.approx(8 / 13)
-    assert value(spark, X.indel_ratio(F.lit(""), F.lit(""))) == 1 and value(spark, X.indel_ratio(F.lit(""), F.lit("a"))) == 0
-    assert value(spark, X.indel_ratio(F.lit("x" * 63), F.lit("y" * 63))) is None
-    long = spark.createDataFrame([(1, "ab" * 60, "b" * 70)], "id int, a string, b string")
-    assert vote.long_ratio(long, ["id"]).first()["ratio"] == pytest.approx(2 * 60 / 190)
+    assert X.indel_ratio("kitten", "sitting") == pytest.approx(8 / 13) and X.indel_ratio("ab" * 60, "b" * 70) == pytest.approx(2 * 60 / 190)
+    assert X.indel_ratio("", "") == 1 and X.indel_ratio("", "a") == 0 == X.indel_ratio("x" * 63, "y" * 63) and X.mean_similarity(["a"]) == 1
     assert value(spark, X.sheet_name(F.lit(""))) == "Sheet" and value(spark, X.sheet_name(F.lit("a/b" * 20))) == ("a_b" * 20)[:31]
     assert value(spark, X.mapped_languages(F.array(F.lit("ru"), F.lit("xx")))) == "rus+xx"
 
@@ -83,9 +80,11 @@ def test_vote_rungs(spark):
     rows = [
         (1, 0, "tesseract", "A", 0.59), (2, 0, "tesseract", "A", 0.60), (3, 0, "paddleocr", "a  b", 0.5), (3, 1, "easyocr", "A B", 0.9),
         (4, 0, "paddleocr", "cat", 0.9), (4, 1, "easyocr", "dog", 0.1), (4, 2, "tesseract", "DOG", 0.3), (5, 0, "easyocr", "one", 0.9), (5, 1, "tesseract", "zzz", 0.9),
+        (6, 0, "easyocr", "long text " * 13 + "xyz", 0.5), (6, 1, "tesseract", "long text " * 13 + "xab", 0.9), (7, 0, "easyocr", None, 0.9), (7, 1, "tesseract", "", 0.9),
     ]
     got = {r["cell_id"]: r for r in vote.vote(spark.createDataFrame(rows, "cell_id long, pos int, source string, text string, confidence double")).collect()}
     assert [got[i]["rung"] for i in range(1, 6)] == ["single", "single", "all", "majority", "low"]
+    assert (got[6]["rung"], got[6]["agreement"], got[7]["rung"]) == ("similar", pytest.approx(2 * 131 / 266), "all")
     assert [got[i]["needs_review"] for i in range(1, 6)] == [True, False, False, False, True]
     assert (got[3]["text"], got[4]["text"], got[4]["agreement"], got[5]["text"]) == ("A B", "DOG", 0.67, "one")
 
@@ -132,6 +131,13 @@ def test_files(spark, tmp_path):
     assert [p.rsplit("/", 1)[1] for p in paths] == ["out_t1.csv", "out_t2.csv"]
     assert (tmp_path / "out_t1.csv").read_bytes() == b'\xef\xbb\xbfA;B\r\n"a;""b""";\r\n;"' + "Ж".encode() + b'\n2"\r\n'
     assert sinks.csv_text(cells, columns).where("table_id = 2").first()["csv"] == 'only\r\n""\r\n'
+    sized = names.withColumn("name", F.concat(F.lit("s"), "table_id")).withColumn("enabled", F.lit(True)).withColumn("rows", F.lit(2)).withColumn("cols", F.lit(2))
+    more = columns.union(spark.createDataFrame([(3, 0, 0, "N", True)], columns.schema))
+    assert [p.rsplit("/", 1)[1] for p in sinks.export("csv", cells, more, sized, f"file://{tmp_path}/out.csv")] == ["out_s1.csv", "out_s2.csv", "out_s3.csv"]
+    assert (tmp_path / "out_s3.csv").read_bytes() == b'\xef\xbb\xbfN\r\n""\r\n""\r\n' and (tmp_path / "out_s1.csv").read_bytes().count(b"\r\n") == 3
+    assert sinks.write_first_csv(cells, columns, names, f"file://{tmp_path}/first.csv") == [f"file://{tmp_path}/first.csv"] and (tmp_path / "first.csv").read_text("utf-8-sig").startswith("A;B")
+    with pytest.raises(ValueError, match="unknown format"):
+        sinks.export("pdf", cells, columns, names, "x")
     books = sinks.write_workbooks(cells, columns, names, f"file://{tmp_path}")
     assert [b.rsplit("/", 1)[1] for b in books] == ["p.xlsx", "q.xlsx"]
     with zipfile.ZipFile(tmp_path / "p.xlsx") as z:
