@@ -142,16 +142,22 @@ def cascade(detections: DataFrame, least: float = 0.7) -> DataFrame:
 
 
 def refine(regions: DataFrame, inner: DataFrame) -> DataFrame:
-    """Regions of a model with what the line detector finds in each (det_id, in region coordinates): shifted to the page,
-    with the mean of both confidences; a region without any is a 1 x 1 table of 0.8 its confidence."""
+    """Regions of a model with what the line detector finds in each (region_id, det_id, in region coordinates): shifted to
+    the page, with the mean of both confidences; a region without any is a 1 x 1 table of 0.8 its confidence. Cells, if
+    inner has them, are shifted too."""
     r = regions.select("page_id", F.col("det_id").alias("region_id"), F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("w").alias("rw"), F.col("h").alias("rh"), F.col("confidence").alias("rc"))
     met = r.join(inner, ["page_id", "region_id"], "left")
     found = F.col("det_id").isNotNull()
     pick = lambda yes, no: F.when(found, yes).otherwise(no)
+    more = []
+    if "cells" in inner.columns:
+        moved = F.transform("cells", lambda c: F.struct((c["x"] + F.col("rx")).alias("x"), (c["y"] + F.col("ry")).alias("y"), c["w"].alias("w"), c["h"].alias("h")))
+        whole = F.array(F.struct(F.col("rx").alias("x"), F.col("ry").alias("y"), F.col("rw").alias("w"), F.col("rh").alias("h")))
+        more = ["det_id", found.alias("has_lines"), pick(moved, whole).alias("cells")]
     return met.select(
         "page_id", "region_id", pick(F.col("x") + F.col("rx"), F.col("rx")).alias("x"), pick(F.col("y") + F.col("ry"), F.col("ry")).alias("y"),
         pick(F.col("w"), F.col("rw")).alias("w"), pick(F.col("h"), F.col("rh")).alias("h"), pick(F.col("rows"), F.lit(1)).alias("rows"), pick(F.col("cols"), F.lit(1)).alias("cols"),
-        pick((F.col("rc") + F.col("confidence")) / 2, F.col("rc") * 0.8).alias("confidence"), pick(F.lit("hybrid_yolo_cv"), F.lit("yolo_only")).alias("detection_method"),
+        pick((F.col("rc") + F.col("confidence")) / 2, F.col("rc") * 0.8).alias("confidence"), pick(F.lit("hybrid_yolo_cv"), F.lit("yolo_only")).alias("detection_method"), *more,
     )
 
 

@@ -5,7 +5,9 @@ Behaviour is that of the usual operators (grids found, texts kept); pixels need
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import struct
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -112,19 +114,28 @@ def without_shadows(img: np.ndarray) -> np.ndarray:
     return np.round((flat - flat.min()) * (255 / span) if span else flat).astype(np.uint8)
 
 
+def _box_sums(a: np.ndarray, k: int) -> np.ndarray:
+    """Sums over the k x k pixels around each, the border repeated."""
+    r = k // 2
+    for axis in (0, 1):
+        upto = np.pad(a, [(r + 1, r) if x == axis else (0, 0) for x in (0, 1)], mode="edge").cumsum(axis=axis)
+        n = a.shape[axis]
+        a = upto[k : k + n] - upto[:n] if axis == 0 else upto[:, k : k + n] - upto[:, :n]
+    return a
+
+
 def denoise(img: np.ndarray, h: float = 10.0, patch: int = 7, search: int = 21) -> np.ndarray:
-    """Means of the pixels around each, weighed by how like their patches are."""
-    src = img.astype(np.float64)
+    """Means of the search x search pixels around each, weighed by how like their patches are."""
+    src = img.astype(np.int64)
     r = search // 2
     wide = np.pad(src, r, mode="reflect" if min(img.shape) > r else "edge")
-    total, mass = np.zeros_like(src), np.zeros_like(src)
-    box = lambda a: _windows(_windows(a, patch, 1).mean(-1), patch, 0).mean(-1)
+    total, mass = np.zeros(src.shape), np.zeros(src.shape)
     for dy in range(search):
         for dx in range(search):
             moved = wide[dy : dy + src.shape[0], dx : dx + src.shape[1]]
-            weight = np.exp(-box((src - moved) ** 2) / (h * h))
+            weight = np.exp(_box_sums((src - moved) ** 2, patch) * (-1 / (patch * patch * h * h)))
             total, mass = total + weight * moved, mass + weight
-    return np.clip(np.round(total / np.maximum(mass, 1e-9)), 0, 255).astype(np.uint8)
+    return np.clip(np.round(total / mass), 0, 255).astype(np.uint8)
 
 
 def enhance_lines(img: np.ndarray) -> np.ndarray:
@@ -458,3 +469,72 @@ def detect_tables(images: DataFrame, config: DetectorConfig = DetectorConfig(),
     """Ruled tables of images, one row for each and binarization; dedupe.merge() unites them."""
     found = detect(images, config, profile).select("path", F.explode("tables").alias("t"))
     return found.select("path", "t.*")
+
+
+def measured(images: DataFrame, steps: dict[str, Callable[[np.ndarray], np.ndarray]]) -> DataFrame:
+    """(path, step, height, width, mean, crc32) of the pixels that each step makes of each gray image."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                row = b.slice(i, 1).to_pylist()[0]
+                img = gray(pixels(row))
+                made = [(name, np.ascontiguousarray(step(img))) for name, step in steps.items()]
+                rows = [{"path": row["path"], "step": n, "height": m.shape[0], "width": m.shape[1], "mean": round(float(m.mean()), 6), "crc32": zlib.crc32(m.tobytes())} for n, m in made]
+                yield pa.RecordBatch.from_pylist(rows, pa.schema([("path", pa.string()), ("step", pa.string()), ("height", pa.int32()), ("width", pa.int32()), ("mean", pa.float64()), ("crc32", pa.int64())]))
+
+    return images.select("path", "height", "width", "channels", "data").mapInArrow(run, "path string, step string, height int, width int, mean double, crc32 long")
+
+
+def told(images: DataFrame, questions: dict[str, Callable[[np.ndarray], object]]) -> DataFrame:
+    """(path, question, answer as text) of each gray image."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                row = b.slice(i, 1).to_pylist()[0]
+                img = gray(pixels(row))
+                answers = [str(f(img)) for f in questions.values()]
+                yield pa.RecordBatch.from_arrays([pa.array([row["path"]] * len(answers)), pa.array(list(questions)), pa.array(answers)], ["path", "question", "answer"])
+
+    return images.select("path", "height", "width", "channels", "data").mapInArrow(run, "path string, question string, answer string")
+
+
+def encode_png(img: np.ndarray) -> bytes:
+    """A PNG file of gray or BGR pixels, without row filters."""
+    lines = img[..., ::-1] if img.ndim == 3 else img
+    raw = np.hstack([np.zeros((len(lines), 1), np.uint8), np.ascontiguousarray(lines).reshape(len(lines), -1)])
+    head = struct.pack(">IIBBBBB", img.shape[1], img.shape[0], 8, 2 if img.ndim == 3 else 0, 0, 0, 0)
+    chunks = ((b"IHDR", head), (b"IDAT", zlib.compress(raw.tobytes())), (b"IEND", b""))
+    return b"\x89PNG\r\n\x1a\n" + b"".join(struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d)) for k, d in chunks)
+
+
+def as_png(images: DataFrame) -> DataFrame:
+    """(path, png) of images."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                row = b.slice(i, 1).to_pylist()[0]
+                yield pa.RecordBatch.from_arrays([pa.array([row["path"]]), pa.array([encode_png(pixels(row))], pa.binary())], ["path", "png"])
+
+    return images.select("path", "height", "width", "channels", "data").mapInArrow(run, "path string, png binary")
+
+
+def crops(images: DataFrame, regions: DataFrame) -> DataFrame:
+    """Regions (page_id, det_id, x, y, w, h) cut from their images, as images with path {page_id}#{det_id}; regions off the
+    page give none."""
+    asked = regions.groupBy(F.col("page_id").alias("path")).agg(F.collect_list(F.struct("det_id", "x", "y", "w", "h")).alias("regions"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                row = b.slice(i, 1).to_pylist()[0]
+                img = pixels(row)
+                for r in row["regions"]:
+                    part = img[max(0, r["y"]) : max(0, r["y"] + r["h"]), max(0, r["x"]) : max(0, r["x"] + r["w"])]
+                    if part.size:
+                        made = {"path": f"{row['path']}#{r['det_id']}", "height": part.shape[0], "width": part.shape[1], "channels": part.shape[2] if part.ndim == 3 else 1, "data": part.tobytes()}
+                        yield pa.RecordBatch.from_pylist([made], pa.schema([("path", pa.string()), ("height", pa.int32()), ("width", pa.int32()), ("channels", pa.int32()), ("data", pa.binary())]))
+
+    return images.select("path", "height", "width", "channels", "data").join(asked, "path").mapInArrow(run, "path string, height int, width int, channels int, data binary")

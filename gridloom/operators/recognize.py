@@ -15,13 +15,24 @@ from ..functions.text import blank
 from .raster import for_recognition, gray, pixels
 
 
+#: Text, confidence from 0 to 100, box.
+Word = tuple[str, float, tuple[int, int, int, int]]
+
+
 class Engine(Protocol):
     """What a worker needs of an engine; made once in each worker, where the model is loaded."""
 
     name: str
 
-    def words(self, image: np.ndarray, mode: int) -> list[tuple[str, float, tuple[int, int, int, int]]]:
-        """(text, confidence from 0 to 100, box) of the words of an image."""
+    def words(self, image: np.ndarray, mode: int) -> list[Word]:
+        """The words of an image."""
+
+
+class Detector(Protocol):
+    """What a worker needs of a detection model; made once in each worker."""
+
+    def regions(self, image: np.ndarray, least: float) -> list[tuple[float, float, float, float, float, int, str]]:
+        """(x1, y1, x2, y2, confidence, class, class name) of what it finds with at least that confidence."""
 
 
 class InkEngine:
@@ -29,15 +40,15 @@ class InkEngine:
 
     name = "tesseract"
 
-    def words(self, image: np.ndarray, mode: int) -> list[tuple[str, float, tuple[int, int, int, int]]]:
+    def words(self, image: np.ndarray, mode: int) -> list[Word]:
         ink = float((image < 128).mean())
         return [(f"{image.shape[1]}x{image.shape[0]}", 100 * (1 - ink), (0, 0, image.shape[1], image.shape[0]))] if ink else []
 
 
-_ENGINES: dict[Callable[[], Engine], Engine] = {}
+_ENGINES: dict[Callable, Engine | Detector] = {}
 
 
-def _engine(make: Callable[[], Engine]) -> Engine:
+def _engine(make: Callable[[], Engine | Detector]) -> Engine | Detector:
     if make not in _ENGINES:
         _ENGINES[make] = make()
     return _ENGINES[make]
@@ -81,13 +92,30 @@ def text_blocks(words: DataFrame, least: float = 30.0) -> DataFrame:
     return kept.withColumn("confidence", F.col("confidence") / 100).withColumnRenamed("word", "text")
 
 
-def model_regions(found: DataFrame, threshold: float | None = None, default: float = 0.5, classes: tuple[int, ...] = (0,)) -> DataFrame:
-    """Regions (page_id, x1, y1, x2, y2, confidence, class_id, class_name) of a model that count as tables, as boxes; a
-    threshold of 0 or none is the default."""
-    table = F.lower("class_name").contains("table") | F.col("class_id").isin(*classes)
+def page_regions(images: DataFrame, make: Callable[[], Detector], least: float = 0.5) -> DataFrame:
+    """(page_id, det_id, x1, y1, x2, y2, confidence, class_id, class_name): all that a detection model finds on each of
+    images (path, height, width, channels, data), numbered by page. A worker makes and loads the model once."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _engine(make)
+        for b in batches:
+            for i in range(b.num_rows):
+                row = b.slice(i, 1).to_pylist()[0]
+                found = [(row["path"], k, *map(float, r[:5]), int(r[5]), str(r[6])) for k, r in enumerate(model.regions(pixels(row), least))]
+                names = ["page_id", "det_id", "x1", "y1", "x2", "y2", "confidence", "class_id", "class_name"]
+                kinds = [pa.string(), pa.int64(), *[pa.float64()] * 5, pa.int32(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(list(zip(*found, strict=True)) or [()] * 9, kinds, strict=True)], names)
+
+    return images.select("path", "height", "width", "channels", "data").mapInArrow(run, "page_id string, det_id long, x1 double, y1 double, x2 double, y2 double, confidence double, class_id int, class_name string")
+
+
+def model_regions(found: DataFrame, threshold: float | None = None, default: float = 0.5, classes: tuple[int, ...] = (0,), every: bool = False) -> DataFrame:
+    """Regions (page_id, x1, y1, x2, y2, confidence, class_id, class_name) of a model that count as tables (or every one),
+    as boxes, with any det_id; a threshold of 0 or none is the default."""
+    table = F.lower("class_name").contains("table") | F.col("class_id").isin(*classes) | F.lit(every)
     kept = found.where((F.col("confidence") >= (threshold or default)) & table)
     x, y = F.col("x1").cast("long"), F.col("y1").cast("long")
-    return kept.select("page_id", x.alias("x"), y.alias("y"), (F.col("x2").cast("long") - x).alias("w"), (F.col("y2").cast("long") - y).alias("h"), "confidence", "class_name")
+    return kept.select("page_id", *(["det_id"] if "det_id" in found.columns else []), x.alias("x"), y.alias("y"), (F.col("x2").cast("long") - x).alias("w"), (F.col("y2").cast("long") - y).alias("h"), "confidence", "class_name")
 
 
 #: Page mode of a search for words anywhere on a page. Fixed value.

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import Profile
 from ..functions import geometry as G
 from ..functions import text as X
-from ..operators import cluster, dedupe, edits, lineless, tables, vote
+from ..operators import cluster, dedupe, edits, lineless, raster, recognize, tables, vote
 from ..session import prepare
 from ..sources import projects
 from . import extract
@@ -611,6 +613,45 @@ def line_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", met.alias("m")).select("p_partkey", *((F.round(f"m.{n}", 4) + 0.0).alias(n) for n in ("px", "py")))
 
 
+# ---- pixels. SQL can't express these; the tests hold them against plain loops over pixels.
+
+#: Steps of raster over a gray page, by name.
+STEPS: dict[str, Callable] = {
+    "dilate": lambda g: raster.dilate(g, 5, 3), "erode": lambda g: raster.erode(g, 3, 5), "opened": lambda g: raster.opened(g, 25, 1), "gauss": lambda g: raster.gauss(g, 1.1), "median": lambda g: raster.median(g, 5),
+    "binary_inverse": raster.binary_inverse, "adaptive_inverse": lambda g: raster.adaptive_inverse(g, 11, 2), "binarize": raster.binarize, "clahe": raster.clahe, "sharpen": raster.sharpen, "without_shadows": raster.without_shadows,
+    "denoise": raster.denoise, "enhance_lines": raster.enhance_lines, "lighten": lambda g: raster.lighten(np.repeat(g[..., None], 3, 2)), "without_glare": lambda g: raster.without_glare(np.repeat(g[..., None], 3, 2)),
+    "resized": lambda g: raster.resized(g, 200), "rotated": lambda g: raster.rotated(g, 5.0), "edges": raster.edges, "deskewed": raster.deskewed, "cropped": lambda g: raster.cropped(g, [(0.1, 0.1), (0.9, 0.1), (0.9, 0.9), (0.1, 0.9)]),
+    "scan": lambda g: raster.preprocess(g, Profile.scan()), "photo": lambda g: raster.preprocess(np.repeat(g[..., None], 3, 2), Profile.photo()), "for_recognition": raster.for_recognition,
+}
+
+
+@query("image_steps")
+def image_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.measured(fx.images(spark, sf_dir), STEPS)
+
+
+@query("image_measures")
+def image_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = lambda c: [] if c is None else c.round(6).ravel().tolist()
+    said = {"otsu": raster.otsu, "skew": lambda g: round(raster.skew(g), 6), "crossing_corners": lambda g: none(raster.crossing_corners(g)), "page_corners": lambda g: none(raster.page_corners(g)), "components": lambda g: int(raster.components(g < 128).max())}
+    return raster.told(fx.images(spark, sf_dir), said)
+
+
+@query("detected_tables")
+def detected_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.detect_tables(fx.images(spark, sf_dir)).select("path", "det_id", "pass", "x", "y", "w", "h", "rows", "cols", "confidence", F.size("cells").alias("n_cells"))
+
+
+@query("detected_segments")
+def detected_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.detect(fx.images(spark, sf_dir)).select("path", F.explode("segments").alias("s")).select("path", "s.*")
+
+
+@query("recognized_words")
+def recognized_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recognize.text_blocks(recognize.page_words(fx.images(spark, sf_dir)))
+
+
 # ---- project files
 
 @query("json_roundtrip", f"WITH {_CELLS} SELECT table_id, row, col, text, coalesce(nullif(original_text, ''), text) AS original_text, confidence FROM cells")

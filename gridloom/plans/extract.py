@@ -60,35 +60,66 @@ def lined_tables(detected: DataFrame, config: DetectorConfig = DetectorConfig())
     return found.withColumn("detection_method", method).withColumn("det_id", F.row_number().over(order).cast("long")).select("page_id", *dedupe.FIELDS, F.lit(True).alias("has_lines"), "detection_method", "cells")
 
 
-def unlined_tables(blocks: DataFrame, config: DetectorConfig = DetectorConfig()) -> DataFrame:
-    """Tables without lines of the connected groups of text blocks (page_id, block_id, x, y, w, h), with their cells."""
+#: det_id of the first table that a model found on a page; those of other tables are smaller.
+MODEL = 1 << 41
+
+
+def modelled_tables(found: DataFrame, images: DataFrame, detector: Callable[[], recognize.Detector], folder: str, config: DetectorConfig = DetectorConfig()) -> DataFrame:
+    """found, with a second look by a detection model at pages of which some table is less sure than the fallback
+    threshold, or which have none: grids of lines inside its regions, merged one to one with the page's own tables."""
+    sure = dedupe.cascade(found, config.model_fallback_threshold).where("not second_look").select("page_id")
+    look = images.join(sure.withColumnRenamed("page_id", "path"), "path", "left_anti")
+    regions = recognize.model_regions(recognize.page_regions(look, detector, config.model_confidence_threshold), config.model_confidence_threshold)
+    regions = _written(regions, f"{folder}/regions")
+    inside = lined_tables(_written(raster.detect(raster.crops(look, regions), config), f"{folder}/inside"), config)
+    place = F.regexp_extract("page_id", r"^(.*)#(\d+)$", 2).cast("long")
+    inside = inside.select(F.regexp_extract("page_id", r"^(.*)#(\d+)$", 1).alias("page_id"), place.alias("region_id"), *dedupe.FIELDS, "cells")
+    model = dedupe.refine(regions, inside).withColumn("det_id", MODEL + F.row_number().over(Window.partitionBy("page_id").orderBy("region_id", "det_id")).cast("long"))
+    model = model.withColumn("cells", F.col("cells").cast(f"array<struct<{_BOX}>>")).withColumns({c: F.col(c).cast("long") for c in ("rows", "cols")})
+    every = ["page_id", *dedupe.FIELDS, "has_lines", "detection_method", "cells"]
+    model = _written(model.select(*every), f"{folder}/modelled")
+    unsure = found.join(sure, "page_id", "left_anti")
+    own = unsure.unionByName(model).select("page_id", "det_id", "has_lines", F.col("detection_method").alias("own"), "cells")
+    met = dedupe.match(unsure, model).join(own, ["page_id", "det_id"])
+    method = F.when(F.col("matched").isNotNull(), F.col("detection_method")).otherwise(F.col("own"))
+    both = found.join(sure, "page_id", "left_semi").unionByName(met.withColumn("detection_method", method).select(*every))
+    return both.withColumn("det_id", F.row_number().over(Window.partitionBy("page_id").orderBy("det_id")).cast("long"))
+
+
+def unlined_tables(blocks: DataFrame, config: DetectorConfig = DetectorConfig(), by_groups: bool = True) -> DataFrame:
+    """Tables without lines of the connected groups of text blocks (page_id, block_id, x, y, w, h), or of all of a page
+    together, with their cells."""
     keys = ["page_id", "component"]
-    own = lineless.block_components(blocks, config.adjacency_distance)
+    own = blocks.withColumn("component", F.lit(1).cast("long")) if not by_groups else lineless.block_components(blocks, config.adjacency_distance)
     most = min(config.max_row_variance, config.max_col_variance)
-    found = lineless.grids(own, keys, config.cluster_tolerance, config.lineless_min_blocks, most, "lineless_graph")
+    found = lineless.grids(own, keys, config.cluster_tolerance, config.lineless_min_blocks, most, "lineless_graph" if by_groups else "lineless_clustering")
     cell = F.struct("row", "col", F.struct("x", "y", "w", "h").cast(f"struct<{_BOX}>").alias("b"))
     cells = lineless.grid_cells(own, keys, config.cluster_tolerance).groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(cell)), lambda c: c["b"]).alias("cells"))
     return found.join(cells, keys).withColumnRenamed("component", "det_id").select("page_id", *dedupe.FIELDS, "has_lines", "detection_method", "cells")
 
 
 def extract(
-    images: DataFrame, folder: str, engines: tuple[Callable[[], recognize.Engine], ...] = (recognize.InkEngine,), config: DetectorConfig = DetectorConfig(), profile: Profile | None = None, detect_lineless: bool = True
+    images: DataFrame, folder: str, engines: tuple[Callable[[], recognize.Engine], ...] = (recognize.InkEngine,), config: DetectorConfig = DetectorConfig(), profile: Profile | None = None, detect_lineless: bool = True,
+    detector: Callable[[], recognize.Detector] | None = None, use_model: bool | None = None, by_groups: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """(tables, cells) of images (path, height, width, channels, data); path must be unique.
 
     tables: page_id, table_id, name, rows, cols, box, detection and recognition statistics, warnings. cells: page_id,
     table_id, pos, row, col, box, is_merged, text, original_text, confidence, needs_review, agreement, alternatives.
-    Pages without a table with lines are searched for one without. Cells in which no engine reads anything have an empty
+    A detection model, if given and not switched off (use_model, else config.use_model), looks again at unsure pages.
+    Pages without any table are searched for one without lines, by groups of blocks or as a whole. Cells in which no engine reads anything have an empty
     text of confidence 0. Stages are written to folder, which all executors must share. No images give no rows.
     """
     if profile:
         images = _written(raster.prepared(images, profile), f"{folder}/images")
     detected = _written(raster.detect(images, config), f"{folder}/detected")
     found = _written(lined_tables(detected, config), f"{folder}/lined")
+    if detector and (config.use_model if use_model is None else use_model):
+        found = _written(modelled_tables(found, images, detector, folder, config), f"{folder}/hybrid")
     if detect_lineless:
         bare = images.join(found.select(F.col("page_id").alias("path")).distinct(), "path", "left_anti")
         blocks = _written(recognize.text_blocks(recognize.page_words(bare, engines[0])), f"{folder}/blocks")
-        found = dedupe.with_fallback(found, unlined_tables(blocks, config))
+        found = dedupe.with_fallback(found, unlined_tables(blocks, config, by_groups))
     named = dedupe.named(found).withColumn("table_id", F.concat_ws("#", "page_id", "table_name"))
     named = _written(named, f"{folder}/tables")
 
@@ -115,9 +146,10 @@ def extract_files(spark: SparkSession, path: str, folder: str, fail: bool = True
     return extract(image_files.read(spark, path, fail), folder, **options)
 
 
-def as_projects(found: DataFrame, cells: DataFrame) -> DataFrame:
+def as_projects(found: DataFrame, cells: DataFrame, files: DataFrame | None = None, processed: DataFrame | None = None) -> DataFrame:
     """One project for each page, of what extract() returns: project_id (the page's), name, image_path and nested tables,
-    as projects.to_json() and the functions of that module take them. Pages without tables have none."""
+    as projects.to_json() and the functions of that module take them; with files (path, content) and processed (path,
+    png) also image_data and processed_image_data. Pages without tables have no project."""
     cell = F.struct(
         "row", "col", "text", "confidence", F.array("x", "y", "w", "h").alias("bbox"), "is_merged", F.array(F.lit(1), F.lit(1)).alias("merge_span"), "original_text", "alternatives", "needs_review",
     )
@@ -127,4 +159,9 @@ def as_projects(found: DataFrame, cells: DataFrame) -> DataFrame:
         F.col("table_id").alias("id"), "name", "rows", "cols", "cells", "columns", F.array("x", "y", "w", "h").alias("bbox"), F.lit(True).alias("enabled"), F.col("has_merged").alias("has_merged_cells"), "avg_confidence", "warnings",
     ).cast(projects.TABLE)
     per = found.join(listed, "table_id").join(columns, "table_id").groupBy(F.col("page_id").alias("project_id")).agg(F.sort_array(F.collect_list(F.struct("det_id", item.alias("t")))).alias("l"))
-    return per.select("project_id", F.regexp_replace(F.element_at(F.split("project_id", "/"), -1), r"\.[^.]*$", "").alias("name"), F.col("project_id").alias("image_path"), F.transform("l", lambda x: x["t"]).alias("tables"))
+    more = []
+    for kept, column, name in ((files, "content", "image_data"), (processed, "png", "processed_image_data")):
+        if kept is not None:
+            per = per.join(kept.select(F.col("path").alias("project_id"), F.base64(column).alias(name)), "project_id", "left")
+            more.append(name)
+    return per.select("project_id", F.regexp_replace(F.element_at(F.split("project_id", "/"), -1), r"\.[^.]*$", "").alias("name"), F.col("project_id").alias("image_path"), F.transform("l", lambda x: x["t"]).alias("tables"), *more)

@@ -3,9 +3,13 @@ rows. LK orders line items wherever a place is needed."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import raster
+
 LK = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
 _LK = ", ".join(LK)
 
@@ -109,6 +113,31 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.join(sums, ["page_id", "pos"], "left").select("page_id", "pos", F.coalesce("v", F.lit(0.0)).alias("value"))
 
 
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One gray page for each nation (path, height, width, channels, data): a ruled grid whose size and place follow the
+    nation's key, some ink in its cells, tilted on every fourth, without lines on every fifth."""
+
+    def run(batches):
+        for b in batches:
+            for key in b.column("n_nationkey").to_pylist():
+                img = np.full((160, 200), 250, np.uint8)
+                rows, cols, left, top = 2 + key % 3, 2 + key % 4, 10 + key % 7, 12 + key % 5
+                high, wide = 120 // rows, 160 // cols
+                for r in range(rows + 1 if key % 5 else 0):
+                    img[top + r * high : top + r * high + 2, left : left + cols * wide + 2] = 10
+                for c in range(cols + 1 if key % 5 else 0):
+                    img[top : top + rows * high + 2, left + c * wide : left + c * wide + 2] = 10
+                for r in range(rows):
+                    for c in range(cols):
+                        img[top + r * high + 8 : top + r * high + 14, left + c * wide + 8 : left + c * wide + 12 + (key * 7 + r * 5 + c * 3) % 12] = 40 + key % 50
+                img[::9, ::11] = 245 - key % 9
+                img = raster.rotated(img, 2.0) if key % 4 == 0 else img
+                yield pa.RecordBatch.from_pylist([{"path": f"page-{key}", "height": 160, "width": 200, "channels": 1, "data": img.tobytes()}], schema)
+
+    schema = pa.schema([("path", pa.string()), ("height", pa.int32()), ("width", pa.int32()), ("channels", pa.int32()), ("data", pa.binary())])
+    return table(spark, sf_dir, "nation").select("n_nationkey").repartition(8).mapInArrow(run, "path string, height int, width int, channels int, data binary")
+
+
 def quads(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     pts = "array(named_struct('x', CAST(p_partkey % 37 AS DOUBLE), 'y', CAST(p_size AS DOUBLE)), named_struct('x', 200.0D + p_size, 'y', CAST(p_partkey % 23 AS DOUBLE)), named_struct('x', 200.0D + p_partkey % 90, 'y', 200.0D + p_size), named_struct('x', CAST(p_size AS DOUBLE), 'y', 180.0D + p_partkey % 41))"

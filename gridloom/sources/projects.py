@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _ALT = "struct<text:string,confidence:double,source:string>"
@@ -71,6 +71,18 @@ def enabled(tables_: DataFrame) -> DataFrame:
     return tables_.where("enabled")
 
 
+def get_table(tables_: DataFrame, table_id: str) -> DataFrame:
+    return tables_.where(F.col("table_id") == table_id)
+
+
+def with_table(tables_: DataFrame, more: DataFrame) -> DataFrame:
+    """tables_ and more tables (project_id, table_id and any of the other columns), after those of their project."""
+    last = tables_.groupBy("project_id").agg(F.max("pos").alias("__last"))
+    at = F.row_number().over(Window.partitionBy("project_id").orderBy(*(["pos"] if "pos" in more.columns else []), "table_id"))
+    new = more.withColumn("__at", at).join(last, "project_id", "left").withColumn("pos", (F.coalesce("__last", F.lit(-1)) + F.col("__at")).cast(tables_.schema["pos"].dataType))
+    return tables_.unionByName(new.drop("__at", "__last"), allowMissingColumns=True)
+
+
 def without_table(tables_: DataFrame, table_id: str) -> DataFrame:
     return tables_.where(F.col("table_id") != table_id)
 

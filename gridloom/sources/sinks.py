@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import io
+import json
 import zipfile
 from collections.abc import Iterable, Iterator
+from urllib.parse import quote
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
@@ -14,14 +16,16 @@ from pyspark.sql import functions as F
 
 from ..functions.text import sheet_name
 from ..operators.tables import column_widths, csv_text, dense_rows, headers, without_blank
+from .projects import to_json
 
 BOM = b"\xef\xbb\xbf"
 
 
 def _put(uri: str, data: bytes) -> None:
-    store, path = fs.FileSystem.from_uri(uri)
-    store.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    with store.open_output_stream(path) as out:
+    folder, _, name = uri.rpartition("/")
+    store, path = fs.FileSystem.from_uri(quote(folder, safe="/:@%?=&+,;!$'()*~"))
+    store.create_dir(path, recursive=True)
+    with store.open_output_stream(f"{path}/{name}") as out:
         out.write(data)
 
 
@@ -123,6 +127,23 @@ def workbook(sheets: list[tuple[str, list[int], list[list[str]], bool]]) -> byte
     return out.getvalue()
 
 
+def write_projects(projects: DataFrame, folder: str, ending: str = ".json", now: str | None = None) -> list[str]:
+    """One file {folder}/{name}{ending} for each project (project_id, name and nested columns): indented JSON, text not
+    escaped, modified now (an ISO time; by default the current one), created then if it never was. Returns the paths."""
+    at = F.lit(now) if now else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    made = projects.withColumns({"created_at": F.coalesce(F.col("created_at"), at) if "created_at" in projects.columns else at, "modified_at": at})
+    named = to_json(made).join(projects.select("project_id", F.concat(F.lit(f"{folder}/"), "name", F.lit(ending)).alias("path")), "project_id").select("path", "json")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            paths = b.column("path").to_pylist()
+            for path, text in zip(paths, b.column("json").to_pylist(), strict=True):
+                _put(path, json.dumps(json.loads(text), ensure_ascii=False, indent=2).encode())
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], ["path"])
+
+    return sorted(r["path"] for r in named.mapInArrow(run, "path string").collect())
+
+
 def write_workbooks(cells: DataFrame, columns: DataFrame, names: DataFrame, folder: str, include_headers: bool = True, skip_empty: bool = False) -> list[str]:
     """One workbook {folder}/{project_id}.xlsx for each project of names (project_id, table_id, pos, name, enabled), a
     sheet for each enabled table in order. Returns the paths."""

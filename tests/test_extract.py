@@ -124,3 +124,37 @@ def test_files_become_projects(spark, tmp_path):
     assert [(r["row"], r["col"], r["text"]) for r in got] == [(i, j, "W") for i in range(3) for j in range(4)] and got[0]["w"] > 0
     t = projects.tables(back).first()
     assert (t["rows"], t["cols"], t["enabled"], round(t["avg_confidence"], 9)) == (3, 4, True, 0.8)
+
+
+def test_a_model_takes_a_second_look(spark, tmp_path):
+    class Model:
+        def regions(self, image, least):
+            found = [(150.0, 10.0, 650.0, 390.0, 0.9, 0, "grid"), (2.0, 2.0, 40.0, 40.0, 0.6, 7, "a table"), (5.0, 5.0, 9.0, 9.0, 0.9, 7, "chair")]
+            return [r for r in found if r[4] >= least] if image[0, 0] == 254 else []
+
+    def grid(corner):
+        img = np.full((400, 700), 255, np.uint8)
+        for y in np.linspace(60, 340, 4).astype(int):
+            img[y : y + 2, 200:602] = 0
+        for x in np.linspace(200, 600, 4).astype(int):
+            img[60:342, x : x + 2] = 0
+        img[0, 0] = corner
+        return img
+
+    pages = [("a", grid(254)), ("b", grid(255)), ("c", np.full((400, 700), 254, np.uint8))]
+    frame = spark.createDataFrame([(n, 400, 700, 1, bytearray(i.tobytes())) for n, i in pages], "path string, height int, width int, channels int, data binary")
+    config = DetectorConfig(model_fallback_threshold=1.01)
+    found = {}
+    for use in (None, False):
+        made, cells = extract.extract(frame, f"file://{tmp_path}/{use}", config=config, detector=Model, use_model=use, detect_lineless=False)
+        found[use] = {(r["page_id"], r["det_id"]): r for r in made.collect()}
+    assert {k[0] for k in found[False]} == {"a", "b"} and all(r["detection_method"] != "hybrid_confirmed" for r in found[False].values())
+    a = [r for k, r in found[None].items() if k[0] == "a"]
+    assert [r["detection_method"] for r in a] == ["hybrid_confirmed"] and a[0]["detection_confidence"] >= found[False]["a", 1]["detection_confidence"]
+    assert [r["detection_method"] for k, r in found[None].items() if k[0] == "b"] == [r["detection_method"] for k, r in found[False].items() if k[0] == "b"]
+    assert not [k for k in found[None] if k[0] == "c"]  # regions without lines are 1 x 1, which extraction leaves out
+    regions = extract.recognize.model_regions(extract.recognize.page_regions(frame, Model), every=True)
+    assert regions.count() == 6
+    files = frame.selectExpr("path", "data as content").limit(3)
+    saved = extract.as_projects(*extract.extract(frame, f"file://{tmp_path}/p", by_groups=False), files, extract.raster.as_png(frame)).collect()
+    assert len(saved) == 2 and all(r["image_data"] and r["processed_image_data"].startswith("iVBOR") for r in saved)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import importlib.machinery
 import json
 import os
+import sys
+import types
 import zipfile
+import zlib
 
 import duckdb
 import numpy as np
@@ -212,3 +216,96 @@ def test_recognition_plug_in(spark):
 def test_image_endings(spark):
     got = spark.createDataFrame([("A.PNG",), ("b.tif",), ("c.gif",), ("png",)], "p string").where(images.is_image(F.col("p"))).count()
     assert got == 2
+
+
+def plain_window(img, high, wide, f):
+    """f of the pixels around each, the border repeated."""
+    out = np.zeros(img.shape)
+    for y in range(img.shape[0]):
+        for x in range(img.shape[1]):
+            around = [img[min(max(y + dy, 0), img.shape[0] - 1), min(max(x + dx, 0), img.shape[1] - 1)] for dy in range(-(high // 2), high - high // 2) for dx in range(-(wide // 2), wide - wide // 2)]
+            out[y, x] = f(around)
+    return out
+
+
+def test_pixel_steps_equal_plain_loops():
+    img = np.random.default_rng(3).integers(0, 256, (23, 31), dtype=np.uint8)
+    assert (raster.dilate(img, 5, 3) == plain_window(img, 3, 5, max)).all() and (raster.erode(img, 3, 5) == plain_window(img, 5, 3, min)).all()
+    assert (raster.median(img, 3) == plain_window(img, 3, 3, lambda w: sorted(w)[4])).all()
+    assert (raster._box_sums(img.astype(np.int64), 7) == plain_window(img.astype(int), 7, 7, sum)).all()
+    counts = np.bincount(img.ravel(), minlength=256)
+    spread = []
+    for t in range(256):
+        low, high = counts[: t + 1].sum(), counts[t + 1 :].sum()
+        a, b = (counts[: t + 1] * np.arange(t + 1)).sum() / max(low, 1), (counts[t + 1 :] * np.arange(t + 1, 256)).sum() / max(high, 1)
+        spread.append(low * high * (a - b) ** 2)
+    assert raster.otsu(img) == int(np.argmax(spread))
+
+    small = img[:9, :8]
+    wide = np.pad(small.astype(int), 2, mode="reflect")
+    want = np.zeros(small.shape)
+    at = lambda a, y, x: a[min(max(y, 0), a.shape[0] - 1), min(max(x, 0), a.shape[1] - 1)]
+    for y in range(9):
+        for x in range(8):
+            total = mass = 0.0
+            for dy in range(5):
+                for dx in range(5):
+                    moved = wide[dy : dy + 9, dx : dx + 8]
+                    unlike = sum((int(at(small, y + j, x + i)) - int(at(moved, y + j, x + i))) ** 2 for j in (-1, 0, 1) for i in (-1, 0, 1)) / 9
+                    weight = np.exp(-unlike / 10000)
+                    total, mass = total + weight * moved[y, x], mass + weight
+            want[y, x] = round(total / mass)
+    assert (raster.denoise(small, 100.0, 3, 5) == want).all()
+
+
+def test_png_files_hold_the_pixels(spark):
+    img = np.random.default_rng(4).integers(0, 256, (5, 7, 3), dtype=np.uint8)
+    for pixels in (img, img[..., 0]):
+        png = raster.encode_png(pixels)
+        assert png[:8] == b"\x89PNG\r\n\x1a\n" and int.from_bytes(png[16:20], "big") == 7
+        body = zlib.decompress(png[41 : 41 + int.from_bytes(png[33:37], "big")])
+        lines = np.frombuffer(body, np.uint8).reshape(5, -1)[:, 1:]
+        assert (lines.reshape(pixels.shape) == (pixels[..., ::-1] if pixels.ndim == 3 else pixels)).all()
+
+
+def test_engine_adapters(monkeypatch, tmp_path):
+    from gridloom.operators import engines
+
+    assert engines.TesseractEngine().words(page(), 6) == [] == engines.EasyEngine().words(page(), 6) == engines.PaddleEngine().words(page(), 6)
+    assert engines.makers() == () and not engines.Yolo.available() and engines.Yolo().regions(page(), 0.5) == []
+    data = {"text": [" a ", ""], "conf": [90, -1], "left": [1, 0], "top": [2, 0], "width": [3, 0], "height": [4, 0]}
+    reader = types.SimpleNamespace(readtext=lambda image, **_: [([(1, 2), (5, 2), (5, 9), (1, 9)], "b", 0.5)], ocr=lambda image, cls: [[[[(0, 0), (4, 0), (4, 4), (0, 4)], ("c ", 0.25)]]])
+    box_ = types.SimpleNamespace(cls=[1.0], conf=[0.75], xyxy=[(1, 2, 3, 4)])
+    model = types.SimpleNamespace(predict=lambda image, **_: [types.SimpleNamespace(boxes=[box_], names={1: "a table"}), types.SimpleNamespace(boxes=None, names={})], to=lambda d: None)
+    made = {
+        "pytesseract": {"image_to_data": lambda image, **_: data, "pytesseract": types.SimpleNamespace(), "get_languages": lambda: ["eng"]}, "easyocr": {"Reader": lambda *_, **__: reader},
+        "paddleocr": {"PaddleOCR": lambda **_: reader}, "ultralytics": {"YOLO": lambda path: model},
+    }
+    for name, parts in made.items():
+        module = types.ModuleType(name)
+        module.__spec__ = importlib.machinery.ModuleSpec(name, None)
+        module.__dict__.update(parts)
+        monkeypatch.setitem(sys.modules, name, module)
+    t = engines.TesseractEngine(["ru", "xx"])
+    assert t.languages == "rus+xx" and t.known_languages() == ["eng"] and t.words(page(), 6)[0] == ("a", 90.0, (1, 2, 3, 4))
+    assert [m().words(page(), 6)[0] for m in engines.makers(["de"])] == [("c", 25.0, (0, 0, 4, 4)), ("b", 50.0, (1, 2, 4, 7)), ("a", 90.0, (1, 2, 3, 4))]
+    y = engines.Yolo(device="cpu")
+    assert y.regions(page(), 0.5) == [(1.0, 2.0, 3.0, 4.0, 0.75, 1, "a table")] and y.model
+    y.unload()
+    assert y.model is None and engines.bundled([str(tmp_path)]) == (None, None)
+    (tmp_path / "tesseract" / "tessdata").mkdir(parents=True)
+    (tmp_path / "tesseract" / "tesseract").touch()
+    assert engines.bundled(["/none", str(tmp_path)]) == (f"{tmp_path}/tesseract/tesseract", f"{tmp_path}/tesseract/tessdata")
+
+
+def test_project_files(spark, tmp_path):
+    data = [("p1", "first Ж", [("t1", "T")], "2020-01-01"), ("p2", "second", [], None)]
+    frame = spark.createDataFrame(data, "project_id string, name string, tables array<struct<id:string,name:string>>, created_at string")
+    paths = sinks.write_projects(frame, f"file://{tmp_path}", now="2024-05-06T07:08:09")
+    assert [p.rsplit("/", 1)[1] for p in paths] == ["first Ж.json", "second.json"]
+    text = (tmp_path / "first Ж.json").read_text("utf-8")
+    made = json.loads(text)
+    assert (made["created_at"], made["modified_at"]) == ("2020-01-01", "2024-05-06T07:08:09") and '\n  "name": "first Ж"' in text
+    t = projects.tables(projects.read(spark, f"{tmp_path}/first*.json"))
+    more = projects.with_table(t, t.select("project_id", F.lit("t2").alias("table_id")))
+    assert [(r["table_id"], r["pos"]) for r in more.orderBy("pos").collect()] == [("t1", 0), ("t2", 1)] and projects.get_table(more, "t2").count() == 1
