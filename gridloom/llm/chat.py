@@ -76,8 +76,9 @@ def format_conversations(rows: DataFrame, loss_roles: tuple[str, ...] = ("assist
     that stands in place of text).
 
     A conversation's output is its segments by (turn, role, segment), nulls first. loss_start and loss_end bound the
-    part of a segment under the loss mask (null: none). Null text is empty, null role is the empty role; rows are
-    formatted one by one, so no conversation is ever gathered here.
+    part of a segment under the loss mask (null: none). Null text is empty, null role is the empty role; texts of any
+    length are formatted whole; repeated rows repeat, further columns are ignored and an empty table gives no rows. Rows
+    are formatted one by one, so no conversation is ever gathered here.
     """
     typed = "parts" in rows.columns
     source = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text", *(["parts"] if typed else []))
@@ -104,7 +105,8 @@ def conversation_digests(formatted: DataFrame) -> DataFrame:
     and the length of the whole.
 
     Segments are sorted within partitions and pass through one at a time, so a conversation of any length takes the
-    memory of a batch. A null conv_id is a conversation of its own.
+    memory of a batch; its digest is a running one, so one task reads it all. A null conv_id is a conversation of its own;
+    an empty table gives no rows.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -494,12 +494,14 @@ def test_language_equals_a_plain_model(spark, monkeypatch, chunk, languages):
 
 def test_chat_reads_back(spark):
     probe = "</s>[INST] ok [/INST]"
-    data = [(-7, 0, "user", probe), (-7, 1, "assistant", probe), (1, 1, "assistant", "b<|end|>\\<\\|"), (1, 0, None, None), (1, 1, "assistant", "a"), (None, 0, "user", "x<"), (2, None, "assistant", "")]
+    long = "<|end|> x" * 60_000
+    data = [(8, 0, "user", "q"), (8, 1, "assistant", long), (-7, 0, "user", probe), (-7, 1, "assistant", probe), (1, 1, "assistant", "b<|end|>\\<\\|"), (1, 0, None, None), (1, 1, "assistant", "a"), (None, 0, "user", "x<"), (2, None, "assistant", "")]
     frame = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
     got = {r["conv_id"]: r for r in chat.conversation_digests(chat.format_conversations(frame)).collect()}
     assert got[-7]["loss_chars"] == len(probe) and got[-7]["loss_sha256"] == hashlib.sha256(probe.encode()).hexdigest()
     assert got[1]["turns_sha256"] == hashlib.sha256("\n\nassistant\na\nassistant\nb<|end|>\\<\\|\n".encode()).hexdigest() and got[1]["n_turns"] == 3
     assert got[None]["n_turns"] == 1 and got[2]["loss_chars"] == 0
+    assert got[8]["loss_chars"] == len(long) and got[8]["loss_sha256"] == hashlib.sha256(long.encode()).hexdigest()
     assert chat.conversation_digests(chat.format_conversations(frame.limit(0))).count() == 0
     rng = random.Random(1)
     for _ in range(3000):
