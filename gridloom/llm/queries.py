@@ -62,6 +62,21 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(media.media_columns(table(spark, sf_dir, "documents")))
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op4, what SQL can express: sizes and targets."""
+    return op4_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
+
+
+def bpe_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op5, what SQL can express: the digest of what the ids decode to."""
+    return op5_bpe(spark, sf_dir).select("doc_id", "decoded_sha256")
+
+
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op10, what SQL can express: the payload that is read back."""
+    return op10_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_token_files": op2_token_files,
@@ -73,12 +88,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_chat": op9_chat,
     "op10_media": op10_media,
+    "mixing_targets": mixing_targets,
+    "bpe_decoded": bpe_decoded,
+    "media_payloads": media_payloads,
 }
 
 #: A control string's first character with its backslashes, and the rest of it.
 _CONTROL = r"([<\[]\\*)(\||/?s>|/?INST\])"
 
 ORACLE_SQL: dict[str, str] = {
+    "mixing_targets": r"""
+WITH d AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w FROM s),
+c AS (SELECT *, 2 * source_size / CAST(w AS DOUBLE) AS stop, coalesce(source, chr(1114111)) AS name FROM w),
+l AS (SELECT stop, name, (1.5 * sum(source_size) OVER () - coalesce(sum(2 * source_size) OVER b, 0)) / CAST(sum(w) OVER () - coalesce(sum(w) OVER b, 0) AS DOUBLE) AS level
+  FROM c WINDOW b AS (ORDER BY stop, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT coalesce(arg_min(level, stop), 0) AS level FROM l WHERE level <= stop)
+SELECT doc_id, size, source_size, round(least(2 * source_size, w * level), 6) AS target FROM d JOIN c ON c.source IS NOT DISTINCT FROM d.source, t""",
+    "bpe_decoded": "SELECT CAST(doc_id AS BIGINT) AS doc_id, sha256(coalesce(text, '')) AS decoded_sha256 FROM documents",
+    "media_payloads": """
+WITH b AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, encode(coalesce(text, '')) AS b FROM documents),
+n AS (SELECT *, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(greatest(1, (octet_length(b) + 63) // 64) * 64 AS BIGINT) AS payload_bytes FROM b)
+SELECT doc_id, n_bytes, payload_bytes, sha256(b || unhex(repeat('00', payload_bytes - n_bytes))) AS payload_sha256 FROM n""",
     "op9_chat": rf"""
 WITH c AS (
   SELECT CAST(conv_id AS BIGINT) AS conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role AS kind FROM conversations

@@ -5,10 +5,12 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -19,12 +21,13 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gridloom.llm import bpe, chat, kneser_ney, langid, media, mixing, simhash, token_files, topk, url_rules, vptree
+from gridloom.llm import bpe, chat, kneser_ney, langid, media, mixing, queries, simhash, token_files, topk, url_rules, vptree
 from gridloom.llm.common import new_path
 from gridloom.llm.components import components
 from gridloom.llm.perfect_hash import PerfectHash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, size string, `__copy` int"
+DATA = "/root/testdata/sf0.001"
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
@@ -670,6 +673,18 @@ def test_pipeline_equals_a_plain_version(spark, tmp_path):
     assert sorted(tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted(plain)
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_equals_its_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages", "labels", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    got, want = queries.QUERIES[name](spark, DATA), con.sql(queries.ORACLE_SQL[name])
+    order = sorted(got.columns)
+    assert order == sorted(want.columns)
+    assert sorted(str([r[c] for c in order]) for r in got.collect()) == sorted(str([r[want.columns.index(c)] for c in order]) for r in want.fetchall())
+
+
 def test_pipeline_stages_hold(spark, docs, labels, tmp_path):
     import corpus_pipeline
 
