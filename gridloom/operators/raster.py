@@ -143,21 +143,43 @@ def enhance_lines(img: np.ndarray) -> np.ndarray:
     return np.clip(np.round(0.8 * img + 0.2 * mask), 0, 255).astype(np.uint8)
 
 
+#: Primaries of sRGB, from linear red, green, blue to X, Y, Z, with the white of daylight. Fixed values.
+XYZ = np.array([[0.412453, 0.357580, 0.180423], [0.212671, 0.715160, 0.072169], [0.019334, 0.119193, 0.950227]])
+WHITE = XYZ.sum(axis=1)
+
+
+def to_lab(img: np.ndarray) -> np.ndarray:
+    """Lightness (0 to 100) and the two colour axes of BGR pixels."""
+    c = img[..., ::-1] / 255.0
+    linear = np.where(c > 0.04045, ((c + 0.055) / 1.055) ** 2.4, c / 12.92)
+    t = linear @ XYZ.T / WHITE
+    f = np.where(t > 0.008856, np.cbrt(t), 7.787 * t + 16 / 116)
+    return np.stack([116 * f[..., 1] - 16, 500 * (f[..., 0] - f[..., 1]), 200 * (f[..., 1] - f[..., 2])], -1)
+
+
+def from_lab(lab: np.ndarray) -> np.ndarray:
+    """BGR pixels of to_lab()."""
+    y = (lab[..., 0] + 16) / 116
+    f = np.stack([y + lab[..., 1] / 500, y, y - lab[..., 2] / 200], -1)
+    t = np.where(f > 6 / 29, f**3, (f - 16 / 116) / 7.787)
+    linear = (t * WHITE) @ np.linalg.inv(XYZ).T
+    c = np.where(linear > 0.0031308, 1.055 * np.maximum(linear, 0) ** (1 / 2.4) - 0.055, 12.92 * linear)
+    return np.clip(np.round(c[..., ::-1] * 255), 0, 255).astype(np.uint8)
+
+
 def lighten(img: np.ndarray) -> np.ndarray:
-    """Equalized lightness, colours scaled along."""
+    """Equalized lightness; colours keep their axes."""
     if img.ndim == 2:
         return clahe(img, 3.0)
-    light = gray(img)
-    ratio = clahe(light, 3.0) / np.maximum(light, 1.0)
-    return np.clip(np.round(img * ratio[..., None]), 0, 255).astype(np.uint8)
+    lab = to_lab(img)
+    lab[..., 0] = clahe(np.clip(np.round(lab[..., 0] * 2.55), 0, 255).astype(np.uint8), 3.0) / 2.55
+    return from_lab(lab)
 
 
 def without_glare(img: np.ndarray) -> np.ndarray:
     """Gray image whose bright colourless spots, if they cover 100 pixels, take the mean of what surrounds them."""
     g = gray(img)
-    if img.ndim == 2:
-        return g
-    top, low = img.max(2).astype(int), img.min(2).astype(int)
+    top, low = (img.max(2).astype(int), img.min(2).astype(int)) if img.ndim == 3 else (g.astype(int), g.astype(int))
     mask = dilate(((top > 245) & ((top - low) * 255 < 30 * np.maximum(top, 1))).astype(np.uint8), 5, 5) > 0
     if mask.sum() < 100 or mask.all():
         return g
@@ -305,18 +327,53 @@ def crossing_corners(img: np.ndarray) -> np.ndarray | None:
     return corners if corners is not None and plausible(corners) else None
 
 
+def hull(points: np.ndarray) -> np.ndarray:
+    """Corners of the convex hull of whole-number points (x, y), in order."""
+    points = points[np.lexsort((points[:, 1], points[:, 0]))]
+    sides = []
+    for run in (points, points[::-1]):
+        side: list[np.ndarray] = []
+        for p in run:
+            while len(side) > 1 and (side[-1][0] - side[-2][0]) * (p[1] - side[-2][1]) <= (side[-1][1] - side[-2][1]) * (p[0] - side[-2][0]):
+                side.pop()
+            side.append(p)
+        sides += side[:-1]
+    return np.array(sides)
+
+
+def simplified(polygon: np.ndarray, reach: float) -> np.ndarray:
+    """The corners of a closed polygon that are further than reach from the line between those kept."""
+
+    def kept(line: np.ndarray) -> list[np.ndarray]:
+        (x, y), along = line[0], line[-1] - line[0]
+        off = np.abs((line[:, 0] - x) * along[1] - (line[:, 1] - y) * along[0]) / max(np.hypot(*along), 1e-9)
+        at = int(off.argmax())
+        return kept(line[: at + 1]) + kept(line[at:]) if off[at] > reach else [line[0]]
+
+    if len(polygon) < 3:
+        return polygon
+    far = np.hypot(*(polygon[:, None] - polygon[None]).transpose(2, 0, 1))
+    i, j = sorted(np.unravel_index(far.argmax(), far.shape))
+    turned = np.vstack([polygon[j:], polygon[: i + 1]])
+    return np.array(kept(polygon[i : j + 1]) + kept(turned))
+
+
 def page_corners(img: np.ndarray) -> np.ndarray | None:
-    """Corners of the brightest large region if it is a plausible page of a tenth of the image, else those of its
-    outermost lines, else None."""
+    """Corners of the largest bright region that covers a tenth of the image and whose outline, within a fiftieth of its
+    length, has four corners at plausible angles; else those of the outermost lines, else None."""
     labels = components(img > otsu(img))
-    boxes = [(n, label) for label, n in zip(*np.unique(labels[labels > 0], return_counts=True), strict=True)]
-    for n, label in sorted(boxes, reverse=True)[:10]:
+    sizes = [(n, label) for label, n in zip(*np.unique(labels[labels > 0], return_counts=True), strict=True)]
+    for n, label in sorted(sizes, reverse=True)[:10]:
         if n < 0.1 * img.size:
             break
-        y, x = np.nonzero(labels == label)
-        c = ordered(np.stack([x, y], 1))
-        if plausible(c):
-            return c
+        inside = labels == label
+        rows = np.flatnonzero(inside.any(axis=1))
+        ends = np.concatenate([np.stack([inside[rows].argmax(axis=1), rows], 1), np.stack([inside.shape[1] - 1 - inside[rows, ::-1].argmax(axis=1), rows], 1)])
+        outline = hull(ends)
+        length = np.hypot(*(outline - np.roll(outline, 1, 0)).T).sum()
+        corners = simplified(outline, 0.02 * length)
+        if len(corners) == 4 and plausible(ordered(corners)):
+            return ordered(corners)
     return crossing_corners(img)
 
 

@@ -258,6 +258,24 @@ def test_pixel_steps_equal_plain_loops():
     assert (raster.denoise(small, 100.0, 3, 5) == want).all()
 
 
+def test_colours_and_outlines():
+    colour = np.random.default_rng(5).integers(0, 256, (20, 20, 3), dtype=np.uint8)
+    assert np.abs(raster.from_lab(raster.to_lab(colour)).astype(int) - colour).max() <= 1
+    assert raster.to_lab(np.array([[[255, 255, 255], [0, 0, 255]]], np.uint8)).round(1).tolist() == [[[100.0, 0.0, 0.0], [53.2, 80.1, 67.2]]]
+    spot = np.full((60, 60), 120, np.uint8)
+    spot[20:35, 20:35] = 255
+    assert raster.without_glare(spot).max() <= 121 and (raster.without_glare(np.repeat(spot[..., None], 3, 2)) == raster.without_glare(spot)).all()
+    dark = np.full((200, 300), 20, np.uint8)
+    y, x = np.mgrid[0:200, 0:300]
+    dark[(y > 20 + x // 30) & (y < 180 - x // 40) & (x > 30) & (x < 270)] = 230
+    corners = raster.page_corners(dark)
+    assert np.abs(corners - np.array([[31, 22], [269, 29], [269, 173], [31, 179]])).max() <= 2
+    round_ = np.full((200, 300), 20, np.uint8)
+    round_[(y - 100) ** 2 + (x - 150) ** 2 < 6400] = 230
+    assert raster.page_corners(round_) is None
+    assert raster.simplified(raster.hull(np.array([[0, 0], [9, 0], [9, 9], [0, 9], [5, 5], [5, 0]])), 1.0).shape == (4, 2)
+
+
 def test_png_files_hold_the_pixels(spark):
     img = np.random.default_rng(4).integers(0, 256, (5, 7, 3), dtype=np.uint8)
     for pixels in (img, img[..., 0]):
