@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 
 from .common import fresh, materialize, maybe_in, own, scratch, without
 from .components import components
-from .vptree import Forest, Tree, close_pairs, spanning
+from .vptree import Forest, Parts, Tree, close_pairs, spanning
 
-#: Fingerprints by which a tree's top is balanced: about so many or so many for each shard, SAMPLE_MOST (8 MB) at most, and
-#: never more than a quarter of all.
-SAMPLE, SHARD_SAMPLE, SAMPLE_MOST = 8192, 16, 1 << 20
+#: Fingerprints by which a tree's top is balanced, at most about so many, and never more than a quarter of all; shards
+#: beyond which points are dealt by parts of their bits instead, as a point is in 4 of 64 shards of a top, but in 80 of
+#: 65,536.
+SAMPLE, TOP_MOST = 8192, 64
 #: Fingerprints that a shard is planned for, and rows beyond which it is split into blocks.
 SHARD, SHARD_MOST = 16_384, 200_000
 #: Shingles hashed at once, and shingle hashes beyond which a family of candidates is dealt into blocks.
@@ -88,9 +89,9 @@ def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def _sampled(rows: DataFrame, n: int, shards: int) -> DataFrame:
-    """The rows by whose fp a tree with so many shards is balanced."""
-    every = max(4, math.ceil(n / min(SAMPLE_MOST, max(SAMPLE, SHARD_SAMPLE * shards))))
+def _sampled(rows: DataFrame, n: int) -> DataFrame:
+    """The rows by whose fp a tree's top is balanced."""
+    every = max(4, math.ceil(n / SAMPLE))
     return rows.where(F.pmod(F.xxhash64("fp", F.lit(7)), F.lit(every)) == 0)
 
 
@@ -120,14 +121,15 @@ def linked_fingerprints(fps: DataFrame, radius: int = 2) -> DataFrame:
     """(a, b): edges that connect exactly the distinct fingerprints (column fp) reachable by steps of at most radius bits.
 
     The tops of a vantage-point tree deal fingerprints to shards, boundary points also to the shards that their ball
-    overlaps. A shard searches its own tree and returns a spanning forest of the links found, never all pairs. Shards of
-    over SHARD_MOST rows are dealt into blocks, of which a task holds two at most.
+    overlaps; beyond TOP_MOST shards they are dealt by parts of their bits. A shard searches its own tree and returns a
+    spanning forest of the links found, never all pairs. Shards of over SHARD_MOST rows are dealt into blocks, of which a
+    task holds two at most.
     """
     n = fps.agg(F.approx_count_distinct("fp")).first()[0]
     shards = 1 if n <= SHARD else math.ceil(n / SHARD)
-    tree = Tree(radius)
-    if shards > 1:
-        tree = Tree.build(np.sort(_sampled(fps, n, shards).select("fp").toArrow()["fp"].to_numpy().view(np.uint64)), shards, radius)
+    tree = Tree(radius) if shards == 1 else Parts(radius, 64, shards)
+    if 1 < shards <= TOP_MOST:
+        tree = Tree.build(np.sort(_sampled(fps, n).select("fp").toArrow()["fp"].to_numpy().view(np.uint64)), shards, radius)
 
     def route(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -232,9 +234,9 @@ def _similar(docs: DataFrame, k: int, similarity: float, tables: int, bits: int,
 
     n = classes.count()
     per_table = 1 if n <= 40 * SHARD else math.ceil(n / (40 * SHARD))
-    trees = [Tree(radius)] * tables
-    if per_table > 1:
-        rows = _sampled(classes, n, per_table).select("wide").toArrow()["wide"].to_pylist()
+    trees = [Tree(radius) if per_table == 1 else Parts(radius, bits, per_table)] * tables
+    if 1 < per_table <= TOP_MOST:
+        rows = _sampled(classes, n).select("wide").toArrow()["wide"].to_pylist()
         sample = np.frombuffer(b"".join(rows), np.uint64).reshape(-1, PARTS)
         trees = [Tree.build(np.sort(_gathered(sample, m, bits)), per_table, radius) for m in masks]
 

@@ -100,6 +100,27 @@ class Tree:
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+@dataclass
+class Parts:
+    """Points dealt by parts of their bits, in place of a tree's top of very many shards, whose bands would overlap in most
+    of them: two points within ``radius`` differ in at most so many of radius + 1 parts, so they share one, and each point
+    goes to one shard for each part, however many there are."""
+
+    radius: int
+    bits: int
+    blocks: int
+
+    def route(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(index, shard, home), as Tree.route(); every point is at home in each of its shards."""
+        n, shards = self.radius + 1, []
+        for p in range(n):
+            low, high = self.bits * p // n, self.bits * (p + 1) // n
+            value = (fps >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)
+            mixed = (value * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+            shards.append(p * self.blocks + (mixed % np.uint64(self.blocks)).astype(np.int64))
+        return np.tile(np.arange(len(fps)), n), np.concatenate(shards), np.ones(n * len(fps), bool)
+
+
 def close_pairs(fps: np.ndarray, home: np.ndarray, radius: int, among: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs (i, j) within the radius of which j is a home point, each once, in blocks of bounded size; those of two
     home points only if ``among``."""

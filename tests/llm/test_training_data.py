@@ -80,8 +80,9 @@ def test_simhash_groups_equal_brute_force(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize(("shard", "most"), [(50, 200_000), (50, 40), (10_000, 60)])
-def test_linked_fingerprints_are_the_same_however_they_are_dealt(spark, monkeypatch, shard, most):
+@pytest.mark.parametrize(("shard", "most", "top"), [(50, 200_000, 64), (50, 40, 64), (10_000, 60, 64), (20, 200_000, 1), (20, 15, 1)])
+def test_linked_fingerprints_are_the_same_however_they_are_dealt(spark, monkeypatch, shard, most, top):
+    monkeypatch.setattr(simhash, "TOP_MOST", top)
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**63, 150, dtype=np.int64)
     near = base[:60] ^ (1 << rng.integers(0, 62, 60)) ^ (1 << rng.integers(0, 62, 60))
@@ -147,6 +148,9 @@ def test_similar_documents_equal_brute_force(spark, monkeypatch):
     assert {r["doc_id"]: r["group_id"] for r in simhash.similar_documents(docs).collect()} == want
     monkeypatch.setattr(simhash, "SHARD_MOST", 7)
     assert {r["doc_id"]: r["group_id"] for r in simhash.similar_documents(docs).collect()} == want
+    monkeypatch.setattr(simhash, "SHARD", 0.5)
+    monkeypatch.setattr(simhash, "TOP_MOST", 1)
+    assert {r["doc_id"]: r["group_id"] for r in simhash.similar_documents(docs).collect()} == want
 
 
 @pytest.mark.parametrize("most", [1 << 22, 40_000])
