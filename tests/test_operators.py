@@ -76,6 +76,7 @@ def test_texts(spark):
     assert value(spark, X.normalized(F.lit("\x1c A\xa0\tB  "))) == "a b"
     assert X.indel_ratio("kitten", "sitting") == pytest.approx(8 / 13) and X.indel_ratio("ab" * 60, "b" * 70) == pytest.approx(2 * 60 / 190)
     assert X.indel_ratio("", "") == 1 and X.indel_ratio("", "a") == 0 == X.indel_ratio("x" * 63, "y" * 63) and X.mean_similarity(["a"]) == 1
+    assert X.mean_similarity(["new widget", "new wldget", "tegdiw wen"]) == (0.9 + X.indel_ratio("new widget", "tegdiw wen") + X.indel_ratio("new wldget", "tegdiw wen")) / 3
     assert value(spark, X.sheet_name(F.lit(""))) == "Sheet" and value(spark, X.sheet_name(F.lit("a/b" * 20))) == ("a_b" * 20)[:31]
     assert value(spark, X.mapped_languages(F.array(F.lit("ru"), F.lit("xx")))) == "rus+xx"
 
