@@ -9,6 +9,8 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,10 +20,13 @@ from .common import materialize, maybe_in, scratch, without
 #: one of PAIRS heads and one of PAIRS tails, so that all up to U+3FFFF stay apart.
 ORDER, BITS, PLAIN, PAIRS = 5, 12, 3072, 512
 CLASSES = 1 << BITS
-#: Entries of the model that are broadcast at once (12 bytes each); a larger model is scored in several passes.
-MODEL_ROWS = 1 << 22
+#: Entries of the model that are broadcast (12 bytes each); a larger model is joined with the distinct n-grams of blocks of
+#: documents, of about so many characters each.
+MODEL_ROWS, BLOCK = 1 << 22, 1 << 24
 #: Characters handled at once, and distinct n-grams that a task holds before it hands them on.
 CHUNK, HELD = 1 << 18, 1 << 20
+#: What a score holds.
+SCORES = "doc_id long, lang string, n_chars long, logp double"
 #: Of trusted documents, one in so many sets the thresholds and teaches nothing.
 HELD_OUT = 5
 
@@ -155,14 +160,13 @@ def _context(length: int, h: Column) -> Column:
 
 
 def train(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(entries, single): the model of the whole texts of docs as a table (h, size, key, value), and the log-probabilities
-    of the CLASSES single symbols.
+    """(entries, single): the model of the whole texts of docs as a table (key, value), and the log-probabilities of the
+    CLASSES single symbols.
 
     The highest order has the counts of n-grams; each lower one counts the distinct characters before its n-grams.
     An entry is an n-gram's interpolated log-probability or a context's log-weight of the next lower order; the
     recursion down the orders is one join of n-gram shards with their contexts and one with their endings for each
-    order. h is an entry's context of size symbols: what the score of one position needs are the entries of the
-    contexts that its own context ends with, so the table can be dealt by the ends of contexts.
+    order.
     """
     with scratch(docs.sparkSession):
         return _trained(docs)
@@ -190,98 +194,14 @@ def _trained(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
         contexts = rows.groupBy("h").agg(F.sum("c").alias("total"), (F.sum(_discount(d)) / F.sum("c")).alias("left"))
         level = rows.join(contexts, "h").join(lower, "s").select("g", "h", ((F.col("c") - _discount(d)) / F.col("total") + F.col("left") * F.col("below")).alias("p"), "left")
         level = materialize(level, "level")
-        size = F.lit(k - 1).alias("size")
-        made = level.select("h", size, _tagged(k, F.col("g")).alias("key"), F.log("p").cast("float").alias("value"))
-        weights = level.groupBy("h").agg(F.first("left").alias("left")).select("h", size, _context(k - 1, F.col("h")).alias("key"), F.log("left").cast("float").alias("value"))
+        made = level.select(_tagged(k, F.col("g")).alias("key"), F.log("p").cast("float").alias("value"))
+        weights = level.groupBy("h").agg(F.first("left").alias("left")).select(_context(k - 1, F.col("h")).alias("key"), F.log("left").cast("float").alias("value"))
         made = made.union(weights)
         entries = made if entries is None else entries.union(made)
         lower = level.select(F.col("g").alias("s"), F.col("p").alias("below"))
     return materialize(entries, "model", outlast=1), np.log(prob)
 
 
-def _ends(size: int) -> int:
-    """The bits of the last size symbols."""
-    return (1 << BITS * size) - 1
-
-
-#: A share of the model: ends of contexts, as (symbols, value).
-Share = list[tuple[int, int]]
-
-
-def shards(entries: DataFrame) -> list[Share]:
-    """Ends of contexts dealt to passes, so that a pass has at most MODEL_ROWS entries.
-
-    Contexts are dealt by their last symbol. Where more entries than that share a last symbol, they are dealt by their
-    last two symbols, and so on; the entries of shorter contexts, CLASSES + 1 at most for each, go along with each part.
-    The last ORDER - 1 symbols leave CLASSES + 1 entries, so no end is too large.
-    """
-    sizes: dict[tuple[int, int], int] = {}
-    large: list[tuple[int, int]] | None = None
-    for size in range(1, ORDER):
-        end = F.col("h").bitwiseAND(F.lit(_ends(size)))
-        rows = entries.where(F.col("size") >= size)
-        if large is not None:
-            rows = rows.where(F.col("h").bitwiseAND(F.lit(_ends(size - 1))).isin([v for _, v in large]))
-        counted = rows.groupBy(end.alias("end")).agg(F.count("*").alias("n")).toArrow().to_pydict()
-        sizes |= {(size, v): n + (size - 1) * (CLASSES + 1) for v, n in zip(counted["end"], counted["n"], strict=True)}
-        most = MODEL_ROWS if size < ORDER - 1 else math.inf
-        large = [x for x, n in sizes.items() if x[0] == size and n > most]
-        for x in large:
-            del sizes[x]
-        if not large:
-            break
-    out, room = [], 0
-    for end, n in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
-        if not out or room < n:
-            out.append([])
-            room = MODEL_ROWS
-        out[-1].append(end)
-        room -= n
-    return out or [[]]
-
-
-def _of_share(share: Share) -> Column:
-    """Whether an entry (h, size) belongs to a share: its context has one of the ends, or is the end of one."""
-    hit = F.lit(False)
-    for size in range(1, ORDER):
-        ends = [v for n, v in share if n == size]
-        hit = hit | ((F.col("size") >= size) & F.col("h").bitwiseAND(F.lit(_ends(size))).isin(ends))
-        shorter = sorted({v & _ends(size) for n, v in share if n > size})
-        hit = hit | ((F.col("size") == size) & F.col("h").isin(shorter))
-    return hit
-
-
-class Dealer:
-    """Which positions a pass scores: those whose context has one of its ends. A context whose end no pass has is scored
-    by the first pass that has its longest known end, or by the first of all."""
-
-    def __init__(self, passes: list[Share], at: int):
-        self.own: list[tuple[np.ndarray, np.ndarray]] = []
-        for size in range(1, ORDER):
-            of = {v: k for k, share in reversed(list(enumerate(passes))) for n, v in share if n == size}
-            inner: dict[int, int] = {}
-            for k, share in enumerate(passes):
-                for n, v in share:
-                    if n > size:
-                        inner[v & _ends(size)] = min(k, inner.get(v & _ends(size), k))
-            ends = np.array(sorted(of.keys() | inner.keys()), np.int64)
-            self.own.append((ends, np.array([of.get(v, inner.get(v)) for v in ends.tolist()], np.int64)))
-        self.at, self.alone = at, len(passes) == 1
-
-    def mine(self, g: np.ndarray) -> np.ndarray:
-        if self.alone:
-            return np.ones(len(g), bool)
-        to, h = np.zeros(len(g), np.int64), g >> BITS
-        for size, (ends, owner) in enumerate(self.own, 1):
-            if not len(ends):
-                break
-            end = h & _ends(size)
-            place = np.minimum(np.searchsorted(ends, end), len(ends) - 1)
-            known = ends[place] == end
-            to[known] = owner[place[known]]
-        return to == self.at
-
-
 def log_probabilities(g: np.ndarray, entries: Entries, single: np.ndarray) -> np.ndarray:
     """Natural logarithms of the characters' probabilities: the longest known n-gram, with the weights of the contexts
     that were too long."""
@@ -299,45 +219,122 @@ def log_probabilities(g: np.ndarray, entries: Entries, single: np.ndarray) -> np
     return out
 
 
+def _broadcast_scores(source: DataFrame, entries: DataFrame, single: np.ndarray) -> DataFrame:
+    got = entries.toArrow()
+    sent = source.sparkSession.sparkContext.broadcast((Entries(got["key"].to_numpy(), got["value"].to_numpy()), single))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, alone = sent.value
+        for b in batches:
+            texts = [t or "" for t in b.column("text").to_pylist()]
+            chars, total = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+            for g, of in grams(texts):
+                chars += np.bincount(of, minlength=len(texts))
+                total += np.bincount(of, weights=log_probabilities(g, model, alone), minlength=len(texts))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array(chars), pa.array(total)], ["doc_id", "lang", "n_chars", "logp"])
+
+    return source.mapInArrow(run, SCORES)
+
+
+def _blocks(source: DataFrame) -> DataFrame:
+    """source with a column block: a task's rows in turn, about BLOCK characters to a block; a longer text ends its own."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = TaskContext.get().partitionId() << 33, 0
+        for b in batches:
+            of = []
+            for n in pc.fill_null(pc.utf8_length(b.column("text")), 0).to_pylist():
+                if held and held + n > BLOCK:
+                    block, held = block + 1, 0
+                held += n
+                of.append(block)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(of, pa.int64())], [*b.schema.names, "block"])
+
+    return source.mapInArrow(run, "doc_id long, lang string, text string, block long")
+
+
+def _distinct_grams(blocks: DataFrame) -> DataFrame:
+    """(block, g): the distinct n-grams of each block; what a task must hand on early, or another task reads, repeats."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, parts, held = None, [], 0
+
+        def made() -> Iterator[pd.DataFrame]:
+            if parts:
+                yield pd.DataFrame({"block": at, "g": np.unique(np.concatenate(parts))})
+
+        for b in batches:
+            for block, rows in b.groupby("block", sort=False):
+                if block != at:
+                    yield from made()
+                    at, parts, held = block, [], 0
+                for g, _ in grams([t for t in rows["text"] if t]):
+                    parts.append(np.unique(g))
+                    held += len(parts[-1])
+                    if held > 4 * HELD:
+                        parts = [np.unique(np.concatenate(parts))]
+                        held = len(parts[0])
+                        if held > HELD:
+                            yield from made()
+                            parts, held = [], 0
+        yield from made()
+
+    return blocks.select("block", "text").mapInPandas(run, "block long, g long")
+
+
+def _rated(wanted: DataFrame, entries: DataFrame, single: np.ndarray) -> DataFrame:
+    """(g, logp) of each n-gram of wanted (g, distinct): of its endings, from two symbols up, the known ones have the
+    model's value, the others that of the next shorter ending with the weight of the context that was too long."""
+    spark, endings = wanted.sparkSession, {ORDER: wanted}
+    for k in range(ORDER - 1, 1, -1):
+        ending = F.col("g").bitwiseAND(F.lit((1 << BITS * k) - 1))
+        endings[k] = materialize(endings[k + 1].select(ending.alias("g")).distinct(), "endings")
+    below = spark.createDataFrame(pd.DataFrame({"s": np.arange(CLASSES), "below": single}))
+    known, weights = entries.withColumnsRenamed({"value": "known"}), entries.withColumnsRenamed({"key": "context", "value": "weight"})
+    for k in range(2, ORDER + 1):
+        rows = endings[k].select("g", _tagged(k, F.col("g")).alias("key"), _context(k - 1, F.shiftright("g", BITS)).alias("context"), F.col("g").bitwiseAND(F.lit((1 << BITS * (k - 1)) - 1)).alias("s"))
+        met = rows.join(known, "key", "left").join(weights, "context", "left").join(below, "s")
+        logp = F.coalesce(F.col("known").cast("double"), F.coalesce(F.col("weight").cast("double"), F.lit(0.0)) + F.col("below"))
+        rated = materialize(met.select("g", logp.alias("logp")), "rated")
+        below = rated.select(F.col("g").alias("s"), F.col("logp").alias("below"))
+    return rated
+
+
+def _joined_scores(source: DataFrame, entries: DataFrame, single: np.ndarray) -> DataFrame:
+    blocks = materialize(_blocks(source), "blocks")
+    found = materialize(_distinct_grams(blocks), "found")
+    rated = _rated(materialize(found.select("g").distinct(), "endings"), entries, single)
+    values = found.join(rated, "g").select("block", "g", "logp")
+
+    def run(rows: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
+        keys, first = np.unique(values["g"].to_numpy(np.int64), return_index=True)
+        logp, texts = values["logp"].to_numpy(np.float64)[first], [t or "" for t in rows["text"]]
+        chars, total = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+        for g, of in grams(texts):
+            chars += np.bincount(of, minlength=len(texts))
+            total += np.bincount(of, weights=logp[np.searchsorted(keys, g)], minlength=len(texts))
+        return pd.DataFrame({"doc_id": rows["doc_id"], "lang": rows["lang"], "n_chars": chars, "logp": total})
+
+    # Ids go as text: pandas would make floats of a column that holds nulls.
+    texts = blocks.withColumn("doc_id", F.col("doc_id").cast("string")).groupBy("block")
+    scored = texts.cogroup(values.groupBy("block")).applyInPandas(run, SCORES.replace("doc_id long", "doc_id string"))
+    return scored.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 def score(docs: DataFrame, entries: DataFrame, single: np.ndarray) -> DataFrame:
     """(doc_id, lang, n_chars, logp) of every row of docs (doc_id, text, lang; further columns are ignored): its whole
-    text's symbols and their log-probability. Null and empty texts have none of either; an empty table gives no rows.
+    text's symbols and their log-probability. Null and empty texts have none of either; rows that repeat a doc_id, or
+    have none, stay apart; an empty table gives no rows.
 
-    The model is broadcast in shares of at most MODEL_ROWS entries; in each pass a document sums the symbols whose
-    entries are in the share. With several passes the rows are written once with a number, by which the sums are added
-    up, so that rows that repeat a doc_id, or have none, stay apart.
+    A model of at most MODEL_ROWS entries is broadcast. Beyond, documents are dealt into blocks; their distinct n-grams
+    are rated by joins with the model's shards, one for each order, and meet the texts of their block again, so
+    documents are read and moved once however large the model is.
     """
-    passes = shards(entries)
-    spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-    if len(passes) > 1:
-        source = materialize(source.withColumn("row", F.monotonically_increasing_id()), "rows")
-    else:
-        source = source.withColumn("row", F.lit(0).cast("long"))
-    done = None
-    for at, share in enumerate(passes):
-        got = (entries if len(passes) == 1 else entries.where(_of_share(share))).select("key", "value").toArrow()
-        sent = spark.sparkContext.broadcast((Entries(got["key"].to_numpy(), got["value"].to_numpy()), single, Dealer(passes, at)))
-        del got
-
-        def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            model, alone, dealer = sent.value
-            for b in batches:
-                texts = [t or "" for t in b.column("text").to_pylist()]
-                chars, total = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-                for g, of in grams(texts):
-                    mine = dealer.mine(g)
-                    if not mine.all():
-                        g, of = g[mine], of[mine]
-                    chars += np.bincount(of, minlength=len(texts))
-                    total += np.bincount(of, weights=log_probabilities(g, model, alone), minlength=len(texts))
-                yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), b.column("lang"), pa.array(chars), pa.array(total)], ["row", "doc_id", "lang", "n_chars", "logp"])
-
-        part = source.mapInArrow(run, "row long, doc_id long, lang string, n_chars long, logp double")
-        done = part if done is None else done.union(part)
-    if len(passes) > 1:
-        done = done.groupBy("row", "doc_id", "lang").agg(F.sum("n_chars").alias("n_chars"), F.sum("logp").alias("logp"))
-    return materialize(done.drop("row"), "scores")
+    if entries.count() <= MODEL_ROWS:
+        return materialize(_broadcast_scores(source, entries, single), "scores")
+    with scratch(docs.sparkSession):
+        return materialize(_joined_scores(source, entries, single), "scores", outlast=1)
 
 
 def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: float = 1.05, prior_chars: int = 100) -> DataFrame:

@@ -280,7 +280,9 @@ def plain_log_probabilities(teach, texts):
     return [sum(math.log(probability(g)) for g in runs(t)) for t in texts]
 
 
-def test_scores_equal_a_plain_model(spark):
+@pytest.mark.parametrize("most", [1 << 22, 0])
+def test_scores_equal_a_plain_model(spark, monkeypatch, most):
+    monkeypatch.setattr(kneser_ney, "MODEL_ROWS", most)
     rng = random.Random(8)
     teach = ["".join(rng.choice("aabcde fÉ漢字🙂\n") for _ in range(120)) for _ in range(6)]
     texts = [*teach[:2], "", "zz top", "漢漢 字é", "".join(rng.choice("abcdxyz 漢") for _ in range(300)), "a"]
@@ -290,18 +292,8 @@ def test_scores_equal_a_plain_model(spark):
     assert [got[i] for i in range(len(texts))] == pytest.approx(plain_log_probabilities(teach, texts), rel=1e-5)
 
 
-@pytest.mark.parametrize(("most", "deep"), [(700, False), (60, True)])
-def test_a_model_in_several_passes_scores_the_same(spark, docs, monkeypatch, most, deep):
-    entries, single = kneser_ney.train(docs.select("text").limit(5))
-    once = {(r["doc_id"], r["lang"]): (r["n_chars"], round(r["logp"], 6)) for r in kneser_ney.score(docs.dropDuplicates(["doc_id"]), entries, single).collect()}
-    monkeypatch.setattr(kneser_ney, "MODEL_ROWS", most)
-    passes = kneser_ney.shards(entries)
-    assert len(passes) > 1 and (max(n for share in passes for n, _ in share) > 1) == deep
-    again = {(r["doc_id"], r["lang"]): (r["n_chars"], round(r["logp"], 6)) for r in kneser_ney.score(docs.dropDuplicates(["doc_id"]), entries, single).collect()}
-    assert once == again
-
-
-def test_several_passes_return_every_row(spark, docs, monkeypatch):
+@pytest.mark.parametrize(("block", "held"), [(1 << 24, 1 << 20), (300, 10)])
+def test_a_joined_model_scores_every_row_the_same(spark, docs, empty, monkeypatch, block, held):
     entries, single = kneser_ney.train(docs.select("text").limit(5))
     more = docs.union(docs.selectExpr("null", "concat(text, ' again')", *docs.columns[2:]))
 
@@ -310,8 +302,11 @@ def test_several_passes_return_every_row(spark, docs, monkeypatch):
 
     once = scored()
     monkeypatch.setattr(kneser_ney, "MODEL_ROWS", 700)
-    assert len(kneser_ney.shards(entries)) > 1
+    monkeypatch.setattr(kneser_ney, "BLOCK", block)
+    monkeypatch.setattr(kneser_ney, "HELD", held)
+    assert entries.count() > 700
     assert len(once) == 2 * len(rows()) and scored() == once
+    assert kneser_ney.score(empty, entries, single).count() == 0
 
 
 def test_mixture_meets_its_targets(docs, empty):
