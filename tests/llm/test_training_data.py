@@ -447,8 +447,9 @@ def test_language(spark, docs, empty):
     assert kept.columns == docs.columns and kept.where("doc_id in (22, 23, 26)").count() == 0
 
 
-def plain_languages(rows, texts):
-    """(language, probability) of texts by naive Bayes over rows (text, lang), with counts in dictionaries."""
+def plain_languages(rows, texts, fits=None):
+    """(language, probability) of texts by naive Bayes over rows (text, lang), with counts in dictionaries. Fits, a list,
+    gets (language, log-likelihood, n-grams) of texts with a letter."""
 
     def buckets(text):
         codes = [ord(c) for c in f" {text} ".lower()]
@@ -475,9 +476,43 @@ def plain_languages(rows, texts):
             totals[lang] = math.log(docs[lang] / sum(docs.values())) + sum(math.log((counts[lang][x] + langid.SMOOTHING) / mass) for x in buckets(text))
         best = max(totals, key=totals.get)
         out.append((best, 1 / sum(math.exp(t - totals[best]) for t in totals.values())))
+        if fits is not None:
+            fits.append((best, totals[best], len(list(buckets(text)))))
     return out
 
 
+def plain_accepted(rows):
+    """The rows (id, text, lang, ...) that the language stage keeps, by the plain model and exact quantiles."""
+    rows = [r for r in rows if any(c.isalpha() for c in r[1] or "")]
+    teach = [r for r in rows if r[0] is None or zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    fits: list = []
+    named = plain_languages([(r[1], r[2]) for r in teach], [r[1] for r in rows], fits)
+    own = defaultdict(list)
+    for r, f in zip(rows, fits, strict=True):
+        if r in teach and r[2] == f[0]:
+            own[f[0]].append(f)
+    mean = {x: sum(t for _, t, _ in some) / sum(n for *_, n in some) for x, some in own.items()}
+    fit = lambda f: (f[1] + 100 * mean[f[0]]) / (f[2] + 100)
+    limit = {}
+    for x, some in own.items():
+        order = sorted(map(fit, some))
+        low, middle = (order[math.ceil(q * len(order)) - 1] for q in (0.01, 0.5))
+        limit[x] = low - max(middle - low, 0.5)
+    return [r for r, (_, p), f in zip(rows, named, fits, strict=True) if p >= 0.5 and (f[0] not in limit or fit(f) >= limit[f[0]])]
+
+
+def test_language_rejects_what_was_never_learned(spark):
+    rng = random.Random(41)
+    words = {"en": "the house and a tree of water in light was near old river town", "de": "das haus und ein baum von wasser im licht war nahe alter fluss stadt"}
+    text = lambda some, n: " ".join(rng.choice(some.split()) for _ in range(n))
+    data = [(i, text(words[lang], rng.randint(5, 150)), lang) for i, lang in enumerate(["en", "de"] * 60)]
+    other = "mitä kuuluu hyvää päivää talo järvi metsä ystävä kiitos työ yö"
+    data += [(500 + i, text(other, 60), None) for i in range(5)] + [(600 + i, "дом вода лес " * 20, None) for i in range(3)] + [(700, "xqzj " * 200, None), (701, None, "en"), (702, "12 !", "de")]
+    frame = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(2)
+    got = sorted(r["doc_id"] for r in langid.accepted(frame).collect())
+    assert got == list(range(120)) == sorted(r[0] for r in plain_accepted(data))
+
+
 @pytest.mark.parametrize(("chunk", "languages"), [(1 << 18, 256), (50, 2)])
 def test_language_equals_a_plain_model(spark, monkeypatch, chunk, languages):
     monkeypatch.setattr(langid, "CHUNK", chunk)
@@ -645,8 +680,7 @@ def test_pipeline_equals_a_plain_version(spark, tmp_path):
 
     want = plain_quality(spark, data, marks)
     assert {r[0] for r in good} == want and 100 < len(want) < len(data) - 8
-    teach = [(t, lang) for d, t, lang, _ in good if zlib.crc32(str(d).encode()) % 4 != 2]
-    assert [r[0] for r in spoken] == [r[0] for r, (x, p) in zip(good, plain_languages(teach, [r[1] for r in good]), strict=True) if x != "und" and p >= 0.5]
+    assert spoken == plain_accepted(good)
     sets, label = [set(simhash.shingle_set(r[1], 5).tolist()) for r in spoken], list(range(len(spoken)))
     for _ in spoken:
         before = label[:]
