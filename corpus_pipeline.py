@@ -21,8 +21,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a language that the classifier knows; null texts and texts without a letter go, as does every row if
-    nothing could be learned. Repeated rows stay or go alike; any further columns stay; an empty table stays empty."""
+    """Documents of a language that the classifier knows and whose n-grams are likely in it; null texts and texts without
+    a letter go, as does every row if nothing could be learned. Repeated rows stay or go alike; any further columns stay;
+    an empty table stays empty."""
     small_batches(spark)
     return langid.accepted(docs)
 
